@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from cobbler.operators import sales  # noqa: E402
+from cobbler.operators import catalog, sales  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
 from cobbler.sources.testdata import TestShop  # noqa: E402
 from oracle import queries as oq  # noqa: E402
@@ -47,6 +47,54 @@ def q_sales_summary(spark, sf_dir):
         "daily_history", joined("daily_history", ["date", "qty", "revenue"]))
 
 
+# ---------------- catalog ----------------
+
+def q_product_page(spark, sf_dir):
+    return _to_double(catalog.product_page(_shop(spark, sf_dir).tables()), "base_price")
+
+
+def q_in_stock_sizes(spark, sf_dir):
+    s = catalog.in_stock_sizes(_shop(spark, sf_dir).tables())
+    return s.withColumn("sizes", joined("sizes", sep=","))
+
+
+def q_popular_variants(spark, sf_dir):
+    s = catalog.popular_variants(_shop(spark, sf_dir).tables())
+    return _to_double(s, "original_price").withColumn("sizes", joined("sizes", sep=","))
+
+
+def q_gender_catalog(spark, sf_dir):
+    s = catalog.gender_catalog(_shop(spark, sf_dir).tables(), oq.CATALOG_AS_OF, "MEN")
+    return _to_double(s, "original_price").withColumns({
+        "images": joined("images", sep=","), "sizes": joined("sizes", sep=","),
+        "categories": joined("categories", sep=",")})
+
+
+def q_admin_catalog(spark, sf_dir):
+    s = catalog.admin_catalog(_shop(spark, sf_dir).tables())
+
+    def variant_text(v):
+        opts = F.array_join(F.transform(v["options"], lambda o: F.concat_ws(
+            ":", o["size"].cast("string"), F.coalesce(o["stock"].cast("string"), F.lit("")))), ",")
+        return F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in (
+            v["variant_id"].cast("string"), v["color_name"], v["image"],
+            v["discount_rate"].cast("string"), v["registration_date"].cast("string"), opts)])
+    return _to_double(s, "base_price").withColumn(
+        "variants", F.array_join(F.transform("variants", variant_text), ";"))
+
+
+def q_table_counts(spark, sf_dir):
+    return catalog.table_counts(_shop(spark, sf_dir).tables())
+
+
+def q_color_size_counts(spark, sf_dir):
+    return _to_double(catalog.color_size_counts(_shop(spark, sf_dir).tables()), "base_price")
+
+
+def q_variant_images(spark, sf_dir):
+    return catalog.variant_images(_shop(spark, sf_dir).tables())
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the admin sales summary (joins, day range, two-level aggregation) on sf0.001."""
     return q_sales_summary(spark, SMOKE_DIR)
@@ -56,6 +104,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "daily_variant_sales": q_daily_variant_sales,
         "sales_summary": q_sales_summary,
+        "product_page": q_product_page,
+        "in_stock_sizes": q_in_stock_sizes,
+        "popular_variants": q_popular_variants,
+        "gender_catalog": q_gender_catalog,
+        "admin_catalog": q_admin_catalog,
+        "table_counts": q_table_counts,
+        "color_size_counts": q_color_size_counts,
+        "variant_images": q_variant_images,
     }
 
 

@@ -54,7 +54,7 @@ def day_range(c, start, end, like: T.DataType | None = None) -> Column:
 
 def size_number(c) -> Column:
     """Leading digits of a size as a number, 0 when there are none (MySQL ``CAST AS UNSIGNED``, N5)."""
-    return F.coalesce(F.try_cast(F.regexp_extract(col(c), r"^[0-9]+", 0), "bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.regexp_extract(col(c), r"^[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def one_month_back(as_of: _dt.datetime) -> _dt.datetime:
