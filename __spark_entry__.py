@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from cobbler.operators import catalog, sales  # noqa: E402
+from cobbler.operators import catalog, orders, reviews, sales  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
 from cobbler.sources.testdata import TestShop  # noqa: E402
 from oracle import queries as oq  # noqa: E402
@@ -95,6 +95,31 @@ def q_variant_images(spark, sf_dir):
     return catalog.variant_images(_shop(spark, sf_dir).tables())
 
 
+# ---------------- orders and reviews ----------------
+
+def q_order_lines(spark, sf_dir):
+    return _to_double(orders.order_lines(_shop(spark, sf_dir).tables()),
+                      "total_amount", "price", "base_price")
+
+
+def q_order_history(spark, sf_dir):
+    h = orders.order_history(_shop(spark, sf_dir).tables())
+    return _to_double(h, "total_amount").withColumn("items", joined("items", orders.ITEM_FIELDS))
+
+
+def q_review_list(spark, sf_dir):
+    return reviews.review_list(_shop(spark, sf_dir).tables())
+
+
+def q_rating_summary(spark, sf_dir):
+    return reviews.rating_summary(_shop(spark, sf_dir).tables())
+
+
+def q_review_intake(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    return reviews.intake_reviews(shop.tables(), shop.review_requests, oq.INTAKE_AS_OF)["status"]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the admin sales summary (joins, day range, two-level aggregation) on sf0.001."""
     return q_sales_summary(spark, SMOKE_DIR)
@@ -112,6 +137,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_counts": q_table_counts,
         "color_size_counts": q_color_size_counts,
         "variant_images": q_variant_images,
+        "order_lines": q_order_lines,
+        "order_history": q_order_history,
+        "review_list": q_review_list,
+        "rating_summary": q_rating_summary,
+        "review_intake": q_review_intake,
     }
 
 
