@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from cobbler.operators import catalog, orders, reviews, sales  # noqa: E402
+from cobbler.operators import cart, catalog, checkout, orders, reviews, sales  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
 from cobbler.sources.testdata import TestShop  # noqa: E402
 from oracle import queries as oq  # noqa: E402
@@ -120,6 +120,61 @@ def q_review_intake(spark, sf_dir):
     return reviews.intake_reviews(shop.tables(), shop.review_requests, oq.INTAKE_AS_OF)["status"]
 
 
+# ---------------- cart and checkout ----------------
+
+def q_cart_lines(spark, sf_dir):
+    return _to_double(cart.cart_lines(_shop(spark, sf_dir).tables()), "base_price")
+
+
+def q_cart_totals(spark, sf_dir):
+    return cart.cart_totals(_shop(spark, sf_dir).tables())
+
+
+def _cart_changes(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    t = dict(shop.tables())
+    t["cart"] = spark.createDataFrame([], t["cart"].schema)   # the feed starts from an empty cart
+    return cart.apply_cart_changes(t, shop.cart_changes)
+
+
+def q_cart_change_status(spark, sf_dir):
+    return _cart_changes(spark, sf_dir)["status"]
+
+
+def q_cart_after_changes(spark, sf_dir):
+    return _cart_changes(spark, sf_dir)["cart"]
+
+
+def _checkout(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    return checkout.checkout(shop.tables(), shop.checkout_requests, oq.CHECKOUT_AS_OF)
+
+
+def q_checkout_lines(spark, sf_dir):
+    return _checkout(spark, sf_dir)["lines"]
+
+
+def q_checkout_status(spark, sf_dir):
+    return _checkout(spark, sf_dir)["status"]
+
+
+def q_checkout_orders(spark, sf_dir):
+    o = _checkout(spark, sf_dir)["orders"].drop("created_at")
+    return _to_double(o, "total_amount")
+
+
+def q_stock_after(spark, sf_dir):
+    return _checkout(spark, sf_dir)["product_options"]
+
+
+def q_sold_after(spark, sf_dir):
+    return _checkout(spark, sf_dir)["product_variants"].select("variant_id", "sold_count")
+
+
+def q_cart_after_checkout(spark, sf_dir):
+    return _checkout(spark, sf_dir)["cart"].select("cart_id", "user_id", "option_id", "quantity")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the admin sales summary (joins, day range, two-level aggregation) on sf0.001."""
     return q_sales_summary(spark, SMOKE_DIR)
@@ -142,6 +197,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_list": q_review_list,
         "rating_summary": q_rating_summary,
         "review_intake": q_review_intake,
+        "cart_lines": q_cart_lines,
+        "cart_totals": q_cart_totals,
+        "cart_change_status": q_cart_change_status,
+        "cart_after_changes": q_cart_after_changes,
+        "checkout_lines": q_checkout_lines,
+        "checkout_status": q_checkout_status,
+        "checkout_orders": q_checkout_orders,
+        "stock_after": q_stock_after,
+        "sold_after": q_sold_after,
+        "cart_after_checkout": q_cart_after_checkout,
     }
 
 

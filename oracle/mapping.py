@@ -109,7 +109,7 @@ CTES = {
 }
 
 
-def build(select: str, extra: dict[str, str] | None = None) -> str:
+def build(select: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """``WITH <mapping>, <extra CTEs> <select>``; DuckDB skips CTEs the select never reads."""
     ctes = {**CTES, **(extra or {})}
-    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in ctes.items()) + "\n" + select
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{name} AS ({sql})" for name, sql in ctes.items()) + "\n" + select
