@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from cobbler.operators import cart, catalog, checkout, orders, reviews, sales  # noqa: E402
+from cobbler.operators import cart, catalog, checkout, loads, orders, reviews, sales  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
 from cobbler.sources.testdata import TestShop  # noqa: E402
 from oracle import queries as oq  # noqa: E402
@@ -175,6 +175,27 @@ def q_cart_after_checkout(spark, sf_dir):
     return _checkout(spark, sf_dir)["cart"].select("cart_id", "user_id", "option_id", "quantity")
 
 
+# ---------------- loads ----------------
+
+def q_options_after_update(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    o = loads.update_variants(shop.tables(), shop.option_changes)["product_options"]
+    return o.withColumn("option_id", F.when(~F.col("is_new"), F.col("option_id")))
+
+
+def _user_intake(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    return loads.intake_users(shop.tables(), shop.user_requests)
+
+
+def q_user_intake(spark, sf_dir):
+    return _user_intake(spark, sf_dir)["status"]
+
+
+def q_users_after_intake(spark, sf_dir):
+    return _user_intake(spark, sf_dir)["users"]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the admin sales summary (joins, day range, two-level aggregation) on sf0.001."""
     return q_sales_summary(spark, SMOKE_DIR)
@@ -207,6 +228,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stock_after": q_stock_after,
         "sold_after": q_sold_after,
         "cart_after_checkout": q_cart_after_checkout,
+        "options_after_update": q_options_after_update,
+        "user_intake": q_user_intake,
+        "users_after_intake": q_users_after_intake,
     }
 
 

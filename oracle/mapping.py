@@ -99,6 +99,10 @@ CTES = {
         SELECT event_id AS request_id, ts, user_id, {K} AS product_id,
                CAST(NULL AS BIGINT) AS order_item_id, CAST(1 + event_id % 6 AS INTEGER) AS rating
         FROM events WHERE event_type = 'signup'""",
+    "s_users": """
+        SELECT c_custkey AS user_id, 'customer' || CAST(c_custkey AS VARCHAR) || '@shop.test' AS email,
+               c_name AS name, 'USER' AS role
+        FROM customer""",
     "s_user_requests": """
         SELECT c_custkey AS request_id,
                CASE WHEN c_custkey >= 1000 THEN upper('user' || CAST(c_custkey % 1000 AS VARCHAR))
