@@ -18,15 +18,15 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from cobbler.operators import cart, catalog, checkout, loads, orders, reviews, sales  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
-from cobbler.sources.testdata import TestShop  # noqa: E402
+from cobbler.sources.testdata import GeneratedShop  # noqa: E402
 from oracle import queries as oq  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
-def _shop(spark: SparkSession, sf_dir: str) -> TestShop:
+def _shop(spark: SparkSession, sf_dir: str) -> GeneratedShop:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return TestShop(spark, sf_dir)
+    return GeneratedShop(spark, sf_dir)
 
 
 def _to_double(df: DataFrame, *names: str) -> DataFrame:

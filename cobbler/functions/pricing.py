@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .columns import as_timestamp, col, ts_literal
 
-_CENT = F.lit(0.01).cast("decimal(3,2)")
+def _cent() -> Column:
+    return F.lit(0.01).cast("decimal(3,2)")
 
 
 def _d(discount) -> Column:
@@ -19,7 +20,7 @@ def _d(discount) -> Column:
 
 def price_rounded(base, discount) -> Column:
     """P1 (popular list): round(base * (1 - d/100)) in exact decimals, as bigint."""
-    exact = col(base) * (100 - _d(discount)) * _CENT
+    exact = col(base) * (100 - _d(discount)) * _cent()
     return F.round(exact, 0).cast("bigint")
 
 
@@ -35,7 +36,7 @@ def cart_line_cents(base, discount, quantity) -> Column:
 
 def cart_total(summed_line_cents: Column) -> Column:
     """P3 (cart total): the exact sum of line values rounded once, half up, as bigint."""
-    return F.round(summed_line_cents * _CENT, 0).cast("bigint")
+    return F.round(summed_line_cents * _cent(), 0).cast("bigint")
 
 
 def sale_active(start, end, as_of, like=None) -> Column:

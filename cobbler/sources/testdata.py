@@ -26,7 +26,7 @@ def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-class TestShop:
+class GeneratedShop:
     """Lazy shop views over ``sf_dir``'s Parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):

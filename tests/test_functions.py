@@ -1,0 +1,67 @@
+"""Rules N1, N5, N7, H3, H4, P1-P4, T10 on single values."""
+
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from cobbler.functions import columns as C
+from cobbler.functions import pricing as P
+
+
+def one(spark, col):
+    return spark.range(1).select(col.alias("x")).first()["x"]
+
+
+def test_size_number_leading_digits_else_zero(spark):
+    df = spark.createDataFrame([("265",), ("L",), ("27a",), ("",)], "size string")
+    got = [r.n for r in df.select(C.size_number("size").alias("n")).collect()]
+    assert got == [265, 0, 27, 0]
+
+
+def test_one_month_back_overflows_like_js():
+    assert C.one_month_back(dt.datetime(2025, 3, 31, 10)) == dt.datetime(2025, 3, 3, 10)
+    assert C.one_month_back(dt.datetime(2024, 3, 31)) == dt.datetime(2024, 3, 2)
+    assert C.one_month_back(dt.datetime(2025, 1, 15, 8, 30)) == dt.datetime(2024, 12, 15, 8, 30)
+    assert C.one_month_back(dt.datetime(2001, 10, 31, 10)) == dt.datetime(2001, 10, 1, 10)
+
+
+def test_half_up_tenths_exact(spark):
+    assert one(spark, C.half_up_tenths(F.lit(87), F.lit(20))) == 4.4      # 4.35 -> 4.4 (JS toFixed gives 4.3)
+    assert one(spark, C.half_up_tenths(F.lit(14), F.lit(3))) == 4.7       # 4.666..
+    assert one(spark, C.half_up_tenths(F.lit(9), F.lit(2))) == 4.5
+
+
+def test_ci_key_case_and_accent_insensitive(spark):
+    assert one(spark, C.ci_key(F.lit("Ann@Shop.test")) == C.ci_key(F.lit("ann@shop.TEST")))
+    assert one(spark, C.ci_key(F.lit("é")) == C.ci_key(F.lit("E")))
+
+
+def test_day_range_inclusive_end_day(spark):
+    df = spark.createDataFrame([(dt.datetime(2025, 1, 31, 23, 59, 59),), (dt.datetime(2025, 2, 1, 0, 0),),
+                                (dt.datetime(2025, 1, 1, 0, 0),)], "t timestamp")
+    got = sorted(r.t for r in df.filter(C.day_range("t", "2025-01-01", "2025-01-31")).collect())
+    assert got == [dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 31, 23, 59, 59)]
+
+
+def test_price_rules_differ_on_purpose(spark):
+    base, d = F.lit(Decimal("1000.00")).cast("decimal(10,2)"), F.lit(7)
+    assert one(spark, P.price_rounded(base, d)) == 930           # P1 exact
+    assert one(spark, P.price_floored(base, d)) == 929           # P2 float floor (H3)
+    assert one(spark, P.price_floored(base, F.lit(None).cast("int"))) == 1000
+    b2 = F.lit(Decimal("159000.00")).cast("decimal(10,2)")
+    assert one(spark, P.price_rounded(b2, F.lit(10))) == 143100
+    # Exact sum then one rounding: 2 x 0.25 -> 0.5 -> 1 (half up)
+    assert one(spark, P.cart_total(P.cart_line_cents(F.lit(Decimal("0.25")).cast("decimal(10,2)"),
+                                                     F.lit(0), F.lit(2)))) == 1
+
+
+def test_checkout_price_respects_sale_window_end_is_midnight(spark):
+    base = F.lit(Decimal("1000.00")).cast("decimal(10,2)")
+    start, end = F.lit(dt.date(2025, 1, 1)), F.lit(dt.date(2025, 1, 31))
+    inside = P.price_at_checkout(base, F.lit(10), start, end, dt.datetime(2025, 1, 31, 0, 0))
+    after = P.price_at_checkout(base, F.lit(10), start, end, dt.datetime(2025, 1, 31, 0, 0, 1))
+    no_dates = P.price_at_checkout(base, F.lit(10), F.lit(None).cast("date"), end, dt.datetime(2025, 1, 5))
+    assert one(spark, inside) == 900
+    assert one(spark, after) == 1000           # T10: the sale ends at 00:00 of its last day
+    assert one(spark, no_dates) == 1000
