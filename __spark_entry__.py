@@ -134,7 +134,8 @@ def _cart_changes(spark, sf_dir):
     shop = _shop(spark, sf_dir)
     t = dict(shop.tables())
     t["cart"] = spark.createDataFrame([], t["cart"].schema)   # the feed starts from an empty cart
-    return cart.apply_cart_changes(t, shop.cart_changes)
+    # one output per query: Spark reuses the shared exchanges, no materialisation needed
+    return cart.apply_cart_changes(t, shop.cart_changes, materialize_fold="none")
 
 
 def q_cart_change_status(spark, sf_dir):
@@ -147,7 +148,7 @@ def q_cart_after_changes(spark, sf_dir):
 
 def _checkout(spark, sf_dir):
     shop = _shop(spark, sf_dir)
-    return checkout.checkout(shop.tables(), shop.checkout_requests, oq.CHECKOUT_AS_OF)
+    return checkout.checkout(shop.tables(), shop.checkout_requests, oq.CHECKOUT_AS_OF, materialize_lines="none")
 
 
 def q_checkout_lines(spark, sf_dir):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, ts_literal
 from ..functions.pricing import price_at_checkout
+from ..plans.materialize import materialize
 
 # Final order status written by a successful checkout.
 PAID = "paid"
@@ -117,9 +118,15 @@ def purge_cart(t: dict[str, DataFrame], paid: DataFrame) -> DataFrame:
     return t["cart"].join(paid.select("cart_id"), "cart_id", "left_anti")
 
 
-def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[str, DataFrame]:
-    """X1-X5 together: every output table of one checkout batch."""
-    lines = price_checkout_lines(t, requests, as_of)
+def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of,
+             materialize_lines: str = "checkpoint") -> dict[str, DataFrame]:
+    """X1-X5 together: every output table of one checkout batch.
+
+    The priced lines feed every output, so they are materialised once
+    (``checkpoint`` to the shared checkpoint folder by default; see
+    :mod:`cobbler.plans.materialize`).
+    """
+    lines = materialize(price_checkout_lines(t, requests, as_of), materialize_lines)
     status = checkout_status(requests, lines)
     paid = paid_lines(lines, status)
     out = {"lines": lines, "status": status}
