@@ -146,3 +146,26 @@ def test_checkout_outside_sale_pays_base_price(spark):
     req = spark.createDataFrame([(1, 1, "addr", "card", [12])], schemas.CHECKOUT_REQUESTS)
     lines = checkout.price_checkout_lines(t, req, dt.datetime(2025, 3, 1)).collect()
     assert [(r.cart_id, r.unit_price) for r in lines] == [(12, 159000)]
+
+
+def test_hot_cart_row_spread_over_partitions_matches_loop(spark):
+    """One (user, option) key holds most of the feed; it spans many range partitions."""
+    rnd = random.Random(23)
+    t = make_shop(spark)
+    stock = {r.option_id: r.stock_quantity for r in t["product_options"].collect()}
+    cart_rows = [(r.cart_id, r.user_id, r.option_id, r.quantity) for r in t["cart"].collect()]
+    rows = []
+    for i in range(1, 3001):
+        hot = rnd.random() < 0.8
+        user, opt = (1, 1) if hot else (rnd.choice([2, 3]), rnd.choice([3, 10, 11]))
+        op = rnd.choice(["add", "add", "add", "set", "remove"])
+        cid = rnd.choice([11, 1001]) if (hot and op != "add") else user * 1000 + opt
+        if hot and op == "add" and rnd.random() < 0.5:
+            cid = 1001
+        q = rnd.choice([1, 2, 3, 4]) if op != "remove" else None
+        rows.append((i, T0 + dt.timedelta(seconds=i // 3), user, op, opt if op == "add" else None, cid, q))
+    df = spark.createDataFrame(rows, schemas.CART_CHANGES)
+    out = cart.apply_cart_changes(t, df, partitions=16)
+    want_st, want_cart = _loop(cart_rows, stock, rows)
+    assert {r.request_id: r.status for r in out["status"].collect()} == want_st
+    assert {r.cart_id: (r.user_id, r.option_id, r.quantity) for r in out["cart"].collect()} == want_cart
