@@ -17,6 +17,22 @@ from ..functions.columns import as_datetime, one_month_back, size_number, ts_lit
 from ..functions.pricing import price_floored, price_rounded, sale_active
 
 
+def option_details(t: dict[str, DataFrame]) -> DataFrame:
+    """Every option with its variant's and product's attributes, keyed by option_id.
+
+    The catalog side of every line-item join (order items, cart rows, checkout
+    lines): the catalog tables are joined among themselves once, so the large
+    line stream crosses the catalog with a single join on option_id instead of
+    one shuffle per dimension. Catalyst prunes the columns a caller does not use.
+    """
+    o = t["product_options"].select("option_id", "variant_id", "size", "stock_quantity")
+    v = t["product_variants"].select("variant_id", "product_id", "color_name",
+                                     F.col("representative_image_url").alias("image"), "discount_rate",
+                                     "sale_start_date", "sale_end_date")
+    p = t["products"].select("product_id", F.col("name").alias("product_name"), "base_price")
+    return o.join(v, "variant_id").join(p, "product_id")
+
+
 def product_page(t: dict[str, DataFrame], n: int = 5) -> DataFrame:
     """The first ``n`` products (id, name, base price), by product_id (T13 tie-break)."""
     return t["products"].select("product_id", "name", "base_price").orderBy("product_id").limit(n)
@@ -63,7 +79,6 @@ def gender_catalog(t: dict[str, DataFrame], as_of, gender: str = "MEN") -> DataF
     """
     as_of = as_datetime(as_of)
     v = t["product_variants"]
-    ts_type = None
     prods = (t["products"].filter(F.upper("gender") == gender.upper())
              .join(t["materials"].select("material_id", F.col("title").alias("material")),
                    "material_id", "left")
@@ -83,7 +98,7 @@ def gender_catalog(t: dict[str, DataFrame], as_of, gender: str = "MEN") -> DataF
              .join(main_ids, "variant_id", "left_semi")
              .groupBy("variant_id").agg(F.array_sort(F.collect_list("size")).alias("sizes")))
     d = F.coalesce(F.col("m.discount"), F.lit(0))
-    month_ago = ts_literal(one_month_back(as_of), ts_type)
+    month_ago = ts_literal(one_month_back(as_of))
     tags = F.array_compact(F.array(
         F.when(F.col("m.registration_date").cast("timestamp") >= month_ago, F.lit("new")),
         F.when((d > 0) & sale_active("m.sale_start_date", "m.sale_end_date", as_of), F.lit("sale")),

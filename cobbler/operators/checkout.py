@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_datetime, ts_literal
 from ..functions.pricing import price_at_checkout
 from ..plans.materialize import materialize
+from .catalog import option_details
 
 # Final order status written by a successful checkout.
 PAID = "paid"
@@ -45,12 +46,8 @@ def price_checkout_lines(t: dict[str, DataFrame], requests: DataFrame, as_of) ->
               .join(cart, ["cart_id", "user_id"]))
     whole = req.filter(~has_ids).select("request_id", "user_id").join(cart, "user_id")
     lines = picked.unionByName(whole)
-    o = t["product_options"].select("option_id", "variant_id", "size", "stock_quantity")
-    v = t["product_variants"].select("variant_id", "product_id", "color_name", "discount_rate",
-                                     "sale_start_date", "sale_end_date")
-    p = t["products"].select("product_id", F.col("name").alias("product_name"), "base_price")
     unit = price_at_checkout("base_price", "discount_rate", "sale_start_date", "sale_end_date", as_of)
-    return (lines.join(o, "option_id").join(v, "variant_id").join(p, "product_id")
+    return (lines.join(option_details(t), "option_id")
             .select("request_id", "cart_id", "user_id", "option_id", "variant_id", "product_id",
                     "product_name", "color_name", "size", "quantity", "stock_quantity",
                     unit.alias("unit_price"), (unit * F.col("quantity")).alias("line_total"),
