@@ -132,8 +132,8 @@ def q_cart_totals(spark, sf_dir):
 
 def _cart_changes(spark, sf_dir):
     shop = _shop(spark, sf_dir)
-    t = dict(shop.tables())
-    t["cart"] = spark.createDataFrame([], t["cart"].schema)   # the feed starts from an empty cart
+    t = shop.tables()
+    t["cart"] = spark.createDataFrame([], shop.cart_schema)   # the feed starts from an empty cart
     # one output per query: Spark reuses the shared exchanges, no materialisation needed
     return cart.apply_cart_changes(t, shop.cart_changes, materialize_fold="none")
 

@@ -9,11 +9,14 @@ query only pays for the views it touches, and Catalyst prunes the rest.
 
 from __future__ import annotations
 
+from collections.abc import MutableMapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
+
 # Fixed values of the mapping (FIXTURES.md §3).
 VARIANT_KEY_SCALE = 1000000      # variant_id = l_partkey * 1000000 + l_suppkey
 OPTION_KEY_SCALE = 10            # option_id = variant_id * 10 + l_linenumber
@@ -22,16 +25,56 @@ CART_KEY_SCALE = 1000            # cart_id = user_id * 1000 + k
 ORDER_STATUS = {"F": "delivered", "O": "paid", "P": "pending"}
 
 
+class _LazyTables(MutableMapping):
+    """name -> DataFrame, built on first access (entries can be replaced, e.g. an empty cart)."""
+
+    _NAMES = ("products", "materials", "product_variants", "product_options", "orders", "order_items",
+              "reviews", "cart", "users")
+
+    def __init__(self, shop):
+        self._shop, self._over = shop, {}
+
+    def __getitem__(self, name):
+        if name in self._over:
+            return self._over[name]
+        if name not in self._NAMES:
+            raise KeyError(name)
+        if name == "order_items":
+            return self._shop.order_items.drop("_returnflag", "_partkey")
+        return getattr(self._shop, name)
+
+    def __setitem__(self, name, df):
+        self._over[name] = df
+
+    def __delitem__(self, name):
+        self._over.pop(name, None)
+
+    def __iter__(self):
+        return iter(self._NAMES)
+
+    def __len__(self):
+        return len(self._NAMES)
+
+
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
 class GeneratedShop:
-    """Lazy shop views over ``sf_dir``'s Parquet tables."""
+    """Shop views over ``sf_dir``'s Parquet tables.
+
+    The tables derived by aggregation (options, variants, order items, cart) are
+    used many times by the larger jobs with different column subsets, which
+    defeats exchange reuse; ``materialize='table'`` computes each once, on first
+    use, as a Parquet table in the shared checkpoint folder (the way a production
+    job reads stored tables). The default ``'none'`` keeps everything lazy: on
+    the test scales recomputing is cheaper than writing (measured with bench.py).
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: str = "none"):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.mode = materialize
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -71,11 +114,11 @@ class GeneratedShop:
 
     @cached_property
     def product_options(self) -> DataFrame:
-        return self._option_stats.select(
+        return materialize(self._option_stats.select(
             (self._variant_id() * OPTION_KEY_SCALE + F.col("l_linenumber")).alias("option_id"),
             self._variant_id().alias("variant_id"),
             (220 + 10 * F.col("l_linenumber")).cast("string").alias("size"),
-            (F.col("qty").cast("bigint") % 7).cast("int").alias("stock_quantity"))
+            (F.col("qty").cast("bigint") % 7).cast("int").alias("stock_quantity")), self.mode)
 
     @cached_property
     def product_variants(self) -> DataFrame:
@@ -83,7 +126,7 @@ class GeneratedShop:
             F.max("max_disc").alias("max_disc"), F.min("first_ship").alias("first_ship"),
             F.max("last_ship").alias("last_ship"), F.sum("qty").alias("qty"))
         disc = F.round(F.col("max_disc") * 100).cast("int")
-        return v.select(
+        return materialize(v.select(
             self._variant_id().alias("variant_id"),
             F.col("l_partkey").alias("product_id"),
             F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("color_name"),
@@ -96,7 +139,7 @@ class GeneratedShop:
             F.to_date("first_ship").alias("sale_start_date"),
             F.to_date("last_ship").alias("sale_end_date"),
             F.to_date("first_ship").alias("registration_date"),
-            F.col("qty").cast("bigint").alias("sold_count"))
+            F.col("qty").cast("bigint").alias("sold_count")), self.mode)
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -116,14 +159,14 @@ class GeneratedShop:
         li = self.raw("lineitem")
         w = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        return li.select(
+        return materialize(li.select(
             (F.col("l_orderkey") * ITEM_KEY_SCALE + F.row_number().over(w)).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"),
             (self._variant_id() * OPTION_KEY_SCALE + F.col("l_linenumber")).alias("option_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
             F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
             F.col("l_shipdate").alias("created_at"),
-            F.col("l_returnflag").alias("_returnflag"), F.col("l_partkey").alias("_partkey"))
+            F.col("l_returnflag").alias("_returnflag"), F.col("l_partkey").alias("_partkey")), self.mode)
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -151,7 +194,7 @@ class GeneratedShop:
                 .groupBy("product_id").agg(F.min("option_id").alias("option_id")))
 
     @cached_property
-    def cart(self) -> DataFrame:
+    def _cart_plan(self) -> DataFrame:
         ev = self.raw("events").filter(F.col("event_type") == "click").withColumn("k", _k())
         c = ev.groupBy("user_id", "k").agg(
             F.sum(1 + F.col("event_id") % 3).cast("int").alias("quantity"),
@@ -160,6 +203,14 @@ class GeneratedShop:
                 .select((F.col("user_id") * CART_KEY_SCALE + F.col("k")).alias("cart_id"),
                         "user_id", "option_id", "quantity", "created_at", "updated_at"))
 
+    @cached_property
+    def cart(self) -> DataFrame:
+        return materialize(self._cart_plan, self.mode)
+
+    @property
+    def cart_schema(self):
+        return self._cart_plan.schema
+
     @cached_property
     def users(self) -> DataFrame:
         c = self.raw("customer")
@@ -168,12 +219,9 @@ class GeneratedShop:
                                  F.lit("@shop.test")).alias("email"),
                         F.col("c_name").alias("name"), F.lit("USER").alias("role"))
 
-    def tables(self) -> dict[str, DataFrame]:
-        items = self.order_items.drop("_returnflag", "_partkey")
-        return {"products": self.products, "materials": self.materials,
-                "product_variants": self.product_variants, "product_options": self.product_options,
-                "orders": self.orders, "order_items": items, "reviews": self.reviews,
-                "cart": self.cart, "users": self.users}
+    def tables(self) -> MutableMapping[str, DataFrame]:
+        """The shop's tables; each is built when a job first asks for it."""
+        return _LazyTables(self)
 
     # ---------------- request feeds ----------------
 

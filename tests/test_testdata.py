@@ -28,8 +28,8 @@ def test_mapping_counts(spark):
 @needs_data
 def test_cart_change_feed_outcome(spark):
     shop = GeneratedShop(spark, SF001)
-    t = dict(shop.tables())
-    t["cart"] = spark.createDataFrame([], t["cart"].schema)
+    t = shop.tables()
+    t["cart"] = spark.createDataFrame([], shop.cart_schema)
     out = cart.apply_cart_changes(t, shop.cart_changes)
     counts = {r.status: r["count"] for r in out["status"].groupBy("status").count().collect()}
     assert counts == {"accepted": 1450, "stock": 718, "not_found": 3834}
