@@ -97,6 +97,10 @@ def q_variant_images(spark, sf_dir):
 
 # ---------------- orders and reviews ----------------
 
+def q_reviewed_items(spark, sf_dir):
+    return orders.review_written_flag(_shop(spark, sf_dir).tables())
+
+
 def q_order_lines(spark, sf_dir):
     return _to_double(orders.order_lines(_shop(spark, sf_dir).tables()),
                       "total_amount", "price", "base_price")
@@ -214,6 +218,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_counts": q_table_counts,
         "color_size_counts": q_color_size_counts,
         "variant_images": q_variant_images,
+        "reviewed_items": q_reviewed_items,
         "order_lines": q_order_lines,
         "order_history": q_order_history,
         "review_list": q_review_list,

@@ -189,9 +189,10 @@ class GeneratedShop:
 
     @cached_property
     def _first_option_of_product(self) -> DataFrame:
-        return (self.product_options.join(self.product_variants.select("variant_id", "product_id"),
-                                          "variant_id")
-                .groupBy("product_id").agg(F.min("option_id").alias("option_id")))
+        # A variant's product is its part key (mapping rule), so this reads the line-item aggregate directly.
+        return (self._option_stats
+                .groupBy(F.col("l_partkey").alias("product_id"))
+                .agg(F.min(self._variant_id() * OPTION_KEY_SCALE + F.col("l_linenumber")).alias("option_id")))
 
     @cached_property
     def _cart_plan(self) -> DataFrame:
