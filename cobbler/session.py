@@ -8,6 +8,10 @@ ones. Timestamps are compared in UTC so both engines agree.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Settings every shop job relies on.
@@ -65,3 +69,28 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/cobbler-che
     target = configured or fallback
     sc.setCheckpointDir(target)
     return target
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cobbler`` importable in executors' Python workers (once per application).
+
+    Steps that run Python on executors (``mapInPandas``/``applyInPandas``) pickle
+    their functions by module reference, so the workers need the package: it is
+    zipped on the driver and distributed with ``addPyFile`` (what ``--py-files`` does).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="cobbler-pkg-"), "cobbler.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
