@@ -23,7 +23,11 @@ from .catalog import option_details
 PAID = "paid"
 
 
-def _requests(requests: DataFrame) -> DataFrame:
+def prepare_requests(requests: DataFrame) -> DataFrame:
+    """Flag each request ``_deferred`` (not the user's first in the batch) and ``_invalid``
+    (no address or payment method). Idempotent: prepared requests pass through."""
+    if "_deferred" in requests.columns:
+        return requests
     first = requests.groupBy("user_id").agg(F.min("request_id").alias("_first"))
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
     return (requests.join(first, "user_id")
@@ -38,7 +42,7 @@ def price_checkout_lines(t: dict[str, DataFrame], requests: DataFrame, as_of) ->
     A request with ``cart_ids`` buys those of the user's rows; without, all of them.
     """
     as_of = as_datetime(as_of)
-    req = _requests(requests).filter(~F.col("_deferred") & ~F.col("_invalid"))
+    req = prepare_requests(requests).filter(~F.col("_deferred") & ~F.col("_invalid"))
     cart = t["cart"].select("cart_id", "user_id", "option_id", "quantity")
     has_ids = F.col("cart_ids").isNotNull() & (F.size("cart_ids") > 0)
     picked = (req.filter(has_ids)
@@ -62,23 +66,24 @@ def checkout_status(requests: DataFrame, lines: DataFrame) -> DataFrame:
     per = lines.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("line_count"), F.sum(F.col("short").cast("int")).alias("short_lines"),
         F.sum("line_total").alias("total_amount"))
-    req = _requests(requests).join(per, "request_id", "left")
+    req = prepare_requests(requests).join(per, "request_id", "left")
     status = (F.when(F.col("_deferred"), "deferred").when(F.col("_invalid"), "invalid")
               .when(F.col("line_count").isNull(), "empty")
               .when(F.col("short_lines") > 0, "insufficient_stock").otherwise(PAID))
     return req.select("request_id", "user_id", status.alias("status"),
                       F.coalesce("line_count", F.lit(0)).cast("bigint").alias("line_count"),
                       F.coalesce("short_lines", F.lit(0)).cast("bigint").alias("short_lines"),
-                      F.col("total_amount").cast("bigint").alias("total_amount"))
+                      F.col("total_amount").cast("bigint").alias("total_amount"),
+                      "shipping_address", "payment_method")
 
 
-def build_orders(requests: DataFrame, lines: DataFrame, status: DataFrame, as_of) -> dict[str, DataFrame]:
+def build_orders(lines: DataFrame, status: DataFrame, as_of) -> dict[str, DataFrame]:
     """Order headers and items for paid requests. ``order_id`` = request_id,
     ``order_item_id`` = the purchased cart_id (keys from the feed, no global counter)."""
     as_of = as_datetime(as_of)
-    paid = status.filter(F.col("status") == PAID).select("request_id", "total_amount", "line_count")
+    paid = status.filter(F.col("status") == PAID)
     now = ts_literal(as_of)
-    orders = (requests.join(paid, "request_id")
+    orders = (paid
               .select(F.col("request_id").alias("order_id"), "user_id",
                       F.col("total_amount").cast("decimal(10,2)").alias("total_amount"),
                       "shipping_address", "payment_method", F.lit(PAID).alias("status"),
@@ -123,11 +128,12 @@ def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of,
     (``checkpoint`` to the shared checkpoint folder by default; see
     :mod:`cobbler.plans.materialize`).
     """
-    lines = materialize(price_checkout_lines(t, requests, as_of), materialize_lines)
-    status = checkout_status(requests, lines)
+    req = prepare_requests(requests)
+    lines = materialize(price_checkout_lines(t, req, as_of), materialize_lines)
+    status = checkout_status(req, lines)
     paid = paid_lines(lines, status)
-    out = {"lines": lines, "status": status}
-    out.update(build_orders(requests, lines, status, as_of))
+    out = {"lines": lines, "status": status.drop("shipping_address", "payment_method")}
+    out.update(build_orders(lines, status, as_of))
     out.update(stock_and_sold_deltas(t, paid))
     out["cart"] = purge_cart(t, paid)
     return out

@@ -169,3 +169,25 @@ def test_hot_cart_row_spread_over_partitions_matches_loop(spark):
     want_st, want_cart = _loop(cart_rows, stock, rows)
     assert {r.request_id: r.status for r in out["status"].collect()} == want_st
     assert {r.cart_id: (r.user_id, r.option_id, r.quantity) for r in out["cart"].collect()} == want_cart
+
+
+def test_checkout_invariants_on_generated_data(spark):
+    """SURVEY §5 invariants: item totals add up to the order total; stock falls by exactly what
+    was sold; a rejected request changes nothing."""
+    from pyspark.sql import functions as F
+
+    from cobbler.sources.testdata import GeneratedShop
+    shop = GeneratedShop(spark, "/root/testdata/sf0.001")
+    t = shop.tables()
+    out = checkout.checkout(t, shop.checkout_requests, "1998-06-15 00:00:00", materialize_lines="none")
+    items = out["order_items"].groupBy(F.col("order_id")).agg(F.sum(F.col("price") * F.col("quantity")).alias("s"))
+    for r in out["orders"].join(items, "order_id").collect():
+        assert float(r.total_amount) == float(r.s)
+    sold = out["order_items"].agg(F.sum("quantity")).first()[0] or 0
+    before = t["product_options"].agg(F.sum("stock_quantity")).first()[0]
+    after = out["product_options"].agg(F.sum("stock_quantity")).first()[0]
+    assert before - after == sold
+    rejected = out["status"].filter(F.col("status") != "paid").select("request_id")
+    kept = out["lines"].join(rejected, "request_id", "left_semi").select("cart_id")
+    assert kept.join(out["cart"], "cart_id", "left_anti").count() == 0       # their cart rows remain
+    assert out["status"].filter(F.col("status") == "paid").count() == 4
