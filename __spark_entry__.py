@@ -188,6 +188,51 @@ def q_options_after_update(spark, sf_dir):
     return o.withColumn("option_id", F.when(~F.col("is_new"), F.col("option_id")))
 
 
+def _load_products(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    return loads.load_products(shop.nested_products, oq.LOAD_AS_OF)
+
+
+def q_load_status(spark, sf_dir):
+    return _load_products(spark, sf_dir)["status"]
+
+
+def q_loaded_variants(spark, sf_dir):
+    v = _load_products(spark, sf_dir)["product_variants"]
+    return v.select("product_id", "color_name", "representative_image_url", "discount_rate", "registration_date")
+
+
+def q_loaded_options(spark, sf_dir):
+    out = _load_products(spark, sf_dir)
+    return (out["product_options"].join(out["product_variants"].select("variant_id", "product_id"), "variant_id")
+            .select("product_id", "size", "stock_quantity"))
+
+
+def _add_variants(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    return loads.add_variants(shop.tables(), shop.new_variants, oq.LOAD_AS_OF)
+
+
+def q_variant_add_status(spark, sf_dir):
+    return _add_variants(spark, sf_dir)["status"]
+
+
+def q_variants_added(spark, sf_dir):
+    v = _add_variants(spark, sf_dir)["product_variants"]
+    return v.select("variant_id", "product_id", "color_name", "representative_image_url", "discount_rate",
+                    "registration_date")
+
+
+def q_options_added(spark, sf_dir):
+    return _add_variants(spark, sf_dir)["product_options"].select("variant_id", "size", "stock_quantity")
+
+
+def q_variants_after_images(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    v = loads.set_variant_images(shop.tables(), shop.image_changes)
+    return v.select("variant_id", "representative_image_url")
+
+
 def _user_intake(spark, sf_dir):
     shop = _shop(spark, sf_dir)
     return loads.intake_users(shop.tables(), shop.user_requests)
@@ -235,6 +280,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sold_after": q_sold_after,
         "cart_after_checkout": q_cart_after_checkout,
         "options_after_update": q_options_after_update,
+        "load_status": q_load_status,
+        "loaded_variants": q_loaded_variants,
+        "loaded_options": q_loaded_options,
+        "variant_add_status": q_variant_add_status,
+        "variants_added": q_variants_added,
+        "options_added": q_options_added,
+        "variants_after_images": q_variants_after_images,
         "user_intake": q_user_intake,
         "users_after_intake": q_users_after_intake,
     }

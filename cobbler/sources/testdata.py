@@ -266,6 +266,49 @@ class GeneratedShop:
             F.col("l_quantity").cast("int").alias("stock"),
             F.struct("l_shipdate", "l_orderkey", "l_extendedprice").alias("seq"))
 
+    @cached_property
+    def nested_products(self) -> DataFrame:
+        """Every part as a nested product feed: its variants (by variant_id), each with its options."""
+        opts = (self.product_options.groupBy("variant_id")
+                .agg(F.array_sort(F.collect_list(F.struct("size", F.col("stock_quantity").alias("stock"))))
+                     .alias("options")))
+        per_product = (self.product_variants.join(opts, "variant_id", "left")
+                       .groupBy("product_id")
+                       .agg(F.array_sort(F.collect_list(F.struct(
+                           "variant_id", "color_name", F.col("representative_image_url").alias("image"),
+                           "discount_rate", "options"))).alias("v")))
+        return (self.products.join(per_product, "product_id", "left")
+                .select("product_id", F.col("name").alias("group_name"), "base_price",
+                        F.transform("v", lambda x: F.struct(x["color_name"].alias("color_name"),
+                                                            x["image"].alias("image"),
+                                                            x["discount_rate"].alias("discount_rate"),
+                                                            x["options"].alias("options"))).alias("variants")))
+
+    @cached_property
+    def new_variants(self) -> DataFrame:
+        """New colours requested by purchase events for product k, each with one size."""
+        ev = self.raw("events").filter(F.col("event_type") == "purchase")
+        return ev.select(
+            F.col("event_id").alias("request_id"), _k().alias("product_id"),
+            F.concat(F.lit("Colour "), (F.col("event_id") % 10).cast("string")).alias("color_name"),
+            F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("/images/new-"), F.col("event_id").cast("string"), F.lit(".jpg")))
+             .alias("image"),
+            (F.col("event_id") % 30).cast("int").alias("discount_rate"),
+            F.array(F.struct((230 + 10 * (F.col("event_id") % 7)).cast("string").alias("size"),
+                             (F.col("event_id") % 5).cast("int").alias("stock"))).alias("options"))
+
+    @cached_property
+    def image_changes(self) -> DataFrame:
+        """A new image per 'A' line item; the latest (ship date, order) per variant wins."""
+        li = self.raw("lineitem").filter(F.col("l_returnflag") == "A")
+        return li.select(
+            self._variant_id().alias("variant_id"),
+            F.concat(F.lit("/images/"), F.col("l_partkey").cast("string"), F.lit("-"),
+                     F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_orderkey").cast("string"),
+                     F.lit(".jpg")).alias("image"),
+            F.struct("l_shipdate", "l_orderkey").alias("seq"))
+
     @cached_property
     def review_requests(self) -> DataFrame:
         ev = self.raw("events").filter(F.col("event_type") == "signup")
