@@ -54,3 +54,22 @@ def test_cart_feed_stream_applies_micro_batches(spark):
     st = {r.request_id: r.status for r in cur["cart_change_status"].collect()}
     assert st == {1: "accepted", 2: "accepted", 3: "accepted", 4: "accepted"}
     assert snapshots.current_paths(spark, root)[0] == 2
+
+
+def test_checkout_and_review_jobs_publish_batches(spark):
+    from cobbler.plans import jobs
+    from cobbler.sources import schemas
+    root = _scratch()
+    snapshots.publish(spark, root, 0, replace=make_shop(spark))
+    req = spark.createDataFrame([(1, 1, "addr", "card", None), (2, 2, "addr", "card", [13])],
+                                schemas.CHECKOUT_REQUESTS)
+    snapshots.run_batch(spark, root, 1, lambda t: jobs.checkout_job(t, req, dt.datetime(2025, 1, 15)))
+    cur = snapshots.read_current(spark, root)
+    assert cur["orders"].count() == 6 and cur["order_items"].count() == 8
+    assert sorted(r.cart_id for r in cur["cart"].collect()) == [13, 14, 15]
+    assert {r.option_id: r.stock_quantity for r in cur["product_options"].collect()}[1] == 8
+    assert cur["product_options"].columns == [f.name for f in schemas.PRODUCT_OPTIONS.fields]
+    rv = spark.createDataFrame([(50, 1, 2, 1, 5, "t", "")], schemas.REVIEW_REQUESTS)
+    snapshots.run_batch(spark, root, 2, lambda t: jobs.review_intake_job(t, rv, dt.datetime(2025, 2, 1)))
+    cur = snapshots.read_current(spark, root)
+    assert cur["reviews"].count() == 8 and cur["review_status"].first().status == "accepted"
