@@ -7,7 +7,8 @@ apply and nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas
@@ -32,3 +33,13 @@ def read_requests(spark: SparkSession, path: str, schema: T.StructType,
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """An empty table of the given schema (a new shop with no rows yet)."""
     return spark.createDataFrame([], schema)
+
+
+def json_text(col) -> Column:
+    """A nested column as JSON text with null fields kept, as the reference's JSON_OBJECT does."""
+    return F.to_json(col, {"ignoreNullFields": "false"})
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a (nested) result as JSON lines, keeping null fields (N3) — the reference's ``res.json``."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -73,3 +73,17 @@ def test_checkout_and_review_jobs_publish_batches(spark):
     snapshots.run_batch(spark, root, 2, lambda t: jobs.review_intake_job(t, rv, dt.datetime(2025, 2, 1)))
     cur = snapshots.read_current(spark, root)
     assert cur["reviews"].count() == 8 and cur["review_status"].first().status == "accepted"
+
+
+def test_json_sink_keeps_null_fields(spark):
+    from pyspark.sql import functions as F
+
+    from cobbler.operators import catalog
+    from cobbler.sources.tables import json_text, write_json
+    t = make_shop(spark)
+    out = _scratch() + "/admin"
+    write_json(catalog.admin_catalog(t).filter("group_id in (5, 6)"), out)
+    text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".json"))
+    assert '"variants":null' in text and '"options":null' in text and '"image":null' in text
+    row = spark.range(1).select(json_text(F.struct(F.lit(None).cast("int").alias("a"))).alias("j")).first()
+    assert row.j == '{"a":null}'
