@@ -189,9 +189,10 @@ class GeneratedShop:
 
     @cached_property
     def _first_option_of_product(self) -> DataFrame:
-        # A variant's product is its part key (mapping rule), so this reads the line-item aggregate directly.
-        return (self._option_stats
-                .groupBy(F.col("l_partkey").alias("product_id"))
+        """Lowest option id of every product the events name (a variant's product is its part key)."""
+        named = self.raw("events").select(_k().alias("l_partkey")).distinct()
+        li = self.raw("lineitem").join(named, "l_partkey", "left_semi")
+        return (li.groupBy(F.col("l_partkey").alias("product_id"))
                 .agg(F.min(self._variant_id() * OPTION_KEY_SCALE + F.col("l_linenumber")).alias("option_id")))
 
     @cached_property
