@@ -25,15 +25,17 @@ def _daily(t: dict[str, DataFrame], start, end) -> DataFrame:
     sold = (orders
             .filter(day_range("created_at", start, end, column_type(orders, "created_at")))
             .filter(F.upper("status").isin(*SOLD_STATUSES))
-            .select("order_id", F.date_format("created_at", "yyyy-MM-dd").alias("sales_date")))
+            .select("order_id", F.to_date("created_at").alias("sales_day")))
     lines = items.select("order_id", "option_id", "quantity", "price").join(sold, "order_id")
-    per_option = lines.groupBy("option_id", "sales_date").agg(
+    # group on the 4-byte date; the day's text is made once per result row, after aggregation
+    per_option = lines.groupBy("option_id", "sales_day").agg(
         F.sum("quantity").alias("qty"), F.sum(F.col("quantity") * F.col("price")).alias("revenue"))
     per_variant = (per_option.join(t["product_options"].select("option_id", "variant_id"), "option_id")
-                   .groupBy("variant_id", "sales_date")
+                   .groupBy("variant_id", "sales_day")
                    .agg(F.sum("qty").cast("bigint").alias("daily_qty"),
                         F.sum("revenue").alias("daily_revenue")))
-    return per_variant
+    return per_variant.select("variant_id", F.date_format("sales_day", "yyyy-MM-dd").alias("sales_date"),
+                              "daily_qty", "daily_revenue")
 
 
 def _variant_names(t: dict[str, DataFrame]) -> DataFrame:
