@@ -47,3 +47,29 @@ def test_chained_chunks_equal_one_fold():
                                              [e[3] for e in c], stock).to_rows())
             st = t(st)
         assert st == _fold(st0, ev, stock)
+
+
+def test_pass_a_chunked_run_equals_whole_run(monkeypatch):
+    """Pass A folds long runs in chunks; classes first seen in a later chunk must still be exact."""
+    import json
+
+    import pandas as pd
+
+    from cobbler.operators import cart
+
+    rnd = random.Random(9)
+    ev = _events(rnd, 57)
+    n = len(ev)
+    pdf = pd.DataFrame({"user_id": [1] * n, "option_id": [2] * n, "ts_us": [e[3] for e in ev],
+                        "op": [e[0] for e in ev], "a": [e[1] or 0 for e in ev], "cid": [e[2] for e in ev],
+                        "stock": [6] * n, "pid": [0] * n, "has_row": [True] * n, "q0": [3] * n,
+                        "old_id": [7] * n, "c0": [1] * n, "u0": [2] * n})
+    outs = []
+    for buf in (5, 10_000):
+        monkeypatch.setattr(cart, "_RUN_BUFFER", buf)
+        out = list(cart._boundary_summaries(iter([pdf.iloc[:20], pdf.iloc[20:]])))[0]
+        outs.append(Transfer.from_rows(json.loads(out["pieces"][0])))
+    for q in range(0, 9):
+        for rid in (None, 7, 8, 9):
+            st = (q, rid if q else None, 1 if q else None, 2 if q else None)
+            assert outs[0](st) == outs[1](st) == _fold(st, [(o, a or 0, c, ts) for o, a, c, ts in ev], 6)
