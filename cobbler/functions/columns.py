@@ -1,6 +1,8 @@
-"""Column helpers that fix the shop's comparison, date and rounding rules.
+"""Helpers that fix the shop's comparison, date and rounding rules.
 
-All are built-in Spark expressions (JVM side, inside whole-stage codegen).
+Column helpers are built-in Spark expressions (JVM side, inside whole-stage
+codegen); the date helpers on plain values turn a job's ``as_of`` parameter
+into constants before any plan is built.
 """
 
 from __future__ import annotations
