@@ -86,6 +86,9 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    if "cobbler" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(sc.applicationId)      # submitted with --py-files: executors already have it
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="cobbler-pkg-"), "cobbler.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
