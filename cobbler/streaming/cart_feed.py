@@ -1,48 +1,23 @@
-"""The cart change feed as a Structured Streaming query.
+"""The cart change feed as a Structured Streaming query (the common case of :mod:`.feeds`).
 
-Requests arrive as JSON files in a folder (or any streaming source). Each
-micro-batch is applied to the current cart with :func:`apply_cart_changes`
-and published as a new batch of the shop (``cobbler.plans.snapshots``): the
-new cart replaces the old one, the statuses are appended. The micro-batch id
-is the batch id, and the query's checkpoint location records progress, so a
-restarted query re-applies an unfinished micro-batch to the same snapshot and
-overwrites its own output (exactly-once effect).
+Each micro-batch of cart changes is applied to the current cart with
+:func:`cobbler.operators.cart.apply_cart_changes`; the new cart replaces the
+old one and the per-request statuses are appended.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cart import apply_cart_changes
-from ..plans.snapshots import current_paths, publish, read_current
+from ..plans.jobs import cart_changes_job
 from ..sources import schemas
-
-
-def apply_micro_batch(spark: SparkSession, root: str, batch: DataFrame, shop_batch: int) -> None:
-    last, _ = current_paths(spark, root)
-    if last is not None and last >= shop_batch:     # already published by an earlier attempt
-        return
-    tables = read_current(spark, root)
-    out = apply_cart_changes(tables, batch)
-    publish(spark, root, shop_batch, replace={"cart": out["cart"]}, append={"cart_change_status": out["status"]})
+from .feeds import start_feed
 
 
 def start_cart_feed(spark: SparkSession, root: str, changes_dir: str, checkpoint_location: str,
                     first_batch: int, available_now: bool = True,
                     max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the stream; micro-batch ``n`` is published as shop batch ``first_batch + n``.
-
-    ``first_batch`` must stay the same across restarts of one query (it is what makes
-    a retried micro-batch land on the same shop batch). ``available_now`` drains what
-    is there and stops (batch-style runs).
-    """
-    reader = spark.readStream.schema(schemas.CART_CHANGES)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    changes = reader.json(changes_dir)
-    writer = (changes.writeStream
-              .foreachBatch(lambda df, bid: apply_micro_batch(spark, root, df, first_batch + bid))
-              .option("checkpointLocation", checkpoint_location))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
-    return writer.start()
+    """Start the cart stream; micro-batch ``n`` is published as shop batch ``first_batch + n``."""
+    return start_feed(spark, root, changes_dir, schemas.CART_CHANGES, cart_changes_job, checkpoint_location,
+                      first_batch, available_now, max_files_per_trigger)

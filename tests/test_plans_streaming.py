@@ -87,3 +87,23 @@ def test_json_sink_keeps_null_fields(spark):
     assert '"variants":null' in text and '"options":null' in text and '"image":null' in text
     row = spark.range(1).select(json_text(F.struct(F.lit(None).cast("int").alias("a"))).alias("j")).first()
     assert row.j == '{"a":null}'
+
+
+def test_review_feed_stream(spark):
+    from cobbler.plans import jobs
+    from cobbler.sources import schemas
+    from cobbler.streaming.feeds import start_feed
+    root, feed_dir, ckpt = _scratch(), _scratch(), _scratch()
+    snapshots.publish(spark, root, 0, replace=make_shop(spark))
+    rows = [{"request_id": 70, "user_id": 9, "product_id": 4, "rating": 5},
+            {"request_id": 71, "user_id": 9, "product_id": 4, "rating": 4},
+            {"request_id": 72, "user_id": 9, "product_id": 77, "rating": 4}]
+    with open(os.path.join(feed_dir, "part-0.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    q = start_feed(spark, root, feed_dir, schemas.REVIEW_REQUESTS,
+                   lambda t, b: jobs.review_intake_job(t, b, dt.datetime(2025, 2, 1)), ckpt, first_batch=1)
+    q.awaitTermination(120)
+    cur = snapshots.read_current(spark, root)
+    assert {r.request_id: r.status for r in cur["review_status"].collect()} == {
+        70: "accepted", 71: "duplicate", 72: "not_found"}
+    assert cur["reviews"].count() == 8
