@@ -88,7 +88,7 @@ if __name__ == "__main__":
     from cobbler.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2:] or None
-    spark = build_session()
+    spark = build_session(extra={"spark.driver.memory": os.environ.get("ORACLE_DRIVER_MEM", "4g")})
     spark.sparkContext.setLogLevel("ERROR")
     r = compare(spark, sf, keys)
     bad = [k for k, v in r.items() if not v.get("values", True) or not v.get("columns", True)]
