@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Statuses that count as sold (compared upper-cased).
-SOLD_STATUSES = ("PAID", "SHIPPED", "DELIVERED")
 
 
 def col(c) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.columns import as_datetime, one_month_back, size_number, ts_literal
 from ..functions.pricing import price_floored, price_rounded, sale_active
 
@@ -33,7 +34,7 @@ def option_details(t: dict[str, DataFrame]) -> DataFrame:
     return o.join(v, "variant_id").join(p, "product_id")
 
 
-def product_page(t: dict[str, DataFrame], n: int = 5) -> DataFrame:
+def product_page(t: dict[str, DataFrame], n: int = fixed.PRODUCT_PAGE_SIZE) -> DataFrame:
     """The first ``n`` products (id, name, base price), by product_id (T13 tie-break)."""
     return t["products"].select("product_id", "name", "base_price").orderBy("product_id").limit(n)
 
@@ -46,7 +47,7 @@ def in_stock_sizes(t: dict[str, DataFrame], variants: DataFrame | None = None) -
     return o.groupBy("variant_id").agg(F.array_sort(F.collect_list("size")).alias("sizes"))
 
 
-def popular_variants(t: dict[str, DataFrame], n: int = 10) -> DataFrame:
+def popular_variants(t: dict[str, DataFrame], n: int = fixed.POPULAR_LIST_SIZE) -> DataFrame:
     """The ``n`` most recently registered variants with price rule P1, image and in-stock sizes.
 
     The top-n is taken first (``TakeOrderedAndProject``), so sizes are aggregated
@@ -70,7 +71,7 @@ def popular_variants(t: dict[str, DataFrame], n: int = 10) -> DataFrame:
             .orderBy("rank"))
 
 
-def gender_catalog(t: dict[str, DataFrame], as_of, gender: str = "MEN") -> DataFrame:
+def gender_catalog(t: dict[str, DataFrame], as_of, gender: str = fixed.CATALOG_GENDER) -> DataFrame:
     """C4: one row per product of ``gender`` that has variants, shown through its first variant.
 
     Fields follow the reference's list card: main variant (lowest variant_id), its
@@ -100,10 +101,10 @@ def gender_catalog(t: dict[str, DataFrame], as_of, gender: str = "MEN") -> DataF
     d = F.coalesce(F.col("m.discount"), F.lit(0))
     month_ago = ts_literal(one_month_back(as_of))
     tags = F.array_compact(F.array(
-        F.when(F.col("m.registration_date").cast("timestamp") >= month_ago, F.lit("new")),
-        F.when((d > 0) & sale_active("m.sale_start_date", "m.sale_end_date", as_of), F.lit("sale")),
-        F.when(F.col("badge").contains("LIFESTYLE"), F.lit("lifestyle")),
-        F.when(F.col("badge").contains("SLIP"), F.lit("slipon"))))
+        F.when(F.col("m.registration_date").cast("timestamp") >= month_ago, F.lit(fixed.TAG_NEW)),
+        F.when((d > 0) & sale_active("m.sale_start_date", "m.sale_end_date", as_of), F.lit(fixed.TAG_SALE)),
+        F.when(F.col("badge").contains(fixed.BADGE_LIFESTYLE), F.lit(fixed.TAG_LIFESTYLE)),
+        F.when(F.col("badge").contains(fixed.BADGE_SLIP), F.lit(fixed.TAG_SLIPON))))
     out = (prods.join(per_product, "product_id")
            .join(sizes, F.col("m.variant_id") == sizes["variant_id"], "left")
            .select(F.col("m.variant_id").alias("id"), F.col("product_id"), "name",
@@ -119,7 +120,7 @@ def gender_catalog(t: dict[str, DataFrame], as_of, gender: str = "MEN") -> DataF
                    F.col("m.sale_start_date").alias("sale_start"),
                    F.col("m.sale_end_date").alias("sale_end"),
                    F.coalesce(F.col("m.sold_count"), F.lit(0)).alias("sold_count"),
-                   F.coalesce(F.col("m.sold_count") > 1000, F.lit(False)).alias("is_recommended")))
+                   F.coalesce(F.col("m.sold_count") > fixed.RECOMMENDED_SOLD_OVER, F.lit(False)).alias("is_recommended")))
     return out.orderBy("product_id")
 
 

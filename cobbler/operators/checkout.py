@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, ts_literal
+from ..functions.fixed import PAID_STATUS as PAID
 from ..functions.pricing import price_at_checkout
 from ..plans.materialize import materialize
 from .catalog import option_details
 
-# Final order status written by a successful checkout.
-PAID = "paid"
-
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Flag each request ``_deferred`` (not the user's first in the batch) and ``_invalid``

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, blank_to_null, half_up_tenths, ts_literal
+from ..functions.fixed import RATING_MAX, RATING_MIN
 
 REVIEW_FIELDS = ["review_id", "product_id", "user_id", "rating", "title", "content", "created_at"]
 
@@ -66,7 +67,7 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
     has_item = F.col("order_item_id").isNotNull() & (F.col("order_item_id") != 0)
     base_status = (F.when(F.col("product_id").isNull() | (F.col("product_id") == 0)
                           | F.col("rating").isNull() | (F.col("rating") == 0), "invalid")
-                   .when((F.col("rating") < 1) | (F.col("rating") > 5), "bad_rating")
+                   .when((F.col("rating") < RATING_MIN) | (F.col("rating") > RATING_MAX), "bad_rating")
                    .when(F.col("_known").isNull(), "not_found"))
     req = req.withColumn("_base", base_status).withColumn("_item", has_item)
     valid = req.filter(F.col("_base").isNull())

@@ -13,11 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import SOLD_STATUSES, column_type, day_range
-
-# Defaults of the reference's sales endpoint (used when no dates are given).
-DEFAULT_START = "2025-01-01"
-DEFAULT_END = "2025-12-31"
+from ..functions.columns import column_type, day_range
+from ..functions.fixed import SALES_DEFAULT_END as DEFAULT_END
+from ..functions.fixed import SALES_DEFAULT_START as DEFAULT_START
+from ..functions.fixed import SOLD_STATUSES
 
 
 def _daily(t: dict[str, DataFrame], start, end) -> DataFrame:
