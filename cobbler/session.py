@@ -65,7 +65,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/cobbler-che
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
     the fallback is for local tests only.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None) or fallback
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     target = configured or fallback
@@ -83,11 +86,15 @@ def ship_package(spark: SparkSession) -> None:
     their functions by module reference, so the workers need the package: it is
     zipped on the driver and distributed with ``addPyFile`` (what ``--py-files`` does).
     """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # Spark Connect
+        sc, app = None, f"connect-{id(spark)}"
+    if app in _SHIPPED:
         return
-    if "cobbler" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
-        _SHIPPED.add(sc.applicationId)      # submitted with --py-files: executors already have it
+    if sc is not None and "cobbler" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(app)                   # submitted with --py-files: executors already have it
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="cobbler-pkg-"), "cobbler.zip")
@@ -97,5 +104,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
+    if sc is not None:
+        sc.addPyFile(target)
+    else:
+        spark.addArtifacts(target, pyfile=True)
+    _SHIPPED.add(app)
