@@ -67,7 +67,7 @@ def popular_variants(t: dict[str, DataFrame], n: int = fixed.POPULAR_LIST_SIZE)
                     price_rounded("base_price", "discount_rate").alias("price"),
                     F.col("representative_image_url").alias("image"),
                     F.coalesce("sizes", F.array().cast("array<string>")).alias("sizes"),
-                    F.row_number().over(w).alias("rank"))
+                    F.row_number().over(w).cast("bigint").alias("rank"))
             .orderBy("rank"))
 
 
