@@ -107,3 +107,22 @@ def test_review_feed_stream(spark):
     assert {r.request_id: r.status for r in cur["review_status"].collect()} == {
         70: "accepted", 71: "duplicate", 72: "not_found"}
     assert cur["reviews"].count() == 8
+
+
+def test_command_line_init_query_and_job(spark):
+    from cobbler.__main__ import main
+    tables_dir, shop, out = _scratch(), _scratch(), _scratch()
+    for name, df in make_shop(spark).items():
+        df.write.mode("overwrite").parquet(f"{tables_dir}/{name}")
+    assert main(["init", "--shop", shop, "--tables", tables_dir]) == 0
+    assert main(["query", "admin_catalog", "--shop", shop, "--out", out + "/admin"]) == 0
+    lines = [json.loads(x) for f in os.listdir(out + "/admin") if f.endswith(".json")
+             for x in open(os.path.join(out, "admin", f))]
+    assert len(lines) == 6 and {r["group_id"] for r in lines if r["variants"] is None} == {5}
+    feed = os.path.join(out, "checkout.json")
+    with open(feed, "w") as f:
+        f.write(json.dumps({"request_id": 1, "user_id": 1, "shipping_address": "a", "payment_method": "c"}) + "\n")
+    assert main(["job", "checkout", "--shop", shop, "--feed", feed, "--batch", "1",
+                 "--as-of", "2025-01-15 00:00:00"]) == 0
+    cur = snapshots.read_current(spark, shop)
+    assert cur["orders"].count() == 6 and cur["checkout_status"].first().status == "paid"
