@@ -7,6 +7,12 @@ the latest published tables and publishes the result as the next shop batch
 ``first_batch + n``; a restarted query re-runs an unfinished micro-batch
 against the same snapshot and overwrites its own files, so each micro-batch
 takes effect exactly once.
+
+Order: micro-batches apply in arrival order, as the reference's handlers apply
+requests as they come; within one micro-batch the job's own feed order holds
+(``(ts, request_id)``). A late request is therefore applied after those already
+published, never re-sequenced before them, and no watermark is needed: no state
+is kept between micro-batches except the published tables.
 """
 
 from __future__ import annotations
