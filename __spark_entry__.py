@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from cobbler.operators import cart, catalog, checkout, loads, orders, reviews, sales  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
+from cobbler.session import apply_sql_conf  # noqa: E402
 from cobbler.sources.testdata import GeneratedShop  # noqa: E402
 from oracle import queries as oq  # noqa: E402
 
@@ -25,7 +26,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 
 def _shop(spark: SparkSession, sf_dir: str) -> GeneratedShop:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    apply_sql_conf(spark)          # UTC, AQE, skew join, broadcast only from measured sizes
     return GeneratedShop(spark, sf_dir)
 
 

@@ -21,6 +21,10 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Broadcast only from sizes measured at run time (AQE, shuffle statistics). Static
+    # estimates of derived tables come from compressed file sizes and run low.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # checkpoint files are removed once the DataFrame that wrote them is unreferenced
@@ -59,6 +63,14 @@ def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def apply_sql_conf(spark: SparkSession) -> SparkSession:
+    """Apply the shop's SQL settings to an existing session (they are all runtime settings)."""
+    for k, v in BASE_CONF.items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/cobbler-checkpoints") -> str:
     """Return the cluster's shared checkpoint folder; set ``fallback`` only if none is configured.
 
