@@ -21,9 +21,10 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Broadcast only from sizes measured at run time (AQE, shuffle statistics). Static
-    # estimates of derived tables come from compressed file sizes and run low.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # Static estimates come from compressed file sizes and run low (up to ~10x), so the
+    # planner may broadcast only what it estimates at 1 MB; everything else is decided by
+    # AQE from the shuffle sizes it measures at run time (10 MB).
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
