@@ -17,7 +17,7 @@ import sys
 from .functions import fixed
 from .operators import cart, catalog, orders, reviews, sales
 from .plans import jobs, snapshots
-from .session import build_session
+from .session import CLUSTER_CONF, build_session
 from .sources import schemas
 from .sources.tables import read_requests, read_table, write_json
 
@@ -72,11 +72,16 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--end", default=None)
         s.add_argument("--gender", default=None)
     p.add_argument("--master", default=None, help="Spark master (default: from spark-submit)")
+    p.add_argument("--cluster", action="store_true",
+                   help="apply the large-cluster settings (session.CLUSTER_CONF)")
     a = p.parse_args(argv)
     if getattr(a, "as_of", None) is None:
         a.as_of = dt.datetime.now().replace(microsecond=0)   # the reference reads the wall clock
 
-    spark = build_session(master=a.master or None)
+    extra = dict(CLUSTER_CONF) if a.cluster else None
+    spark = build_session(master=a.master or None,
+                          shuffle_partitions=int(CLUSTER_CONF["spark.sql.shuffle.partitions"]) if a.cluster else 8,
+                          extra=extra)
     try:
         spark.sparkContext.setLogLevel("ERROR")
     except Exception:  # Spark Connect
