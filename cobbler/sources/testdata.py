@@ -265,7 +265,8 @@ class GeneratedShop:
         return li.select(
             self._variant_id().alias("variant_id"), size.cast("string").alias("size"),
             F.col("l_quantity").cast("int").alias("stock"),
-            F.struct("l_shipdate", "l_orderkey", "l_extendedprice").alias("seq"))
+            # FIXTURES' order (ship date, order, price); quantity last so full ties cannot differ
+            F.struct("l_shipdate", "l_orderkey", "l_extendedprice", "l_quantity").alias("seq"))
 
     @cached_property
     def nested_products(self) -> DataFrame:

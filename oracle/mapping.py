@@ -93,7 +93,7 @@ CTES = {
     "s_option_changes": """
         SELECT l_partkey * 1000000 + l_suppkey AS variant_id,
                CAST(220 + 10 * l_linenumber + CASE WHEN l_linestatus = 'O' THEN 5 ELSE 0 END AS VARCHAR) AS size,
-               CAST(l_quantity AS INTEGER) AS stock, l_shipdate, l_orderkey, l_extendedprice
+               CAST(l_quantity AS INTEGER) AS stock, l_shipdate, l_orderkey, l_extendedprice, l_quantity
         FROM lineitem WHERE l_returnflag = 'N'""",
     "s_review_requests": f"""
         SELECT event_id AS request_id, ts, user_id, {K} AS product_id,
