@@ -21,10 +21,10 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Static estimates come from compressed file sizes and run low (up to ~10x), so the
-    # planner may broadcast only what it estimates at 1 MB; everything else is decided by
-    # AQE from the shuffle sizes it measures at run time (10 MB).
-    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    # Static estimates come from compressed file sizes and run low, so the planner never
+    # broadcasts on its own; AQE broadcasts a side only when the shuffle size it measured at
+    # run time is under 10 MB. (Explicit hints remain for results with a proven bound.)
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
