@@ -126,3 +126,39 @@ def test_command_line_init_query_and_job(spark):
                  "--as-of", "2025-01-15 00:00:00"]) == 0
     cur = snapshots.read_current(spark, shop)
     assert cur["orders"].count() == 6 and cur["checkout_status"].first().status == "paid"
+
+
+def test_every_write_path_publishes_in_the_table_schemas(spark):
+    from decimal import Decimal
+
+    from cobbler.plans import jobs
+    from cobbler.sources import schemas
+    root = _scratch()
+    snapshots.publish(spark, root, 0, replace=make_shop(spark))
+    as_of = dt.datetime(2025, 5, 1)
+    t0 = dt.datetime(2025, 4, 1)
+    feeds = [
+        lambda t: jobs.cart_changes_job(t, spark.createDataFrame(
+            [(1, t0, 1, "add", 1, None, 1), (2, t0, 2, "remove", None, 13, None)], schemas.CART_CHANGES)),
+        lambda t: jobs.load_products_job(t, spark.createDataFrame(
+            [(10, "new", Decimal("1.00"), [("blue", None, 5, [("250", 3)])])], schemas.NESTED_PRODUCTS), as_of),
+        lambda t: jobs.add_variants_job(t, spark.createDataFrame(
+            [(700, 10, "olive", None, 0, [("260", 2)])], schemas.NEW_VARIANTS), as_of),
+        lambda t: jobs.update_variants_job(t, spark.createDataFrame(
+            [(1, 700, 5, True, [("260", 9), ("265", 1)])], schemas.VARIANT_CHANGES)),
+        lambda t: jobs.set_images_job(t, spark.createDataFrame(
+            [(1, 700, "o.jpg")], "request_id bigint, variant_id bigint, image string")),
+        lambda t: jobs.user_intake_job(t, spark.createDataFrame(
+            [(9, "dee@shop.test", "dee", None, True)], schemas.USER_REQUESTS)),
+    ]
+    for i, job in enumerate(feeds, start=1):
+        snapshots.run_batch(spark, root, i, job)
+    cur = snapshots.read_current(spark, root)
+    for name, schema in schemas.TABLES.items():
+        assert cur[name].schema.simpleString() == schema.simpleString().replace(" NOT NULL", ""), name
+    assert {r.cart_id for r in cur["cart"].collect()} == {11, 12, 14, 15}
+    v = {r.variant_id: r for r in cur["product_variants"].collect()}
+    assert v[700].discount_rate == 5 and v[700].representative_image_url == "o.jpg"
+    opts = sorted((r.size, r.stock_quantity) for r in cur["product_options"].collect() if r.variant_id == 700)
+    assert opts == [("260", 9), ("265", 1)]
+    assert cur["products"].count() == 7 and cur["users"].count() == 4
