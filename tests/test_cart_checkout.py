@@ -191,3 +191,22 @@ def test_checkout_invariants_on_generated_data(spark):
     kept = out["lines"].join(rejected, "request_id", "left_semi").select("cart_id")
     assert kept.join(out["cart"], "cart_id", "left_anti").count() == 0       # their cart rows remain
     assert out["status"].filter(F.col("status") == "paid").count() == 4
+
+
+def test_edge_inputs(spark):
+    from cobbler.operators import catalog, sales
+    t = make_shop(spark)
+    # a feed without ts applies in request_id order
+    feed = spark.createDataFrame([(2, 1, "add", 1, None, 1), (1, 1, "add", 1, None, 8)],
+                                 "request_id bigint, user_id bigint, op string, option_id bigint, cart_id bigint, "
+                                 "quantity int")
+    out = cart.apply_cart_changes(t, feed)
+    assert {r.request_id: r.status for r in out["status"].collect()} == {1: "accepted", 2: "stock"}
+    assert {r.cart_id: r.quantity for r in out["cart"].collect()}[11] == 10
+    # an empty checkout batch changes nothing
+    none = spark.createDataFrame([], schemas.CHECKOUT_REQUESTS)
+    res = checkout.checkout(t, none, dt.datetime(2025, 1, 1))
+    assert res["orders"].count() == 0 and res["cart"].count() == t["cart"].count()
+    # empty results where nothing qualifies
+    assert sales.sales_summary(t, "1990-01-01", "1990-12-31").count() == 0
+    assert catalog.gender_catalog(t, dt.datetime(2025, 1, 1), "KIDS").count() == 0
