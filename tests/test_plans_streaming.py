@@ -162,3 +162,27 @@ def test_every_write_path_publishes_in_the_table_schemas(spark):
     opts = sorted((r.size, r.stock_quantity) for r in cur["product_options"].collect() if r.variant_id == 700)
     assert opts == [("260", 9), ("265", 1)]
     assert cur["products"].count() == 7 and cur["users"].count() == 4
+
+
+def test_published_orders_are_clustered_by_date(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from cobbler.sources.testdata import GeneratedShop
+    root = _scratch()
+    orders = GeneratedShop(spark, "/root/testdata/sf0.01").tables()["orders"].repartition(8)  # scattered input
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        snapshots.publish(spark, root, 0, replace={"orders": orders})
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ranges = []
+    for f in sorted(glob.glob(f"{root}/orders/batch=0/*.parquet")):
+        md = pq.ParquetFile(f).metadata
+        col = [i for i in range(md.num_columns) if md.schema.column(i).name == "created_at"][0]
+        st = [md.row_group(g).column(col).statistics for g in range(md.num_row_groups)]
+        ranges.append((min(s.min for s in st), max(s.max for s in st)))
+    ranges.sort()
+    assert len(ranges) > 1
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))     # files cover disjoint date ranges
