@@ -20,7 +20,7 @@ from cobbler.operators import cart, catalog, checkout, loads, orders, reviews, s
 from cobbler.plans.render import joined  # noqa: E402
 from cobbler.session import apply_sql_conf  # noqa: E402
 from cobbler.sources.testdata import GeneratedShop  # noqa: E402
-from oracle import queries as oq  # noqa: E402
+from duck_oracle import queries as oq  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
