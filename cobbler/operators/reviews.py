@@ -51,54 +51,71 @@ def _seq(df: DataFrame) -> F.Column:
 def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[str, DataFrame]:
     """Validate a feed of review requests; returns ``status`` per request and new ``reviews`` rows.
 
-    Statuses, checked in the reference's order: ``invalid`` (product or rating
-    missing/0), ``bad_rating`` (outside 1..5), ``not_found`` (unknown product),
-    ``duplicate``, ``accepted``. With an order item: duplicate if the item has a
-    stored review or an earlier valid request for it. Without: duplicate if the
-    (user, product) pair has a stored review of any kind, or an earlier accepted
-    review of the pair in this feed (an item review earlier in the feed blocks a
-    general one, not the reverse). A null user matches nothing. New rows take
-    ``review_id = request_id`` and ``created_at = as_of``'s date.
+    Statuses, in the reference's order: ``invalid`` (product or rating missing/0),
+    ``bad_rating`` (outside 1..5), ``not_found`` (unknown product), ``duplicate``,
+    then the insert: ``unknown_reference`` when the user or the order item does not
+    exist (the table's foreign keys reject it), else ``accepted``. With an order item:
+    duplicate if the item has a stored review or an accepted request for it earlier in
+    the feed. Without: duplicate if the (user, product) pair has a stored review of any
+    kind, or an accepted review of the pair earlier in the feed (an item review earlier
+    in the feed blocks a general one, not the reverse). A null user matches nothing and
+    passes the user key. A rejected insert stores nothing, so it blocks nobody. New rows
+    take ``review_id = request_id`` and ``created_at = as_of``'s date.
     """
     as_of = as_datetime(as_of)
     req = requests.withColumn("_seq", _seq(requests))
     known = t["products"].select("product_id").withColumn("_known", F.lit(True))
-    req = req.join(known, "product_id", "left")
+    users = t["users"].select("user_id").withColumn("_user_ok", F.lit(True))
+    items_known = t["order_items"].select("order_item_id").withColumn("_item_ok", F.lit(True))
+    req = (req.join(known, "product_id", "left").join(users, "user_id", "left")
+           .join(items_known, "order_item_id", "left"))
     has_item = F.col("order_item_id").isNotNull() & (F.col("order_item_id") != 0)
     base_status = (F.when(F.col("product_id").isNull() | (F.col("product_id") == 0)
                           | F.col("rating").isNull() | (F.col("rating") == 0), "invalid")
                    .when((F.col("rating") < RATING_MIN) | (F.col("rating") > RATING_MAX), "bad_rating")
                    .when(F.col("_known").isNull(), "not_found"))
-    req = req.withColumn("_base", base_status).withColumn("_item", has_item)
+    fk_ok = ((F.col("user_id").isNull() | F.col("_user_ok").isNotNull())
+             & (~F.col("_item") | F.col("_item_ok").isNotNull()))
+    req = req.withColumn("_base", base_status).withColumn("_item", has_item).withColumn("_fk", fk_ok)
     valid = req.filter(F.col("_base").isNull())
+    cand = valid.filter("_fk")                       # requests whose insert would succeed
 
     stored = t["reviews"]
-    # Item reviews: the first valid request per item wins, unless the item already has a review.
+    # Item reviews: per item, the first insertable request is accepted unless the item has a review.
     item_taken = (stored.filter(F.col("order_item_id").isNotNull()).select("order_item_id").distinct()
                   .withColumn("_stored_item", F.lit(True)))
-    first_item = (valid.filter("_item").groupBy("order_item_id")
-                  .agg(F.min("_seq").alias("_first_item_seq")))
-    items = (valid.filter("_item").join(first_item, "order_item_id").join(item_taken, "order_item_id", "left")
-             .withColumn("_ok", F.col("_stored_item").isNull() & (F.col("_seq") == F.col("_first_item_seq"))))
-    # General reviews: only the first valid general request of a pair can pass, and only if no
-    # stored review of the pair exists and no accepted item review of the pair comes before it.
-    pair_taken = (stored.filter(F.col("user_id").isNotNull()).select("user_id", "product_id").distinct()
+    item_acc = (cand.filter("_item").groupBy("order_item_id").agg(F.min("_seq").alias("_acc_seq"))
+                .join(item_taken, "order_item_id", "left_anti"))
+    items = (valid.filter("_item").join(item_taken, "order_item_id", "left")
+             .join(item_acc, "order_item_id", "left")
+             .withColumn("_st", F.when(F.col("_stored_item").isNotNull(), "duplicate")
+                         .when(F.col("_acc_seq") < F.col("_seq"), "duplicate")
+                         .when(F.col("_acc_seq") == F.col("_seq"), "accepted")
+                         .otherwise("unknown_reference")))
+    # General reviews: per (user, product), the first insertable general request is accepted unless
+    # the pair has a stored review or an accepted item review of the pair comes before it.
+    pair = ["user_id", "product_id"]
+    pair_taken = (stored.filter(F.col("user_id").isNotNull()).select(*pair).distinct()
                   .withColumn("_stored_pair", F.lit(True)))
-    item_pairs = (items.filter("_ok").filter(F.col("user_id").isNotNull())
-                  .groupBy("user_id", "product_id").agg(F.min("_seq").alias("_item_seq")))
-    gen = valid.filter(~F.col("_item"))
-    first_gen = (gen.filter(F.col("user_id").isNotNull()).groupBy("user_id", "product_id")
-                 .agg(F.min("_seq").alias("_first_gen_seq")))
-    gen = (gen.join(first_gen, ["user_id", "product_id"], "left")
-           .join(pair_taken, ["user_id", "product_id"], "left")
-           .join(item_pairs, ["user_id", "product_id"], "left")
-           .withColumn("_ok", F.col("user_id").isNull() | (
-               F.col("_stored_pair").isNull() & (F.col("_seq") == F.col("_first_gen_seq"))
-               & (F.col("_item_seq").isNull() | (F.col("_item_seq") > F.col("_seq"))))))
-    decided = (items.select("request_id", "_ok").unionByName(gen.select("request_id", "_ok")))
+    item_pairs = (items.filter(F.col("_st") == "accepted").filter(F.col("user_id").isNotNull())
+                  .groupBy(*pair).agg(F.min("_seq").alias("_item_seq")))
+    gen_first = (cand.filter(~F.col("_item")).filter(F.col("user_id").isNotNull()).groupBy(*pair)
+                 .agg(F.min("_seq").alias("_gen_first")))
+    gen_acc = (gen_first.join(pair_taken, pair, "left_anti").join(item_pairs, pair, "left")
+               .filter(F.col("_item_seq").isNull() | (F.col("_item_seq") > F.col("_gen_first")))
+               .select(*pair, F.col("_gen_first").alias("_gen_acc")))
+    gen = (valid.filter(~F.col("_item")).join(pair_taken, pair, "left").join(item_pairs, pair, "left")
+           .join(gen_acc, pair, "left")
+           .withColumn("_first_acc", F.least("_item_seq", "_gen_acc"))
+           .withColumn("_st", F.when(F.col("user_id").isNull(),
+                                     F.when(F.col("_fk"), "accepted").otherwise("unknown_reference"))
+                       .when(F.col("_stored_pair").isNotNull(), "duplicate")
+                       .when(F.col("_first_acc") < F.col("_seq"), "duplicate")
+                       .when(F.col("_gen_acc") == F.col("_seq"), "accepted")
+                       .otherwise("unknown_reference")))
+    decided = items.select("request_id", "_st").unionByName(gen.select("request_id", "_st"))
     status = (req.join(decided, "request_id", "left")
-              .select("request_id", F.coalesce(
-                  "_base", F.when(F.col("_ok"), "accepted").otherwise("duplicate")).alias("status")))
+              .select("request_id", F.coalesce("_base", "_st").alias("status")))
     new_rows = (req.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
                 .select(F.col("request_id").alias("review_id"), "user_id", "product_id",
                         F.when(F.col("_item"), F.col("order_item_id")).alias("order_item_id"),

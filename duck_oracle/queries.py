@@ -182,33 +182,57 @@ SQL["rating_summary"] = build(
             LEFT JOIN (SELECT product_id, sum(coalesce(rating, 0)) AS s, count(*) AS n
                        FROM s_reviews GROUP BY product_id) r ON p.product_id = r.product_id""")
 
+_LATER = "(a_ts < s.ts OR (a_ts = s.ts AND a_req < s.request_id))"
+
 SQL["review_intake"] = build(
-    """SELECT s.request_id, coalesce(s.base, CASE WHEN d.ok THEN 'accepted' ELSE 'duplicate' END) AS status
-       FROM st s LEFT JOIN (SELECT request_id, ok FROM items UNION ALL SELECT request_id, ok FROM gen) d
+    """SELECT s.request_id, coalesce(s.base, d.st) AS status
+       FROM st s LEFT JOIN (SELECT request_id, st FROM items UNION ALL SELECT request_id, st FROM gen) d
             ON s.request_id = d.request_id""",
     {"st": """SELECT r.request_id, r.ts, r.user_id, r.product_id, r.order_item_id,
                      CASE WHEN r.product_id IS NULL OR r.product_id = 0 OR r.rating IS NULL OR r.rating = 0
                                THEN 'invalid'
                           WHEN r.rating < 1 OR r.rating > 5 THEN 'bad_rating'
                           WHEN p.product_id IS NULL THEN 'not_found' END AS base,
-                     (r.order_item_id IS NOT NULL AND r.order_item_id <> 0) AS is_item
+                     (r.order_item_id IS NOT NULL AND r.order_item_id <> 0) AS is_item,
+                     ((r.user_id IS NULL OR r.user_id IN (SELECT user_id FROM s_users))
+                      AND (r.order_item_id IS NULL OR r.order_item_id = 0
+                           OR r.order_item_id IN (SELECT order_item_id FROM s_items))) AS fk
               FROM s_review_requests r LEFT JOIN s_products p ON r.product_id = p.product_id""",
-     "items": """SELECT request_id, user_id, product_id, ts,
-                        (row_number() OVER (PARTITION BY order_item_id ORDER BY ts, request_id) = 1
-                         AND order_item_id NOT IN (SELECT order_item_id FROM s_reviews
-                                                   WHERE order_item_id IS NOT NULL)) AS ok
-                 FROM st WHERE base IS NULL AND is_item""",
-     "gen": """SELECT g.request_id,
-                      (g.user_id IS NULL OR (
-                         g.rn = 1
-                         AND NOT EXISTS (SELECT 1 FROM s_reviews s
-                                         WHERE s.user_id = g.user_id AND s.product_id = g.product_id)
-                         AND NOT EXISTS (SELECT 1 FROM items i
-                                         WHERE i.ok AND i.user_id = g.user_id AND i.product_id = g.product_id
-                                           AND (i.ts < g.ts OR (i.ts = g.ts AND i.request_id < g.request_id)))))
-                      AS ok
-               FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY ts, request_id) AS rn
-                     FROM st WHERE base IS NULL AND NOT is_item) g"""})
+     "stored_items": "SELECT DISTINCT order_item_id FROM s_reviews WHERE order_item_id IS NOT NULL",
+     "item_acc": """SELECT order_item_id, request_id AS a_req, ts AS a_ts
+                    FROM (SELECT *, row_number() OVER (PARTITION BY order_item_id ORDER BY ts, request_id) AS rn
+                          FROM st WHERE base IS NULL AND is_item AND fk)
+                    WHERE rn = 1 AND order_item_id NOT IN (SELECT order_item_id FROM stored_items)""",
+     "items": f"""SELECT s.request_id, s.user_id, s.product_id, s.ts,
+                         CASE WHEN s.order_item_id IN (SELECT order_item_id FROM stored_items) THEN 'duplicate'
+                              WHEN a.a_req IS NOT NULL AND {_LATER} THEN 'duplicate'
+                              WHEN a.a_req = s.request_id THEN 'accepted'
+                              ELSE 'unknown_reference' END AS st
+                  FROM st s LEFT JOIN item_acc a ON s.order_item_id = a.order_item_id
+                  WHERE s.base IS NULL AND s.is_item""",
+     "gen_acc": """SELECT g.user_id, g.product_id, g.request_id AS a_req, g.ts AS a_ts
+                   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY ts, request_id) AS rn
+                         FROM st WHERE base IS NULL AND NOT is_item AND fk AND user_id IS NOT NULL) g
+                   WHERE g.rn = 1
+                     AND NOT EXISTS (SELECT 1 FROM s_reviews r
+                                     WHERE r.user_id = g.user_id AND r.product_id = g.product_id)
+                     AND NOT EXISTS (SELECT 1 FROM items i
+                                     WHERE i.st = 'accepted' AND i.user_id = g.user_id AND i.product_id = g.product_id
+                                       AND (i.ts < g.ts OR (i.ts = g.ts AND i.request_id < g.request_id)))""",
+     "gen": f"""SELECT s.request_id,
+                       CASE WHEN s.user_id IS NULL THEN CASE WHEN s.fk THEN 'accepted' ELSE 'unknown_reference' END
+                            WHEN EXISTS (SELECT 1 FROM s_reviews r
+                                         WHERE r.user_id = s.user_id AND r.product_id = s.product_id) THEN 'duplicate'
+                            WHEN EXISTS (SELECT 1 FROM items i
+                                         WHERE i.st = 'accepted' AND i.user_id = s.user_id
+                                           AND i.product_id = s.product_id
+                                           AND (i.ts < s.ts OR (i.ts = s.ts AND i.request_id < s.request_id)))
+                                 THEN 'duplicate'
+                            WHEN a.a_req IS NOT NULL AND {_LATER} THEN 'duplicate'
+                            WHEN a.a_req = s.request_id THEN 'accepted'
+                            ELSE 'unknown_reference' END AS st
+                FROM st s LEFT JOIN gen_acc a ON s.user_id = a.user_id AND s.product_id = a.product_id
+                WHERE s.base IS NULL AND NOT s.is_item"""})
 
 # ---------------- cart ----------------
 

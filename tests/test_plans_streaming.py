@@ -69,7 +69,7 @@ def test_checkout_and_review_jobs_publish_batches(spark):
     assert sorted(r.cart_id for r in cur["cart"].collect()) == [13, 14, 15]
     assert {r.option_id: r.stock_quantity for r in cur["product_options"].collect()}[1] == 8
     assert cur["product_options"].columns == [f.name for f in schemas.PRODUCT_OPTIONS.fields]
-    rv = spark.createDataFrame([(50, 1, 2, 1, 5, "t", "")], schemas.REVIEW_REQUESTS)
+    rv = spark.createDataFrame([(50, 1, 2, 5002, 5, "t", "")], schemas.REVIEW_REQUESTS)
     snapshots.run_batch(spark, root, 2, lambda t: jobs.review_intake_job(t, rv, dt.datetime(2025, 2, 1)))
     cur = snapshots.read_current(spark, root)
     assert cur["reviews"].count() == 8 and cur["review_status"].first().status == "accepted"
@@ -95,9 +95,9 @@ def test_review_feed_stream(spark):
     from cobbler.streaming.feeds import start_feed
     root, feed_dir, ckpt = _scratch(), _scratch(), _scratch()
     snapshots.publish(spark, root, 0, replace=make_shop(spark))
-    rows = [{"request_id": 70, "user_id": 9, "product_id": 4, "rating": 5},
-            {"request_id": 71, "user_id": 9, "product_id": 4, "rating": 4},
-            {"request_id": 72, "user_id": 9, "product_id": 77, "rating": 4}]
+    rows = [{"request_id": 70, "user_id": 3, "product_id": 4, "rating": 5},
+            {"request_id": 71, "user_id": 3, "product_id": 4, "rating": 4},
+            {"request_id": 72, "user_id": 3, "product_id": 77, "rating": 4}]
     with open(os.path.join(feed_dir, "part-0.json"), "w") as f:
         f.write("\n".join(json.dumps(r) for r in rows) + "\n")
     q = start_feed(spark, root, feed_dir, schemas.REVIEW_REQUESTS,

@@ -66,7 +66,11 @@ def test_review_list_and_rating_summary(spark):
 
 
 def test_intake_reviews_every_branch(spark):
-    t = make_shop(spark)
+    from cobbler.sources import schemas as S
+    users = [(1, "a@x", "a", "USER"), (2, "b@x", "b", "USER"), (3, "c@x", "c", "USER"),
+             (8, "h@x", "h", "USER"), (9, "i@x", "i", "USER")]
+    t = make_shop(spark, users=users)
+    assert t["users"].schema == S.USERS
     ts = dt.datetime
     rows = [
         (1, ts(2025, 1, 1), 9, None, None, 5, "", None),       # invalid: no product
@@ -84,6 +88,11 @@ def test_intake_reviews_every_branch(spark):
         (13, ts(2025, 1, 13), 8, 6, 5003, 5, None, None),      # ... then an item review still passes
         (14, ts(2025, 1, 14), None, 3, None, 5, None, None),   # null user never matches: accepted
         (15, ts(2025, 1, 15), None, 3, None, 5, None, None),   # accepted again
+        (16, ts(2025, 1, 16), 9, 2, 7777, 5, None, None),      # unknown_reference: no such order item
+        (17, ts(2025, 1, 17), 77, 4, None, 5, None, None),     # unknown_reference: no such user
+        (18, ts(2025, 1, 18), 77, 1, 5001, 5, None, None),     # duplicate wins over the failed insert
+        (19, ts(2025, 1, 19), 77, 2, 5004, 5, None, None),     # unknown user: insert fails ...
+        (20, ts(2025, 1, 20), 2, 2, 5004, 5, None, None),      # ... so it blocks nobody: accepted
     ]
     req = spark.createDataFrame(rows, "request_id bigint, ts timestamp, user_id bigint, product_id bigint, "
                                       "order_item_id bigint, rating int, title string, content string")
@@ -91,7 +100,8 @@ def test_intake_reviews_every_branch(spark):
     st = {r.request_id: r.status for r in out["status"].collect()}
     assert st == {1: "invalid", 2: "invalid", 3: "bad_rating", 4: "not_found", 5: "duplicate", 6: "accepted",
                   7: "duplicate", 8: "duplicate", 9: "accepted", 10: "duplicate", 11: "duplicate",
-                  12: "accepted", 13: "accepted", 14: "accepted", 15: "accepted"}
+                  12: "accepted", 13: "accepted", 14: "accepted", 15: "accepted", 16: "unknown_reference",
+                  17: "unknown_reference", 18: "duplicate", 19: "unknown_reference", 20: "accepted"}
     new = {r.review_id: r for r in out["reviews"].collect()}
     assert new[6].title is None and new[6].content == "fine" and new[6].created_at == dt.date(2025, 2, 1)
     assert new[9].order_item_id == 5002 and new[12].order_item_id is None
@@ -105,13 +115,15 @@ def test_intake_reviews_against_plain_loop(spark):
     rows = []
     for i in range(400):
         rows.append((i, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 50)),
-                     rnd.choice([None, 1, 2, 3]), rnd.choice([0, 1, 2, 3, 9]),
-                     rnd.choice([None, None, 0, 5000, 5001]), rnd.choice([0, 1, 5, 6]), None, None))
+                     rnd.choice([None, 1, 2, 3, 77]), rnd.choice([0, 1, 2, 3, 9]),
+                     rnd.choice([None, None, 0, 5000, 5001, 7777]), rnd.choice([0, 1, 5, 6]), None, None))
     req = spark.createDataFrame(rows, "request_id bigint, ts timestamp, user_id bigint, product_id bigint, "
                                       "order_item_id bigint, rating int, title string, content string")
     got = {r.request_id: r.status for r in reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))["status"]
            .collect()}
     known = {1, 2, 3, 4, 5, 6}
+    users = {1, 2, 3}
+    items = {5000, 5001, 5002, 5003, 5004, 5005}
     stored = []
     want = {}
     for r in sorted(rows, key=lambda x: (x[1], x[0])):
@@ -125,12 +137,16 @@ def test_intake_reviews_against_plain_loop(spark):
         elif item:
             if any(s[2] == item for s in stored):
                 want[rid] = "duplicate"
+            elif (user is not None and user not in users) or item not in items:
+                want[rid] = "unknown_reference"           # the insert fails on a foreign key
             else:
                 stored.append((user, prod, item))
                 want[rid] = "accepted"
         else:
             if user is not None and any(s[0] == user and s[1] == prod for s in stored):
                 want[rid] = "duplicate"
+            elif user is not None and user not in users:
+                want[rid] = "unknown_reference"
             else:
                 stored.append((user, prod, None))
                 want[rid] = "accepted"
@@ -139,7 +155,7 @@ def test_intake_reviews_against_plain_loop(spark):
 
 def test_review_schema_matches_table(spark):
     t = make_shop(spark)
-    req = spark.createDataFrame([(1, 5, 1, None, 5, "t", "c")], schemas.REVIEW_REQUESTS)
+    req = spark.createDataFrame([(1, 1, 4, None, 5, "t", "c")], schemas.REVIEW_REQUESTS)
     new = reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))["reviews"]
     assert new.columns == [f.name for f in schemas.REVIEWS.fields]
     assert new.select(F.col("review_id")).first()[0] == 1
