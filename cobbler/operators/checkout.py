@@ -56,18 +56,26 @@ def price_checkout_lines(t: dict[str, DataFrame], requests: DataFrame, as_of) ->
                     (F.coalesce("stock_quantity", F.lit(0)) < F.col("quantity")).alias("short")))
 
 
-def checkout_status(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per request ``deferred`` | ``invalid`` | ``empty`` | ``insufficient_stock`` | ``paid``.
+def checkout_status(requests: DataFrame, lines: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Per request ``deferred`` | ``invalid`` | ``empty`` | ``insufficient_stock`` |
+    ``unknown_reference`` | ``paid``.
 
     ``short_lines`` counts the lines without enough stock (the reference names the first).
+    With ``users``, an order for a user that does not exist fails its foreign key on insert,
+    after every other check, as in the reference.
     """
     per = lines.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("line_count"), F.sum(F.col("short").cast("int")).alias("short_lines"),
         F.sum("line_total").alias("total_amount"))
     req = prepare_requests(requests).join(per, "request_id", "left")
+    if users is not None:
+        req = req.join(users.select("user_id").withColumn("_user_ok", F.lit(True)), "user_id", "left")
+    else:
+        req = req.withColumn("_user_ok", F.lit(True))
     status = (F.when(F.col("_deferred"), "deferred").when(F.col("_invalid"), "invalid")
               .when(F.col("line_count").isNull(), "empty")
-              .when(F.col("short_lines") > 0, "insufficient_stock").otherwise(PAID))
+              .when(F.col("short_lines") > 0, "insufficient_stock")
+              .when(F.col("_user_ok").isNull(), "unknown_reference").otherwise(PAID))
     return req.select("request_id", "user_id", status.alias("status"),
                       F.coalesce("line_count", F.lit(0)).cast("bigint").alias("line_count"),
                       F.coalesce("short_lines", F.lit(0)).cast("bigint").alias("short_lines"),
@@ -128,7 +136,7 @@ def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of,
     """
     req = prepare_requests(requests)
     lines = materialize(price_checkout_lines(t, req, as_of), materialize_lines)
-    status = checkout_status(req, lines)
+    status = checkout_status(req, lines, t["users"])
     paid = paid_lines(lines, status)
     out = {"lines": lines, "status": status.drop("shipping_address", "payment_method")}
     out.update(build_orders(lines, status, as_of))

@@ -333,6 +333,7 @@ _CHECKOUT = {
     "status": """
         SELECT r.request_id, r.user_id,
                CASE WHEN l.n IS NULL THEN 'empty' WHEN l.short_lines > 0 THEN 'insufficient_stock'
+                    WHEN r.user_id NOT IN (SELECT user_id FROM s_users) THEN 'unknown_reference'
                     ELSE 'paid' END AS status,
                CAST(coalesce(l.n, 0) AS BIGINT) AS line_count,
                CAST(coalesce(l.short_lines, 0) AS BIGINT) AS short_lines,

@@ -113,7 +113,11 @@ def test_cart_changes_against_plain_loop(spark):
 
 
 def test_checkout_statuses_and_outputs(spark):
-    t = make_shop(spark)
+    from conftest import D, ts
+    shop = make_shop(spark)
+    cart_rows = [(r.cart_id, r.user_id, r.option_id, r.quantity, r.created_at, r.updated_at)
+                 for r in shop["cart"].collect()] + [(16, 5, 10, 1, ts(2025, 3, 6), ts(2025, 3, 6))]
+    t = make_shop(spark, cart=cart_rows)
     req = spark.createDataFrame([
         (1, 1, "addr", "card", None),          # paid: all of user 1's rows (11, 12)
         (2, 1, "addr", "card", [11]),          # deferred: second request of user 1
@@ -121,11 +125,13 @@ def test_checkout_statuses_and_outputs(spark):
         (4, 3, "", "card", None),              # invalid: no address
         (5, 9, "addr", "card", None),          # empty: no cart
         (6, 3, "addr", "card", [15]),          # deferred (user 3's first request is 4)
+        (7, 5, "addr", "card", None),          # unknown_reference: user 5 has a cart row but no account
     ], schemas.CHECKOUT_REQUESTS)
     as_of = dt.datetime(2025, 1, 15)           # variant 103's sale (10%) is running
     out = checkout.checkout(t, req, as_of)
     st = {r.request_id: r.status for r in out["status"].collect()}
-    assert st == {1: "paid", 2: "deferred", 3: "insufficient_stock", 4: "invalid", 5: "empty", 6: "deferred"}
+    assert st == {1: "paid", 2: "deferred", 3: "insufficient_stock", 4: "invalid", 5: "empty", 6: "deferred",
+                  7: "unknown_reference"}
     orders = out["orders"].collect()
     assert len(orders) == 1 and orders[0].order_id == 1 and float(orders[0].total_amount) == 2 * 159000 + 143100
     items = {r.order_item_id: (r.option_id, r.quantity, float(r.price)) for r in out["order_items"].collect()}
@@ -134,7 +140,7 @@ def test_checkout_statuses_and_outputs(spark):
     assert stock[1] == (8, False) and stock[7] == (3, False) and stock[3] == (3, False)
     sold = {r.variant_id: r.sold_count for r in out["product_variants"].collect()}
     assert sold[101] == 1522 and sold[103] == 1201 and sold[102] is None
-    assert sorted(r.cart_id for r in out["cart"].collect()) == [13, 14, 15]
+    assert sorted(r.cart_id for r in out["cart"].collect()) == [13, 14, 15, 16]   # rejected rows stay
     # invariant: stock before - after = quantity sold
     before = {r.option_id: r.stock_quantity for r in t["product_options"].collect()}
     bought = sum(r.quantity for r in out["order_items"].collect())
