@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_datetime, ts_literal
 from ..functions.fixed import PAID_STATUS as PAID
 from ..functions.pricing import price_at_checkout
+from ..plans.lookups import flag_known
 from ..plans.materialize import materialize
 from .catalog import option_details
 
@@ -69,7 +70,7 @@ def checkout_status(requests: DataFrame, lines: DataFrame, users: DataFrame | No
         F.sum("line_total").alias("total_amount"))
     req = prepare_requests(requests).join(per, "request_id", "left")
     if users is not None:
-        req = req.join(users.select("user_id").withColumn("_user_ok", F.lit(True)), "user_id", "left")
+        req = flag_known(req, users, "user_id", "_user_ok")
     else:
         req = req.withColumn("_user_ok", F.lit(True))
     status = (F.when(F.col("_deferred"), "deferred").when(F.col("_invalid"), "invalid")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, blank_to_null, half_up_tenths, ts_literal
 from ..functions.fixed import RATING_MAX, RATING_MIN
+from ..plans.lookups import flag_known
 
 REVIEW_FIELDS = ["review_id", "product_id", "user_id", "rating", "title", "content", "created_at"]
 
@@ -64,11 +65,9 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
     """
     as_of = as_datetime(as_of)
     req = requests.withColumn("_seq", _seq(requests))
-    known = t["products"].select("product_id").withColumn("_known", F.lit(True))
-    users = t["users"].select("user_id").withColumn("_user_ok", F.lit(True))
-    items_known = t["order_items"].select("order_item_id").withColumn("_item_ok", F.lit(True))
-    req = (req.join(known, "product_id", "left").join(users, "user_id", "left")
-           .join(items_known, "order_item_id", "left"))
+    req = flag_known(req, t["products"], "product_id", "_known")
+    req = flag_known(req, t["users"], "user_id", "_user_ok")
+    req = flag_known(req, t["order_items"], "order_item_id", "_item_ok")
     has_item = F.col("order_item_id").isNotNull() & (F.col("order_item_id") != 0)
     base_status = (F.when(F.col("product_id").isNull() | (F.col("product_id") == 0)
                           | F.col("rating").isNull() | (F.col("rating") == 0), "invalid")
