@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, blank_to_null, half_up_tenths, ts_literal
 from ..functions.fixed import RATING_MAX, RATING_MIN
-from ..plans.lookups import flag_known
+from ..plans.lookups import flag_known, keys_named
 
 REVIEW_FIELDS = ["review_id", "product_id", "user_id", "rating", "title", "content", "created_at"]
 
@@ -79,10 +79,13 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
     valid = req.filter(F.col("_base").isNull())
     cand = valid.filter("_fk")                       # requests whose insert would succeed
 
-    stored = t["reviews"]
+    # stored reviews that matter: those of the items and (user, product) pairs the feed names
+    stored_items = keys_named(t["reviews"], valid.filter("_item"), "order_item_id")
+    stored_pairs = (t["reviews"].select("user_id", "product_id")
+                    .join(valid.select("user_id", "product_id").where(F.col("user_id").isNotNull()).distinct(),
+                          ["user_id", "product_id"], "left_semi"))
     # Item reviews: per item, the first insertable request is accepted unless the item has a review.
-    item_taken = (stored.filter(F.col("order_item_id").isNotNull()).select("order_item_id").distinct()
-                  .withColumn("_stored_item", F.lit(True)))
+    item_taken = stored_items.distinct().withColumn("_stored_item", F.lit(True))
     item_acc = (cand.filter("_item").groupBy("order_item_id").agg(F.min("_seq").alias("_acc_seq"))
                 .join(item_taken, "order_item_id", "left_anti"))
     items = (valid.filter("_item").join(item_taken, "order_item_id", "left")
@@ -94,8 +97,7 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
     # General reviews: per (user, product), the first insertable general request is accepted unless
     # the pair has a stored review or an accepted item review of the pair comes before it.
     pair = ["user_id", "product_id"]
-    pair_taken = (stored.filter(F.col("user_id").isNotNull()).select(*pair).distinct()
-                  .withColumn("_stored_pair", F.lit(True)))
+    pair_taken = stored_pairs.distinct().withColumn("_stored_pair", F.lit(True))
     item_pairs = (items.filter(F.col("_st") == "accepted").filter(F.col("user_id").isNotNull())
                   .groupBy(*pair).agg(F.min("_seq").alias("_item_seq")))
     gen_first = (cand.filter(~F.col("_item")).filter(F.col("user_id").isNotNull()).groupBy(*pair)
