@@ -58,7 +58,7 @@ def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     assert df.count() > 0
-    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(e.oracle_sql()) == set(e.queries())      # every registered query has an oracle
 
 
 @needs_data
