@@ -22,6 +22,15 @@ from cobbler.session import apply_sql_conf  # noqa: E402
 from cobbler.sources.testdata import GeneratedShop  # noqa: E402
 from duck_oracle import queries as oq  # noqa: E402
 
+try:    # the training-data operators are an optional subpackage
+    from cobbler.llm import queries as lq  # noqa: E402
+except ImportError:
+    lq = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ImportError:
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -254,7 +263,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    optional = dict(lq.QUERIES) if lq else {}
+    if corpus_pipeline:
+        optional["pipeline"] = corpus_pipeline.run
+    return optional | {
         "daily_variant_sales": q_daily_variant_sales,
         "sales_summary": q_sales_summary,
         "product_page": q_product_page,
@@ -295,4 +307,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oq.SQL.items() if k in queries()}
+    sql = oq.SQL | (lq.SQL if lq else {})
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {k: v for k, v in sql.items() if k in queries()}
