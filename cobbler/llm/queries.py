@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact, packing, tokens
+from pyspark.sql import functions as F
+
+from . import contamination, exact, lines, packing, secrets, tokens
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,23 +26,80 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    """Secrets in every whole document: fixed kinds, and tokens that pass the randomness battery."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark, sf_dir):
+    """Benchmark windows in every whole document."""
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_best_fit_packing(spark, sf_dir):
     """Pack all documents into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op10_line_dedup(spark, sf_dir):
+    """Lines of all documents: how many each has and loses, and the SHA-256 of what is left (a null text counts as empty)."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_decontamination": op6_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS6 = r"(?:[0-9a-z]|[^\x00-\x7F])+"
+WORDS10 = r"[^\x20\x09-\x0D]+"
+
 SQL = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWER}) AS text_sha256, {LOWER} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM d JOIN g USING (norm)""",
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS6}') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({LOWER}, '{WORDS6}') AS w FROM benchmark),
+        win AS (SELECT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+                    lambda p: list_slice(w, p, p + least(len(w), 10) - 1))) AS g FROM i WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT k FROM win),
+        pos AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d JOIN lens ON len(w) >= k),
+        hit AS (SELECT DISTINCT doc_id, p, pos.k, item_id FROM pos JOIN win ON win.k = pos.k AND list_slice(w, p, p + pos.k - 1) = g),
+        cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op10_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+        o AS (SELECT doc_id, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS10}') AS w FROM l),
+        t AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min((doc_id, i)) AS f FROM o WHERE len(w) > 0 GROUP BY 1),
+        v AS (SELECT k, f, unnest(range(1, len(w) + 1)) AS p, unnest(list_transform(range(1, len(w) + 1),
+                  lambda p: array_to_string(list_slice(w, 1, p - 1) || list_slice(w, p + 1, len(w)), ' '))) AS u, len(w) AS n
+              FROM t WHERE len(w) >= 8),
+        swapped AS (SELECT u, p, min(f) AS f FROM v GROUP BY u, p),
+        near AS (SELECT k, swapped.f FROM v JOIN swapped USING (u, p)
+                 UNION ALL SELECT v.k, t.f FROM v JOIN t ON t.k = v.u WHERE v.n > 8
+                 UNION ALL SELECT t.k, v.f FROM v JOIN t ON t.k = v.u WHERE v.n > 8
+                 UNION ALL SELECT k, f FROM t),
+        stays AS (SELECT k, min(f) AS f FROM near GROUP BY k),
+        m AS (SELECT o.doc_id, o.i, line, len(w) > 0 AND (o.doc_id, o.i) <> f AS gone
+              FROM o LEFT JOIN stays ON array_to_string(w, ' ') = k)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }
