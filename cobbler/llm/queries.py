@@ -6,19 +6,19 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import contamination, exact, lines, packing, secrets, tokens
+from . import contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
 def op1_token_counts(spark, sf_dir):
     """Token counts of every whole document."""
-    return tokens.token_counts(table(spark, sf_dir, "documents"), _vocabulary())
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -31,15 +31,35 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    """Toxicity scores of every whole document; labels outside the held-out fold teach."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_ngram_jaccard(spark, sf_dir):
+    """Components of all documents linked by 5-word shingles at Jaccard similarity 0.75 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     """Benchmark windows in every whole document."""
     found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents that no repeated 400-byte string covers."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_best_fit_packing(spark, sf_dir):
     """Pack all documents into sequences of at most 2048 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_quality(spark, sf_dir):
+    """Quality scores of every whole document; labels outside the held-out fold teach."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_line_dedup(spark, sf_dir):
@@ -49,14 +69,9 @@ def op10_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {
-    "op1_token_counts": op1_token_counts,
-    "op2_exact_dedup": op2_exact_dedup,
-    "op3_secret_scan": op3_secret_scan,
-    "op6_decontamination": op6_decontamination,
-    "op8_best_fit_packing": op8_best_fit_packing,
-    "op10_line_dedup": op10_line_dedup,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_decontamination,
+    op7_suffix_dedup, op8_best_fit_packing, op9_quality, op10_line_dedup)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
