@@ -9,6 +9,7 @@ ones. Timestamps are compared in UTC so both engines agree.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -75,16 +76,21 @@ def apply_sql_conf(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/cobbler-checkpoints") -> str:
     """Return the cluster's shared checkpoint folder; set ``fallback`` only if none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
-    the fallback is for local tests only.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...); without it this raises,
+    since a machine-local folder would lose files. The fallback is for ``local[...]`` sessions only.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", None) or fallback
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    target = configured or fallback
+        target = spark.conf.get("spark.checkpoint.dir", None)
+        if not target:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return target
+    target = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        target = fallback
     sc.setCheckpointDir(target)
     return target
 

@@ -16,8 +16,8 @@ from .feeds import start_feed
 
 
 def start_cart_feed(spark: SparkSession, root: str, changes_dir: str, checkpoint_location: str,
-                    first_batch: int, available_now: bool = True,
+                    feed: str = "cart", available_now: bool = True,
                     max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the cart stream; micro-batch ``n`` is published as shop batch ``first_batch + n``."""
+    """Start the cart stream; each micro-batch is published as the shop's next batch."""
     return start_feed(spark, root, changes_dir, schemas.CART_CHANGES, cart_changes_job, checkpoint_location,
-                      first_batch, available_now, max_files_per_trigger)
+                      feed, available_now, max_files_per_trigger)

@@ -2,11 +2,11 @@
 
 Requests arrive as JSON files (or any streaming source with the feed's
 schema). Each micro-batch runs one job from :mod:`cobbler.plans.jobs` against
-the latest published tables and publishes the result as the next shop batch
-(:mod:`cobbler.plans.snapshots`). Micro-batch ``n`` becomes shop batch
-``first_batch + n``; a restarted query re-runs an unfinished micro-batch
-against the same snapshot and overwrites its own files, so each micro-batch
-takes effect exactly once.
+the latest published tables and publishes the result as the shop's next batch
+(:mod:`cobbler.plans.snapshots`). The batch's manifest names the feed and its micro-batch:
+a restarted query finds its own published micro-batches by that name and skips
+them, whatever other feeds or jobs published in between, so each micro-batch takes
+effect exactly once.
 
 Order: micro-batches apply in arrival order, as the reference's handlers apply
 requests as they come; within one micro-batch the job's own feed order holds
@@ -23,33 +23,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.snapshots import current_paths, publish, read_current
+from ..plans.snapshots import ConcurrentPublish, compact, run_batch
 
 Job = Callable[[dict[str, DataFrame], DataFrame], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
 
+#: Attempts of a micro-batch when other writers publish at the same time.
+ATTEMPTS = 5
+#: A feed compacts appended parts after so many of its micro-batches.
+COMPACT_EVERY = 32
 
-def apply_micro_batch(spark: SparkSession, root: str, job: Job, batch: DataFrame, shop_batch: int) -> None:
-    last, _ = current_paths(spark, root)
-    if last is not None and last >= shop_batch:     # already published by an earlier attempt
-        return
-    replace, append = job(read_current(spark, root), batch)
-    publish(spark, root, shop_batch, replace, append)
+
+def apply_micro_batch(spark: SparkSession, root: str, job: Job, batch: DataFrame, feed: str, number: int) -> None:
+    """Publish micro-batch ``number`` of ``feed``, unless it is published already."""
+    for attempt in range(ATTEMPTS):
+        try:
+            run_batch(spark, root, None, lambda t: job(t, batch), source=f"{feed}:{number}")
+            break
+        except ConcurrentPublish:           # the tables changed: run the job again on the new ones
+            if attempt + 1 == ATTEMPTS:
+                raise
+    if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+        try:
+            compact(spark, root, COMPACT_EVERY)
+        except ConcurrentPublish:           # left to the next time
+            pass
 
 
 def start_feed(spark: SparkSession, root: str, source_dir: str, schema: T.StructType, job: Job,
-               checkpoint_location: str, first_batch: int, available_now: bool = True,
+               checkpoint_location: str, feed: str, available_now: bool = True,
                max_files_per_trigger: int | None = None, fmt: str = "json") -> StreamingQuery:
     """Run ``job`` on every micro-batch of the feed under ``source_dir``.
 
-    ``first_batch`` must stay the same across restarts of one query. ``available_now``
+    ``feed`` names this feed in the manifests; it belongs to its ``checkpoint_location`` and must be
+    another for every feed of a shop, and the same across restarts. ``available_now``
     drains what is there and stops; otherwise the query triggers every 30 seconds.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    feed = reader.load(source_dir)
-    writer = (feed.writeStream
-              .foreachBatch(lambda df, bid: apply_micro_batch(spark, root, job, df, first_batch + bid))
+    stream = reader.load(source_dir)
+    writer = (stream.writeStream
+              .foreachBatch(lambda df, number: apply_micro_batch(spark, root, job, df, feed, number))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -46,7 +46,7 @@ def test_cart_feed_stream_applies_micro_batches(spark):
                 f.write(json.dumps(d) + "\n")
         stamp = 1_700_000_000 + 100 * i                      # the file source orders by modification time
         os.utime(os.path.join(feed_dir, f"part-{i}.json"), (stamp, stamp))
-    q = start_cart_feed(spark, root, feed_dir, ckpt, first_batch=1, max_files_per_trigger=1)
+    q = start_cart_feed(spark, root, feed_dir, ckpt, max_files_per_trigger=1)
     q.awaitTermination(120)
     cur = snapshots.read_current(spark, root)
     cart = {r.cart_id: r.quantity for r in cur["cart"].collect()}
@@ -101,7 +101,7 @@ def test_review_feed_stream(spark):
     with open(os.path.join(feed_dir, "part-0.json"), "w") as f:
         f.write("\n".join(json.dumps(r) for r in rows) + "\n")
     q = start_feed(spark, root, feed_dir, schemas.REVIEW_REQUESTS,
-                   lambda t, b: jobs.review_intake_job(t, b, dt.datetime(2025, 2, 1)), ckpt, first_batch=1)
+                   lambda t, b: jobs.review_intake_job(t, b, dt.datetime(2025, 2, 1)), ckpt, feed="reviews")
     q.awaitTermination(120)
     cur = snapshots.read_current(spark, root)
     assert {r.request_id: r.status for r in cur["review_status"].collect()} == {
@@ -178,7 +178,7 @@ def test_published_orders_are_clustered_by_date(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     ranges = []
-    for f in sorted(glob.glob(f"{root}/orders/batch=0/*.parquet")):
+    for f in sorted(glob.glob(f"{root}/orders/batch=0-*/*.parquet")):
         md = pq.ParquetFile(f).metadata
         col = [i for i in range(md.num_columns) if md.schema.column(i).name == "created_at"][0]
         st = [md.row_group(g).column(col).statistics for g in range(md.num_row_groups)]
@@ -186,3 +186,87 @@ def test_published_orders_are_clustered_by_date(spark):
     ranges.sort()
     assert len(ranges) > 1
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))     # files cover disjoint date ranges
+
+
+def _users_job(spark, rows):
+    from cobbler.plans import jobs
+    from cobbler.sources import schemas
+    feed = spark.createDataFrame(rows, schemas.USER_REQUESTS)
+    return lambda t: jobs.user_intake_job(t, feed)
+
+
+def test_a_rerun_batch_changes_nothing(spark):
+    from cobbler.plans import jobs
+    from cobbler.sources import schemas
+    root = _scratch()
+    snapshots.publish(spark, root, 0, replace=make_shop(spark))
+    add = spark.createDataFrame([(1, dt.datetime(2025, 4, 1), 1, "add", 1, None, 3)], schemas.CART_CHANGES)
+    for _ in range(2):
+        snapshots.run_batch(spark, root, 1, lambda t: jobs.cart_changes_job(t, add))
+        assert {r.cart_id: r.quantity for r in snapshots.read_current(spark, root)["cart"].collect()}[11] == 5
+    for _ in range(2):
+        snapshots.run_batch(spark, root, 2, _users_job(spark, [(9, "dee@shop.test", "dee", None, True)]))
+        cur = snapshots.read_current(spark, root)
+        assert cur["users"].count() == 4 and cur["user_status"].count() == 1
+
+
+def test_late_batches_and_second_writers_are_refused(spark):
+    import pytest
+    root = _scratch()
+    t = make_shop(spark)
+    snapshots.publish(spark, root, 0, replace=t)
+    snapshots.run_batch(spark, root, 3, _users_job(spark, [(9, "dee@shop.test", "dee", None, True)]))
+    with pytest.raises(snapshots.LateBatch):
+        snapshots.run_batch(spark, root, 2, _users_job(spark, [(8, "eve@shop.test", "eve", None, True)]))
+
+    def meanwhile(tables):      # another writer commits while this job runs
+        snapshots.publish(spark, root, 4, append={"users": t["users"].limit(1)})
+        return {}, {"users": t["users"].limit(1)}
+    with pytest.raises(snapshots.ConcurrentPublish):
+        snapshots.run_batch(spark, root, 5, meanwhile)
+    assert snapshots.current_paths(spark, root)[0] == 4
+    assert snapshots.read_current(spark, root)["users"].count() == 5
+
+
+def test_an_unreadable_manifest_is_an_error(spark):
+    import pytest
+    root = _scratch()
+    snapshots.publish(spark, root, 0, replace=make_shop(spark))
+    with pytest.MonkeyPatch.context() as m:
+        def broken(self, *a, **k):
+            raise OSError("storage is away")
+        m.setattr(type(spark.read), "json", broken)
+        with pytest.raises(OSError):
+            snapshots.publish(spark, root, 1, append={"users": make_shop(spark)["users"]})
+    assert snapshots.current_paths(spark, root)[0] == 0
+
+
+def test_two_feeds_on_one_shop_lose_nothing(spark):
+    from cobbler.plans import jobs
+    from cobbler.sources import schemas
+    from cobbler.streaming.feeds import start_feed
+    root = _scratch()
+    snapshots.publish(spark, root, 0, replace=make_shop(spark))
+    for name, ids in (("a", [50, 51]), ("b", [60, 61])):
+        source, ckpt = _scratch(), _scratch()
+        for i in ids:
+            with open(os.path.join(source, f"{i}.json"), "w") as f:
+                f.write(json.dumps({"request_id": i, "email": f"u{i}@shop.test", "name": "n", "has_password": True}) + "\n")
+        for _ in range(2):      # the second run finds its own micro-batches published
+            q = start_feed(spark, root, source, schemas.USER_REQUESTS, jobs.user_intake_job, ckpt, feed=name,
+                           max_files_per_trigger=1)
+            q.awaitTermination(120)
+    users = [r.user_id for r in snapshots.read_current(spark, root)["users"].collect()]
+    assert sorted(users) == [1, 2, 3, 50, 51, 60, 61]
+
+
+def test_many_small_batches_are_compacted(spark):
+    root = _scratch()
+    t = make_shop(spark)
+    snapshots.publish(spark, root, 0, replace={"users": t["users"]})
+    for i in range(1, 5):
+        snapshots.publish(spark, root, i, append={"users": t["users"].limit(1)})
+    assert len(snapshots.current_paths(spark, root)[1]["users"]) == 5
+    snapshots.compact(spark, root, parts=4)
+    assert len(snapshots.current_paths(spark, root)[1]["users"]) == 1
+    assert snapshots.read_current(spark, root)["users"].count() == 7
