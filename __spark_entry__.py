@@ -163,7 +163,7 @@ def q_cart_after_changes(spark, sf_dir):
 
 def _checkout(spark, sf_dir):
     shop = _shop(spark, sf_dir)
-    return checkout.checkout(shop.tables(), shop.checkout_requests, oq.CHECKOUT_AS_OF, materialize_lines="none")
+    return checkout.checkout(shop.tables(), shop.checkout_requests, oq.CHECKOUT_AS_OF)
 
 
 def q_checkout_lines(spark, sf_dir):
@@ -179,6 +179,10 @@ def q_checkout_orders(spark, sf_dir):
     return _to_double(o, "total_amount")
 
 
+def q_checkout_items(spark, sf_dir):
+    return _to_double(_checkout(spark, sf_dir)["order_items"].select("order_id", "option_id", "quantity", "price"), "price")
+
+
 def q_stock_after(spark, sf_dir):
     return _checkout(spark, sf_dir)["product_options"]
 
@@ -290,6 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "checkout_lines": q_checkout_lines,
         "checkout_status": q_checkout_status,
         "checkout_orders": q_checkout_orders,
+        "checkout_items": q_checkout_items,
         "stock_after": q_stock_after,
         "sold_after": q_sold_after,
         "cart_after_checkout": q_cart_after_checkout,

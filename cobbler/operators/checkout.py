@@ -1,92 +1,196 @@
-"""Checkout as a batch job over all users' requests.
-
-Every request is checked against one snapshot of the tables. Outputs are new
-table versions (orders, order items, options, variants, cart) that the caller
-publishes together (see ``cobbler.plans.snapshots``). One checkout per user per
-batch: a user's later requests get ``deferred``. Requests in the same batch for
-the same option are all checked against the snapshot's stock, as the
-reference's lock-free check does; ``stock_after`` reports options whose summed
-demand exceeded the stock (``oversold``) for the caller to resolve.
+"""Checkout as a batch job over all users' requests (X1-X5), in feed order.
+
+Requests take effect one after another by ``request_id``, as the reference's handlers would serve
+them: a cart row that an earlier paid request bought is gone for a later one, and stock that earlier
+paid requests took is gone too, so no option falls below zero. A request is paid whole or not at all.
+
+The job decides requests in rounds rather than one by one. With running sums per option and cart row, a request is
+
+* rejected for sure if a line is short even when only earlier *paid* requests count,
+* paid for sure if every line fits even when all earlier *undecided* requests are paid as well,
+* else left to the next round.
+
+The earliest undecided request is always decided, so every round makes progress, and with little contention
+one or two rounds decide all. Once at most ``SERIAL`` lines are undecided, one task serves their requests one by one,
+with the same outcome. What is undecided after ``ROUNDS`` rounds gets ``waiting``: nothing of it takes
+effect, it is returned in ``checkout_waiting``, and the next batch reads it first, so the order holds across
+batches. Outputs are new table versions that the caller publishes together (see ``cobbler.plans.snapshots``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, ts_literal
 from ..functions.fixed import PAID_STATUS as PAID
 from ..functions.pricing import price_at_checkout
-from ..plans.lookups import flag_known
+from ..plans.lookups import flag_known, keys_named
 from ..plans.materialize import materialize
+from ..session import ship_package
 from .catalog import option_details
 
+ROUNDS = 8
+#: Requests are cut into this many stretches of the feed, so that a hot option's running sum is dealt over tasks.
+STRETCHES = 32
+#: Lines of undecided requests that one task may serve in order (a bound on that task).
+SERIAL = 20_000
+WAITING = "waiting"
+
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
-    """Flag each request ``_deferred`` (not the user's first in the batch) and ``_invalid``
-    (no address or payment method). Idempotent: prepared requests pass through."""
-    if "_deferred" in requests.columns:
+    """Flag each request ``_invalid`` (no user, address or payment method). Idempotent: prepared requests pass through."""
+    if "_invalid" in requests.columns:
         return requests
-    first = requests.groupBy("user_id").agg(F.min("request_id").alias("_first"))
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    return (requests.join(first, "user_id")
-            .withColumn("_deferred", F.col("request_id") != F.col("_first"))
-            .withColumn("_invalid", blank("shipping_address") | blank("payment_method"))
-            .drop("_first"))
+    return requests.withColumn("_invalid", F.col("user_id").isNull() | blank("shipping_address") | blank("payment_method"))
 
 
 def price_checkout_lines(t: dict[str, DataFrame], requests: DataFrame, as_of) -> DataFrame:
-    """The cart rows each active request buys, with unit price by rule P4 at ``as_of``.
+    """The cart rows each valid request names, with unit price by rule P4 at ``as_of``.
 
-    A request with ``cart_ids`` buys those of the user's rows; without, all of them.
+    A request with ``cart_ids`` names those of the user's rows; without, all of them. Each cart row offers two
+    keys, its own id and "the whole cart", so one join serves both kinds of request.
     """
     as_of = as_datetime(as_of)
-    req = prepare_requests(requests).filter(~F.col("_deferred") & ~F.col("_invalid"))
-    cart = t["cart"].select("cart_id", "user_id", "option_id", "quantity")
-    has_ids = F.col("cart_ids").isNotNull() & (F.size("cart_ids") > 0)
-    picked = (req.filter(has_ids)
-              .select("request_id", "user_id", F.explode(F.array_distinct("cart_ids")).alias("cart_id"))
-              .join(cart, ["cart_id", "user_id"]))
-    whole = req.filter(~has_ids).select("request_id", "user_id").join(cart, "user_id")
-    lines = picked.unionByName(whole)
+    whole = F.lit(None).cast("bigint")
+    wanted = (prepare_requests(requests).filter(~F.col("_invalid"))
+              .select("request_id", "user_id", F.explode(
+                  F.when(F.col("cart_ids").isNotNull() & (F.size("cart_ids") > 0), F.array_distinct("cart_ids"))
+                  .otherwise(F.array(whole))).alias("_key"), (F.col("cart_ids").isNull() | (F.size("cart_ids") == 0)).alias("_whole"))
+              .filter("_whole OR _key IS NOT NULL").select("request_id", "user_id", F.coalesce("_key", F.lit(0)).alias("_key"), "_whole"))
+    rows = (t["cart"].join(wanted.select("user_id").distinct(), "user_id", "left_semi")
+            .select("cart_id", "user_id", "option_id", "quantity", F.explode(F.array(F.lit(False), F.lit(True))).alias("_whole"))
+            .withColumn("_key", F.when(F.col("_whole"), 0).otherwise(F.col("cart_id"))))
+    lines = wanted.join(rows, ["user_id", "_whole", "_key"])
     unit = price_at_checkout("base_price", "discount_rate", "sale_start_date", "sale_end_date", as_of)
     return (lines.join(option_details(t), "option_id")
             .select("request_id", "cart_id", "user_id", "option_id", "variant_id", "product_id",
                     "product_name", "color_name", "size", "quantity", "stock_quantity",
-                    unit.alias("unit_price"), (unit * F.col("quantity")).alias("line_total"),
-                    (F.coalesce("stock_quantity", F.lit(0)) < F.col("quantity")).alias("short")))
+                    unit.alias("unit_price"), (unit * F.col("quantity")).alias("line_total")))
 
 
-def checkout_status(requests: DataFrame, lines: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Per request ``deferred`` | ``invalid`` | ``empty`` | ``insufficient_stock`` |
-    ``unknown_reference`` | ``paid``.
+def _before(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, per row, the sum of each column over rows of the same ``key`` and earlier requests.
 
-    ``short_lines`` counts the lines without enough stock (the reference names the first).
-    With ``users``, an order for a user that does not exist fails its foreign key on insert,
-    after every other check, as in the reference.
+    Sums by stretch of the feed first, then within a stretch, so that one key's rows are in many tasks.
     """
+    names = list(sums)
+    df = df.withColumns({f"_v{k}": c for k, c in enumerate(sums.values())})
+    stretch = df.groupBy(key, "_stretch").agg(*[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(names))])
+    earlier = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)   # STRETCHES rows at most
+    stretch = stretch.select(key, "_stretch", *[F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(names))])
+    inside = Window.partitionBy(key, "_stretch").orderBy("request_id").rangeBetween(Window.unboundedPreceding, -1)
+    df = df.select("*", *[F.coalesce(F.sum(f"_v{k}").over(inside), F.lit(0)).alias(f"_i{k}") for k in range(len(names))])
+    return (df.join(stretch, [key, "_stretch"])
+            .select(*[c for c in df.columns if c[:2] not in ("_v", "_i")],
+                    *[(F.col(f"_b{k}") + F.col(f"_i{k}")).alias(n) for k, n in enumerate(names)]))
+
+
+def _one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Serve the undecided requests in order; ``left`` and ``gone`` already count the earlier paid ones."""
+    used: dict[int, int] = {}
+    bought, out = set(), []
+    for rid, some in pdf.sort_values("request_id").groupby("request_id", sort=False):
+        here = [x for x in zip(some["cart_id"], some["option_id"], some["quantity"], some["left"], some["gone"]) if not x[4] and x[0] not in bought]
+        if not here:
+            out.append((rid, "empty"))
+        elif any(left - used.get(o, 0) < q for _, o, q, left, _ in here):
+            out.append((rid, "insufficient_stock"))
+        elif not some["known"].iloc[0]:
+            out.append((rid, "unknown_reference"))
+        else:
+            out.append((rid, PAID))
+            for c, o, q, _, _ in here:
+                bought.add(c)
+                used[o] = used.get(o, 0) + q
+    return pd.DataFrame(out, columns=["request_id", "_new"])
+
+
+def decide(lines: DataFrame, materialize_rounds: str = "checkpoint", rounds: int = ROUNDS, serial: int = SERIAL) -> DataFrame:
+    """Decide all requests of ``lines`` (request_id, cart_id, option_id, quantity, stock_quantity, ``known``).
+
+    Returns the lines with ``state`` ('paid', 'insufficient_stock', 'empty', 'unknown_reference' or 'waiting'), ``gone``
+    (the cart row was bought before) and ``stock_before`` (left when the request is served).
+    """
+    cuts = lines.agg(F.percentile_approx("request_id", [k / STRETCHES for k in range(1, STRETCHES)], 1000)).first()[0] or []
+    stretch = F.lit(0)
+    for c in sorted(set(cuts)):         # at most STRETCHES literals
+        stretch = stretch + (F.col("request_id") > c).cast("int")
+    state = (lines.select("request_id", "cart_id", "option_id", "quantity", F.coalesce("stock_quantity", F.lit(0)).alias("stock"), "known")
+             .withColumn("_stretch", stretch).withColumn("state", F.lit(None).cast("string")))
+    state = materialize(state, materialize_rounds)
+
+    def seen(df: DataFrame) -> DataFrame:
+        paid, open_ = F.col("state") == PAID, F.col("state").isNull() & F.col("known")
+        count = lambda c: F.when(c, 1).otherwise(0)
+        df = _before(df, "cart_id", {"_bought": count(F.coalesce(paid, F.lit(False))), "_claimed": count(open_)})
+        return _before(df.withColumn("gone", F.col("_bought") > 0), "option_id", {
+            "_taken": F.when(paid, F.col("quantity")).otherwise(0),
+            "_asked": F.when(open_, F.col("quantity")).otherwise(0)})
+
+    for round_ in range(rounds + 1):
+        undecided = state.filter("state IS NULL").count()
+        if not undecided or (round_ == rounds and undecided > serial):
+            break
+        now = seen(state).filter("state IS NULL").withColumn("left", F.col("stock") - F.col("_taken"))
+        if undecided <= serial:
+            verdict = (now.select("request_id", "cart_id", "option_id", F.col("quantity").cast("long"), F.col("left").cast("long"), "gone", "known")
+                       .groupBy().applyInPandas(_one_by_one, "request_id long, _new string"))
+        else:
+            here = ~F.col("gone")
+            sure = here & (F.col("_claimed") == 0)
+            verdict = (now.groupBy("request_id").agg(
+                F.max(here).alias("any"), F.max(sure & (F.col("left") < F.col("quantity"))).alias("short"),
+                F.min(F.col("gone") | (sure & (F.col("left") - F.col("_asked") >= F.col("quantity")))).alias("fits"), F.first("known").alias("k"))
+                .select("request_id", F.when(~F.col("any"), "empty").when(F.col("short"), "insufficient_stock")
+                        .when(F.col("fits"), F.when(F.col("k"), PAID).otherwise("unknown_reference")).alias("_new"))
+                .filter("_new IS NOT NULL"))
+        state = materialize(state.join(verdict, "request_id", "left").withColumn("state", F.coalesce("state", "_new")).drop("_new"),
+                            materialize_rounds)
+    # requests that wait hold back nothing here: they are served in the next batch
+    state = state.withColumn("state", F.coalesce("state", F.lit(WAITING)))
+    return seen(state).select("request_id", "cart_id", "state", "gone", (F.col("stock") - F.col("_taken")).cast("int").alias("stock_before"))
+
+
+def serve(t: dict[str, DataFrame], requests: DataFrame, as_of, materialize_lines: str = "checkpoint",
+          rounds: int = ROUNDS, serial: int = SERIAL) -> tuple[DataFrame, DataFrame]:
+    """(priced lines as each request meets them, status per request).
+
+    Statuses, in the reference's order: ``invalid``, ``empty``, ``insufficient_stock``, ``unknown_reference`` (the
+    order's foreign key on the user), ``key_conflict`` (the request id is a stored order's), ``paid``; ``waiting`` as above.
+    A line has the ``stock_quantity`` left when its request is served and is ``short`` if that is too little.
+    """
+    ship_package(requests.sparkSession)
+    req = prepare_requests(requests)
+    req = flag_known(req, t["users"], "user_id", "_user_ok")
+    stored = (keys_named(t["orders"], req.select(F.col("request_id").alias("order_id")), "order_id")
+              .select(F.col("order_id").alias("request_id"), F.lit(True).alias("_stored")))
+    req = materialize(req.join(stored, "request_id", "left"), materialize_lines)
+    priced = materialize(price_checkout_lines(t, req, as_of), materialize_lines)
+    able = req.select("request_id", (F.col("_user_ok").isNotNull() & F.col("_stored").isNull()).alias("known"))
+    decided = materialize(decide(priced.join(able, "request_id"), materialize_lines, rounds, serial), materialize_lines)
+    lines = (priced.drop("stock_quantity").join(decided.filter(f"NOT gone AND state != '{WAITING}'"), ["request_id", "cart_id"])
+             .withColumn("stock_quantity", F.col("stock_before")).withColumn("short", F.col("stock_before") < F.col("quantity"))
+             .drop("gone", "stock_before", "state"))
+    lines = materialize(lines, materialize_lines)
     per = lines.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("line_count"), F.sum(F.col("short").cast("int")).alias("short_lines"),
-        F.sum("line_total").alias("total_amount"))
-    req = prepare_requests(requests).join(per, "request_id", "left")
-    if users is not None:
-        req = flag_known(req, users, "user_id", "_user_ok")
-    else:
-        req = req.withColumn("_user_ok", F.lit(True))
-    status = (F.when(F.col("_deferred"), "deferred").when(F.col("_invalid"), "invalid")
-              .when(F.col("line_count").isNull(), "empty")
-              .when(F.col("short_lines") > 0, "insufficient_stock")
-              .when(F.col("_user_ok").isNull(), "unknown_reference").otherwise(PAID))
-    return req.select("request_id", "user_id", status.alias("status"),
+        F.count(F.lit(1)).alias("line_count"), F.sum(F.col("short").cast("int")).alias("short_lines"), F.sum("line_total").alias("total_amount"))
+    states = decided.groupBy("request_id").agg(F.first("state").alias("state"))
+    conflict = (F.col("state") == "unknown_reference") & F.col("_user_ok").isNotNull()
+    status = (req.join(states, "request_id", "left").join(per, "request_id", "left")
+              .select("request_id", "user_id",
+                      F.when(F.col("_invalid"), "invalid").when(conflict, "key_conflict").otherwise(F.coalesce("state", F.lit("empty"))).alias("status"),
                       F.coalesce("line_count", F.lit(0)).cast("bigint").alias("line_count"),
                       F.coalesce("short_lines", F.lit(0)).cast("bigint").alias("short_lines"),
-                      F.col("total_amount").cast("bigint").alias("total_amount"),
-                      "shipping_address", "payment_method")
+                      F.col("total_amount").cast("bigint").alias("total_amount"), "shipping_address", "payment_method"))
+    return lines, materialize(status, materialize_lines)
 
 
 def build_orders(lines: DataFrame, status: DataFrame, as_of) -> dict[str, DataFrame]:
     """Order headers and items for paid requests. ``order_id`` = request_id,
-    ``order_item_id`` = the purchased cart_id (keys from the feed, no global counter)."""
+    ``order_item_id`` = a hash of (request, cart row): the same row's id may be used again for a later purchase."""
     as_of = as_datetime(as_of)
     paid = status.filter(F.col("status") == PAID)
     now = ts_literal(as_of)
@@ -95,8 +199,8 @@ def build_orders(lines: DataFrame, status: DataFrame, as_of) -> dict[str, DataFr
                       F.col("total_amount").cast("decimal(10,2)").alias("total_amount"),
                       "shipping_address", "payment_method", F.lit(PAID).alias("status"),
                       now.alias("created_at"), F.col("line_count").alias("item_count")))
-    items = (lines.join(paid.select("request_id"), "request_id", "left_semi")
-             .select(F.col("cart_id").alias("order_item_id"), F.col("request_id").alias("order_id"),
+    items = (paid_lines(lines, status)
+             .select(F.xxhash64("request_id", "cart_id").alias("order_item_id"), F.col("request_id").alias("order_id"),
                      "option_id", "quantity", F.col("unit_price").cast("decimal(10,2)").alias("price"),
                      now.alias("created_at")))
     return {"orders": orders, "order_items": items}
@@ -107,13 +211,11 @@ def paid_lines(lines: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def stock_and_sold_deltas(t: dict[str, DataFrame], paid: DataFrame) -> dict[str, DataFrame]:
-    """New options (stock minus quantity bought, ``oversold`` if below zero) and new
-    variants (sold_count plus quantity; a null sold_count stays null)."""
+    """New options (stock minus quantity bought) and new variants (sold_count plus quantity; a null sold_count stays null)."""
     by_opt = paid.groupBy("option_id").agg(F.sum("quantity").alias("_bought"))
     opts = (t["product_options"].join(by_opt, "option_id", "left")
             .withColumn("stock_quantity", (F.col("stock_quantity") - F.coalesce("_bought", F.lit(0)))
                         .cast("int"))
-            .withColumn("oversold", F.coalesce(F.col("stock_quantity") < 0, F.lit(False)))
             .drop("_bought"))
     by_var = paid.groupBy("variant_id").agg(F.sum("quantity").alias("_sold"))
     vars_ = (t["product_variants"].join(by_var, "variant_id", "left")
@@ -124,22 +226,24 @@ def stock_and_sold_deltas(t: dict[str, DataFrame], paid: DataFrame) -> dict[str,
 
 def purge_cart(t: dict[str, DataFrame], paid: DataFrame) -> DataFrame:
     """The cart without the purchased rows."""
-    return t["cart"].join(paid.select("cart_id"), "cart_id", "left_anti")
+    bought = paid.select(F.col("cart_id").alias("_bought"))
+    return t["cart"].join(bought, F.col("cart_id") == F.col("_bought"), "left_anti")
 
 
 def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of,
-             materialize_lines: str = "checkpoint") -> dict[str, DataFrame]:
+             materialize_lines: str = "checkpoint", rounds: int = ROUNDS, serial: int = SERIAL) -> dict[str, DataFrame]:
     """X1-X5 together: every output table of one checkout batch.
 
-    The priced lines feed every output, so they are materialised once
-    (``checkpoint`` to the shared checkpoint folder by default; see
-    :mod:`cobbler.plans.materialize`).
+    Requests that wait from earlier batches (``t['checkout_waiting']``, if there) come first when their ids are lower;
+    ``checkout_waiting`` holds those that wait now. Lines and decisions feed every output, so they are materialised
+    (``checkpoint`` to the shared checkpoint folder by default; see :mod:`cobbler.plans.materialize`).
     """
-    req = prepare_requests(requests)
-    lines = materialize(price_checkout_lines(t, req, as_of), materialize_lines)
-    status = checkout_status(req, lines, t["users"])
+    if "checkout_waiting" in t:
+        requests = requests.unionByName(t["checkout_waiting"].select(*requests.columns))
+    lines, status = serve(t, requests, as_of, materialize_lines, rounds, serial)
     paid = paid_lines(lines, status)
-    out = {"lines": lines, "status": status.drop("shipping_address", "payment_method")}
+    waiting = requests.join(status.filter(F.col("status") == WAITING).select("request_id"), "request_id", "left_semi").select(*requests.columns)
+    out = {"lines": lines, "status": status.drop("shipping_address", "payment_method"), "checkout_waiting": waiting}
     out.update(build_orders(lines, status, as_of))
     out.update(stock_and_sold_deltas(t, paid))
     out["cart"] = purge_cart(t, paid)

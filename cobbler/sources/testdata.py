@@ -21,6 +21,8 @@ from ..plans.materialize import materialize
 VARIANT_KEY_SCALE = 1000000      # variant_id = l_partkey * 1000000 + l_suppkey
 OPTION_KEY_SCALE = 10            # option_id = variant_id * 10 + l_linenumber
 ITEM_KEY_SCALE = 1000            # order_item_id = l_orderkey * 1000 + n
+# Request ids of feeds whose ids become keys of new rows: a key space of their own.
+REQUEST_KEY_BASE = 1_000_000_000_000
 CART_KEY_SCALE = 1000            # cart_id = user_id * 1000 + k
 ORDER_STATUS = {"F": "delivered", "O": "paid", "P": "pending"}
 
@@ -244,18 +246,15 @@ class GeneratedShop:
 
     @cached_property
     def checkout_requests(self) -> DataFrame:
-        """One request per user with a purchase event and a cart: their two lowest cart ids."""
-        buyers = self.raw("events").filter(F.col("event_type") == "purchase").select("user_id").distinct()
-        cart = self.cart.select("user_id", "cart_id")
-        first = cart.groupBy("user_id").agg(F.min("cart_id").alias("c1"))
-        second = (cart.join(first, "user_id").filter(F.col("cart_id") > F.col("c1"))
-                  .groupBy("user_id").agg(F.min("cart_id").alias("c2")))
-        ids = first.join(second, "user_id", "left").join(buyers, "user_id", "left_semi")
-        return ids.select(
-            F.col("user_id").alias("request_id"), "user_id",
-            F.concat(F.lit("Address "), F.col("user_id").cast("string")).alias("shipping_address"),
+        """One request per purchase event, so users come several times: their whole cart, or the rows of
+        products k and k + 1 (bought before, or never there, for some); a few have no address."""
+        ev = self.raw("events").filter(F.col("event_type") == "purchase").withColumn("k", _k())
+        row = F.col("user_id") * CART_KEY_SCALE + F.col("k")
+        return ev.select(
+            (F.lit(REQUEST_KEY_BASE) + F.col("event_id")).alias("request_id"), "user_id",
+            F.when(F.col("event_id") % 40 != 1, F.concat(F.lit("Address "), F.col("user_id").cast("string"))).alias("shipping_address"),
             F.lit("card").alias("payment_method"),
-            F.array_compact(F.array("c1", "c2")).alias("cart_ids"))
+            F.when(F.col("event_id") % 4 != 0, F.array(row, row + 1)).alias("cart_ids"))
 
     @cached_property
     def option_changes(self) -> DataFrame:

@@ -82,14 +82,12 @@ CTES = {
                CASE WHEN e.event_type <> 'error' THEN CAST(1 + e.event_id % 3 AS INTEGER) END AS quantity
         FROM (SELECT *, {K} AS k FROM events WHERE event_type IN ('click', 'view', 'error')) e
         LEFT JOIN s_first_option f ON e.k = f.product_id""",
-    "s_checkout_requests": """
-        SELECT user_id AS request_id, user_id, 'Address ' || CAST(user_id AS VARCHAR) AS shipping_address,
-               'card' AS payment_method, min(cart_id) AS c1,
-               CASE WHEN count(*) > 1 THEN max(cart_id) END AS c2
-        FROM (SELECT user_id, cart_id,
-                     row_number() OVER (PARTITION BY user_id ORDER BY cart_id) AS rn FROM s_cart) r
-        WHERE rn <= 2 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
-        GROUP BY user_id""",
+    "s_checkout_requests": f"""
+        SELECT 1000000000000 + event_id AS request_id, user_id,
+               CASE WHEN event_id % 40 <> 1 THEN 'Address ' || CAST(user_id AS VARCHAR) END AS shipping_address,
+               'card' AS payment_method,
+               CASE WHEN event_id % 4 <> 0 THEN [user_id * 1000 + {K}, user_id * 1000 + {K} + 1] END AS cart_ids
+        FROM events WHERE event_type = 'purchase'""",
     "s_option_changes": """
         SELECT l_partkey * 1000000 + l_suppkey AS variant_id,
                CAST(220 + 10 * l_linenumber + CASE WHEN l_linestatus = 'O' THEN 5 ELSE 0 END AS VARCHAR) AS size,

@@ -314,25 +314,50 @@ SQL["cart_after_changes"] = build(
 
 CHECKOUT_AS_OF = "1996-08-30 00:00:00"   # midnight of a one-day sale: P4 discounts apply
 
+# Requests one after another: the recursion carries the rows bought and the stock taken so far.
+_TAKEN = "coalesce(list_sum(list_transform(list_filter(f.taken, lambda y: y.option_id = x.option_id), lambda y: y.quantity)), 0)"
 _CHECKOUT = {
-    "priced": f"""
+    "named": f"""
         SELECT r.request_id, c.cart_id, c.user_id, c.option_id, o.variant_id, p.product_id,
-               p.name AS product_name, v.color_name, o.size, c.quantity, o.stock_quantity,
+               p.name AS product_name, v.color_name, o.size, c.quantity, coalesce(o.stock_quantity, 0) AS stock,
                CAST(floor(CAST(p.base_price AS DOUBLE) * (1 - (CASE
                    WHEN v.sale_start_date IS NOT NULL AND v.sale_end_date IS NOT NULL
                         AND TIMESTAMP '{CHECKOUT_AS_OF}' >= CAST(v.sale_start_date AS TIMESTAMP)
                         AND TIMESTAMP '{CHECKOUT_AS_OF}' <= CAST(v.sale_end_date AS TIMESTAMP)
                    THEN coalesce(v.discount_rate, 0) ELSE 0 END) / 100.0)) AS BIGINT) AS unit_price
         FROM s_checkout_requests r
-             JOIN s_cart c ON c.user_id = r.user_id AND (c.cart_id = r.c1 OR c.cart_id = r.c2)
+             JOIN s_cart c ON c.user_id = r.user_id AND (r.cart_ids IS NULL OR list_contains(r.cart_ids, c.cart_id))
              JOIN s_options o ON c.option_id = o.option_id
              JOIN s_variants v ON o.variant_id = v.variant_id
-             JOIN s_products p ON v.product_id = p.product_id""",
-    "lines": """SELECT *, unit_price * quantity AS line_total, coalesce(stock_quantity, 0) < quantity AS short
-                FROM priced""",
+             JOIN s_products p ON v.product_id = p.product_id
+        WHERE r.shipping_address IS NOT NULL""",
+    "queue": """
+        SELECT request_id, row_number() OVER (ORDER BY request_id) AS rn, bool_or(user_id IN (SELECT user_id FROM s_users)) AS known,
+               list(struct_pack(cart_id := cart_id, option_id := option_id, quantity := quantity, stock := stock)) AS ls
+        FROM named GROUP BY request_id""",
+    "served(rn, request_id, ls, paid, bought, taken)": f"""
+        SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+               CAST([] AS STRUCT(cart_id BIGINT, stock BIGINT, short BOOLEAN)[]), false,
+               CAST([] AS BIGINT[]), CAST([] AS STRUCT(option_id BIGINT, quantity BIGINT)[])
+        UNION ALL
+        SELECT rn, request_id, seen, paid, CASE WHEN paid THEN list_concat(bought, list_transform(seen, lambda x: x.cart_id)) ELSE bought END,
+               CASE WHEN paid THEN list_concat(taken, list_transform(list_filter(ls, lambda x: NOT list_contains(bought, x.cart_id)),
+                    lambda x: struct_pack(option_id := x.option_id, quantity := CAST(x.quantity AS BIGINT)))) ELSE taken END
+        FROM (SELECT *, known AND len(seen) > 0 AND len(list_filter(seen, lambda x: x.short)) = 0 AS paid
+              FROM (SELECT q.rn, q.request_id, q.known, q.ls, f.bought, f.taken,
+                           list_transform(list_filter(q.ls, lambda x: NOT list_contains(f.bought, x.cart_id)),
+                               lambda x: struct_pack(cart_id := x.cart_id, stock := CAST(x.stock - {_TAKEN} AS BIGINT),
+                                                     short := x.stock - {_TAKEN} < x.quantity)) AS seen
+                    FROM served f JOIN queue q ON q.rn = f.rn + 1))""",
+    "lines": """SELECT n.request_id, n.cart_id, n.user_id, n.option_id, n.variant_id, n.product_id, n.product_name, n.color_name,
+                       n.size, n.quantity, CAST(s.l.stock AS INTEGER) AS stock_quantity, n.unit_price,
+                       n.unit_price * n.quantity AS line_total, s.l.short AS short
+                FROM named n JOIN (SELECT request_id, unnest(ls) AS l FROM served WHERE rn > 0) s
+                     ON n.request_id = s.request_id AND n.cart_id = s.l.cart_id""",
     "status": """
         SELECT r.request_id, r.user_id,
-               CASE WHEN l.n IS NULL THEN 'empty' WHEN l.short_lines > 0 THEN 'insufficient_stock'
+               CASE WHEN r.shipping_address IS NULL THEN 'invalid' WHEN l.n IS NULL THEN 'empty'
+                    WHEN l.short_lines > 0 THEN 'insufficient_stock'
                     WHEN r.user_id NOT IN (SELECT user_id FROM s_users) THEN 'unknown_reference'
                     ELSE 'paid' END AS status,
                CAST(coalesce(l.n, 0) AS BIGINT) AS line_count,
@@ -345,26 +370,28 @@ _CHECKOUT = {
     "paid": """SELECT l.* FROM lines l JOIN status s ON l.request_id = s.request_id WHERE s.status = 'paid'""",
 }
 
-SQL["checkout_lines"] = build("SELECT * FROM lines", _CHECKOUT)
-SQL["checkout_status"] = build("SELECT * FROM status", _CHECKOUT)
+SQL["checkout_lines"] = build("SELECT * FROM lines", _CHECKOUT, recursive=True)
+SQL["checkout_status"] = build("SELECT * FROM status", _CHECKOUT, recursive=True)
 SQL["checkout_orders"] = build(
     """SELECT s.request_id AS order_id, s.user_id, CAST(s.total_amount AS DOUBLE) AS total_amount,
               r.shipping_address, r.payment_method, 'paid' AS status, s.line_count AS item_count
        FROM status s JOIN s_checkout_requests r ON s.request_id = r.request_id
-       WHERE s.status = 'paid'""", _CHECKOUT)
+       WHERE s.status = 'paid'""", _CHECKOUT, recursive=True)
 SQL["stock_after"] = build(
     """SELECT o.option_id, o.variant_id, o.size,
-              CAST(o.stock_quantity - coalesce(b.n, 0) AS INTEGER) AS stock_quantity,
-              coalesce(o.stock_quantity - coalesce(b.n, 0) < 0, false) AS oversold
+              CAST(o.stock_quantity - coalesce(b.n, 0) AS INTEGER) AS stock_quantity
        FROM s_options o LEFT JOIN (SELECT option_id, sum(quantity) AS n FROM paid GROUP BY option_id) b
-            ON o.option_id = b.option_id""", _CHECKOUT)
+            ON o.option_id = b.option_id""", _CHECKOUT, recursive=True)
 SQL["sold_after"] = build(
     """SELECT v.variant_id, CAST(v.sold_count + coalesce(b.n, 0) AS BIGINT) AS sold_count
        FROM s_variants v LEFT JOIN (SELECT variant_id, sum(quantity) AS n FROM paid GROUP BY variant_id) b
-            ON v.variant_id = b.variant_id""", _CHECKOUT)
+            ON v.variant_id = b.variant_id""", _CHECKOUT, recursive=True)
 SQL["cart_after_checkout"] = build(
     """SELECT cart_id, user_id, option_id, quantity FROM s_cart
-       WHERE cart_id NOT IN (SELECT cart_id FROM paid)""", _CHECKOUT)
+       WHERE cart_id NOT IN (SELECT cart_id FROM paid)""", _CHECKOUT, recursive=True)
+
+SQL["checkout_items"] = build(
+    """SELECT request_id AS order_id, option_id, quantity, CAST(unit_price AS DOUBLE) AS price FROM paid""", _CHECKOUT, recursive=True)
 
 # ---------------- loads ----------------
 

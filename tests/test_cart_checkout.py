@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from cobbler.operators import cart, checkout
 from cobbler.sources import schemas
 from conftest import make_shop
@@ -113,44 +115,107 @@ def test_cart_changes_against_plain_loop(spark):
 
 
 def test_checkout_statuses_and_outputs(spark):
-    from conftest import D, ts
+    from conftest import ts
     shop = make_shop(spark)
     cart_rows = [(r.cart_id, r.user_id, r.option_id, r.quantity, r.created_at, r.updated_at)
                  for r in shop["cart"].collect()] + [(16, 5, 10, 1, ts(2025, 3, 6), ts(2025, 3, 6))]
     t = make_shop(spark, cart=cart_rows)
     req = spark.createDataFrame([
         (1, 1, "addr", "card", None),          # paid: all of user 1's rows (11, 12)
-        (2, 1, "addr", "card", [11]),          # deferred: second request of user 1
+        (2, 1, "addr", "card", [11]),          # empty: row 11 was bought by request 1
         (3, 2, "addr", "card", [13, 14]),      # insufficient_stock: row 13 wants 5 of stock 3
         (4, 3, "", "card", None),              # invalid: no address
         (5, 9, "addr", "card", None),          # empty: no cart
-        (6, 3, "addr", "card", [15]),          # deferred (user 3's first request is 4)
+        (6, 3, "addr", "card", [15]),          # paid: the invalid request before blocks nobody
         (7, 5, "addr", "card", None),          # unknown_reference: user 5 has a cart row but no account
+        (8, 2, "addr", "card", [14]),          # paid: a user's next request on another row
+        (1000, 2, "addr", "card", [13]),       # insufficient_stock comes before the stored order's id
     ], schemas.CHECKOUT_REQUESTS)
     as_of = dt.datetime(2025, 1, 15)           # variant 103's sale (10%) is running
     out = checkout.checkout(t, req, as_of)
     st = {r.request_id: r.status for r in out["status"].collect()}
-    assert st == {1: "paid", 2: "deferred", 3: "insufficient_stock", 4: "invalid", 5: "empty", 6: "deferred",
-                  7: "unknown_reference"}
-    orders = out["orders"].collect()
-    assert len(orders) == 1 and orders[0].order_id == 1 and float(orders[0].total_amount) == 2 * 159000 + 143100
-    items = {r.order_item_id: (r.option_id, r.quantity, float(r.price)) for r in out["order_items"].collect()}
-    assert items == {11: (1, 2, 159000.0), 12: (7, 1, 143100.0)}
-    stock = {r.option_id: (r.stock_quantity, r.oversold) for r in out["product_options"].collect()}
-    assert stock[1] == (8, False) and stock[7] == (3, False) and stock[3] == (3, False)
+    assert st == {1: "paid", 2: "empty", 3: "insufficient_stock", 4: "invalid", 5: "empty", 6: "paid",
+                  7: "unknown_reference", 8: "paid", 1000: "insufficient_stock"}
+    orders = {r.order_id: float(r.total_amount) for r in out["orders"].collect()}
+    assert set(orders) == {1, 6, 8} and orders[1] == 2 * 159000 + 143100
+    items = sorted((r.order_id, r.option_id, r.quantity, float(r.price)) for r in out["order_items"].collect())
+    assert items[:2] == [(1, 1, 2, 159000.0), (1, 7, 1, 143100.0)] and len(items) == 4
+    assert out["order_items"].select("order_item_id").distinct().count() == 4
+    stock = {r.option_id: r.stock_quantity for r in out["product_options"].collect()}
+    assert stock[1] == 8 and stock[7] == 3 and stock[3] == 3
     sold = {r.variant_id: r.sold_count for r in out["product_variants"].collect()}
     assert sold[101] == 1522 and sold[103] == 1201 and sold[102] is None
-    assert sorted(r.cart_id for r in out["cart"].collect()) == [13, 14, 15, 16]   # rejected rows stay
+    assert sorted(r.cart_id for r in out["cart"].collect()) == [13, 16]   # rejected rows stay
     # invariant: stock before - after = quantity sold
     before = {r.option_id: r.stock_quantity for r in t["product_options"].collect()}
     bought = sum(r.quantity for r in out["order_items"].collect())
-    assert sum(before.values()) - sum(v[0] for v in stock.values()) == bought
+    assert sum(before.values()) - sum(stock.values()) == bought
+
+
+def _serve_loop(cart_rows, stock, known, requests):
+    """The checkout handler as a plain loop over the requests."""
+    cart_rows, stock, out = dict(cart_rows), dict(stock), {}
+    for rid, user, address, pay, ids in sorted(requests):
+        if not address or not pay or user is None:
+            out[rid] = ("invalid", 0)
+            continue
+        rows = [c for c, (u, _, _) in cart_rows.items() if u == user and (not ids or c in ids)]
+        if not rows:
+            out[rid] = ("empty", 0)
+        elif any(stock[cart_rows[c][1]] < cart_rows[c][2] for c in rows):
+            out[rid] = ("insufficient_stock", len(rows))
+        elif user not in known:
+            out[rid] = ("unknown_reference", len(rows))
+        else:
+            out[rid] = ("paid", len(rows))
+            for c in rows:
+                _, o, q = cart_rows.pop(c)
+                stock[o] -= q
+    return out, cart_rows, stock
+
+
+def _contended(spark, seed, n=120):
+    rnd = random.Random(seed)
+    options = [(o, 101, str(o), rnd.randint(0, 9)) for o in range(1, 9)]
+    cart_rows = {c: (rnd.randint(1, 6), rnd.randint(1, 8), rnd.randint(1, 3)) for c in range(1, 90)}
+    t0 = dt.datetime(2025, 3, 1)
+    t = make_shop(spark, product_options=options, cart=[(c, *v, t0, t0) for c, v in cart_rows.items()])
+    requests = [(5000 + k, rnd.randint(1, 6), rnd.choice(["a", "a", "a", ""]), "card",
+                 rnd.choice([None, rnd.sample(range(1, 90), 30), rnd.sample(range(1, 90), 12)])) for k in range(n)]
+    return t, cart_rows, {o[0]: o[3] for o in options}, requests
+
+
+@pytest.mark.parametrize("serial", [0, 60, 100_000])
+def test_checkout_in_order_equals_a_loop(spark, serial):
+    t, cart_rows, stock, requests = _contended(spark, 7)
+    want, cart_left, stock_left = _serve_loop(cart_rows, stock, {1, 2, 3}, requests)
+    out = checkout.checkout(t, spark.createDataFrame(requests, schemas.CHECKOUT_REQUESTS), dt.datetime(2025, 1, 15), rounds=200, serial=serial)
+    assert {r.request_id: (r.status, r.line_count) for r in out["status"].collect()} == want
+    assert {r.cart_id for r in out["cart"].collect()} == set(cart_left)
+    assert {r.option_id: r.stock_quantity for r in out["product_options"].collect()} == stock_left
+    assert min(stock_left.values()) >= 0
+
+
+def test_checkout_in_five_batches_equals_one(spark):
+    """Few rounds: requests that wait are served first by the next batch, and the totals are the same."""
+    t, cart_rows, stock, requests = _contended(spark, 9, 60)
+    want, cart_left, stock_left = _serve_loop(cart_rows, stock, {1, 2, 3}, requests)
+    state, statuses = dict(t), {}
+    batches = [requests[k:k + 12] for k in range(0, 60, 12)]
+    while batches or statuses.keys() != want.keys():
+        feed = spark.createDataFrame(batches.pop(0) if batches else [], schemas.CHECKOUT_REQUESTS)
+        out = checkout.checkout(state, feed, dt.datetime(2025, 1, 15), rounds=2, serial=0)
+        for k in ("cart", "product_options", "product_variants", "checkout_waiting"):
+            state[k] = spark.createDataFrame(out[k].collect(), out[k].schema)
+        statuses |= {r.request_id: (r.status, r.line_count) for r in out["status"].collect() if r.status != "waiting"}
+    assert statuses == want
+    assert {r.option_id: r.stock_quantity for r in state["product_options"].collect()} == stock_left
 
 
 def test_checkout_outside_sale_pays_base_price(spark):
     t = make_shop(spark)
     req = spark.createDataFrame([(1, 1, "addr", "card", [12])], schemas.CHECKOUT_REQUESTS)
-    lines = checkout.price_checkout_lines(t, req, dt.datetime(2025, 3, 1)).collect()
+    lines = checkout.serve(t, req, dt.datetime(2025, 3, 1))[0].collect()
     assert [(r.cart_id, r.unit_price) for r in lines] == [(12, 159000)]
 
 
@@ -185,7 +250,7 @@ def test_checkout_invariants_on_generated_data(spark):
     from cobbler.sources.testdata import GeneratedShop
     shop = GeneratedShop(spark, "/root/testdata/sf0.001")
     t = shop.tables()
-    out = checkout.checkout(t, shop.checkout_requests, "1998-06-15 00:00:00", materialize_lines="none")
+    out = checkout.checkout(t, shop.checkout_requests, "1998-06-15 00:00:00")
     items = out["order_items"].groupBy(F.col("order_id")).agg(F.sum(F.col("price") * F.col("quantity")).alias("s"))
     for r in out["orders"].join(items, "order_id").collect():
         assert float(r.total_amount) == float(r.s)
@@ -194,9 +259,12 @@ def test_checkout_invariants_on_generated_data(spark):
     after = out["product_options"].agg(F.sum("stock_quantity")).first()[0]
     assert before - after == sold
     rejected = out["status"].filter(F.col("status") != "paid").select("request_id")
-    kept = out["lines"].join(rejected, "request_id", "left_semi").select("cart_id")
-    assert kept.join(out["cart"], "cart_id", "left_anti").count() == 0       # their cart rows remain
-    assert out["status"].filter(F.col("status") == "paid").count() == 4
+    kept = {r.cart_id for r in out["lines"].join(rejected, "request_id", "left_semi").select("cart_id").collect()}
+    bought = {r.cart_id for r in out["lines"].join(rejected, "request_id", "left_anti").select("cart_id").collect()}
+    left = {r.cart_id for r in out["cart"].select("cart_id").collect()}
+    assert kept - bought <= left and not bought & left        # their cart rows remain, unless bought by another request
+    assert out["status"].filter(F.col("status") == "paid").count() > 0
+    assert out["product_options"].filter("stock_quantity < 0").count() == 0
 
 
 def test_edge_inputs(spark):
