@@ -146,11 +146,7 @@ def q_cart_totals(spark, sf_dir):
 
 def _cart_changes(spark, sf_dir):
     shop = _shop(spark, sf_dir)
-    t = shop.tables()
-    t["cart"] = spark.createDataFrame([], shop.cart_schema)   # the feed starts from an empty cart
-    # One output per query: no materialisation of the fold. Eight range partitions even on
-    # small inputs (AQE would merge them into one), so keys spanning partitions are exercised.
-    return cart.apply_cart_changes(t, shop.cart_changes, materialize_fold="none", partitions=8)
+    return cart.apply_cart_changes(shop.tables(), shop.cart_changes)
 
 
 def q_cart_change_status(spark, sf_dir):

@@ -88,8 +88,8 @@ def half_up_tenths(total: Column, n: Column) -> Column:
 
 
 def ci_key(c) -> Column:
-    """Case- and accent-insensitive comparison key (MySQL ``utf8mb4_0900_ai_ci``, N1)."""
-    return F.collate(col(c), "UNICODE_CI_AI")
+    """Comparison key that ignores case, accents and trailing spaces (MySQL ``utf8mb4_general_ci``, N1)."""
+    return F.collate(col(c), "UNICODE_CI_AI_RTRIM")
 
 
 def blank_to_null(c) -> Column:

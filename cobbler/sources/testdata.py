@@ -290,7 +290,7 @@ class GeneratedShop:
         """New colours requested by purchase events for product k, each with one size."""
         ev = self.raw("events").filter(F.col("event_type") == "purchase")
         return ev.select(
-            F.col("event_id").alias("request_id"), _k().alias("product_id"),
+            (F.lit(REQUEST_KEY_BASE) + F.col("event_id")).alias("request_id"), _k().alias("product_id"),
             F.concat(F.lit("Colour "), (F.col("event_id") % 10).cast("string")).alias("color_name"),
             F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string"))
              .otherwise(F.concat(F.lit("/images/new-"), F.col("event_id").cast("string"), F.lit(".jpg")))
@@ -324,7 +324,7 @@ class GeneratedShop:
         c = self.raw("customer")
         local = F.concat(F.lit("user"), (F.col("c_custkey") % 1000).cast("string"))
         return c.select(
-            F.col("c_custkey").alias("request_id"),
+            (F.lit(REQUEST_KEY_BASE) + F.col("c_custkey")).alias("request_id"),
             F.when(F.col("c_custkey") >= 1000, F.upper(local)).otherwise(local).alias("email"),
             F.col("c_name").alias("name"),
             F.when(F.col("c_mktsegment") == "MACHINERY", "admin").otherwise("user").alias("role"),

@@ -102,7 +102,7 @@ CTES = {
                c_name AS name, 'USER' AS role
         FROM customer""",
     "s_user_requests": """
-        SELECT c_custkey AS request_id,
+        SELECT 1000000000000 + c_custkey AS request_id,
                CASE WHEN c_custkey >= 1000 THEN upper('user' || CAST(c_custkey % 1000 AS VARCHAR))
                     ELSE 'user' || CAST(c_custkey % 1000 AS VARCHAR) END AS email,
                c_name AS name,

@@ -284,3 +284,18 @@ def test_edge_inputs(spark):
     # empty results where nothing qualifies
     assert sales.sales_summary(t, "1990-01-01", "1990-12-31").count() == 0
     assert catalog.gender_catalog(t, dt.datetime(2025, 1, 1), "KIDS").count() == 0
+
+
+def test_cart_feed_with_null_time_null_user_and_a_gone_option(spark):
+    from conftest import ts
+    rows = [(11, 1, 1, 2, ts(2025, 3, 1), ts(2025, 3, 1)), (12, 1, 77, 1, ts(2025, 3, 1), ts(2025, 3, 1)),
+            (13, 2, 77, 1, ts(2025, 3, 1), ts(2025, 3, 1))]
+    t = make_shop(spark, cart=rows)            # option 77 does not exist any more
+    changes = spark.createDataFrame([
+        (1, None, 1, "add", 1, None, 1), (2, T0, None, "add", 1, None, 1), (3, T0, 1, "set", None, 12, 2),
+        (4, T0, 2, "remove", None, 13, None), (5, T0, 1, None, 1, None, 1), (6, T0, 1, "set", None, 11, 5)],
+        "request_id bigint, ts timestamp, user_id bigint, op string, option_id bigint, cart_id bigint, quantity int")
+    out = cart.apply_cart_changes(t, changes)
+    assert {r.request_id: r.status for r in out["status"].collect()} == {
+        1: "accepted", 2: "invalid", 3: "not_found", 4: "accepted", 5: "invalid", 6: "accepted"}
+    assert {r.cart_id: r.quantity for r in out["cart"].collect()} == {11: 5, 12: 1}

@@ -31,7 +31,7 @@ def test_cart_change_feed_outcome(spark):
     shop = GeneratedShop(spark, SF001)
     t = shop.tables()
     t["cart"] = spark.createDataFrame([], shop.cart_schema)
-    out = cart.apply_cart_changes(t, shop.cart_changes)
+    out = cart.apply_cart_changes(t, shop.cart_changes, partitions=8)       # keys that span partitions
     counts = {r.status: r["count"] for r in out["status"].groupBy("status").count().collect()}
     assert counts == {"accepted": 1450, "stock": 718, "not_found": 3834}
     assert out["cart"].count() == 1160
