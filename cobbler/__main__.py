@@ -1,7 +1,7 @@
 """Command line: the shop's read queries and write paths over a published shop folder.
 
     python -m cobbler init  --shop ROOT --tables DIR           # publish DIR/<table> Parquet as batch 0
-    python -m cobbler query NAME --shop ROOT --out PATH [--as-of TS] [--start D] [--end D]
+    python -m cobbler query NAME --shop ROOT --out PATH [--as-of TS] [--start D] [--end D] [--user ID ...] [--product ID ...]
     python -m cobbler job   NAME --shop ROOT --feed PATH --batch N [--as-of TS]
 
 Queries write JSON lines with null fields kept (the reference's responses);
@@ -32,12 +32,12 @@ QUERIES = {
     "variant_images": lambda t, a: catalog.variant_images(t),
     "daily_variant_sales": lambda t, a: sales.daily_variant_sales(t, a.start, a.end),
     "sales_summary": lambda t, a: sales.sales_summary(t, a.start, a.end),
-    "order_lines": lambda t, a: orders.order_lines(t),
-    "order_history": lambda t, a: orders.order_history(t),
-    "review_list": lambda t, a: reviews.review_list(t),
+    "order_lines": lambda t, a: orders.order_lines(t, a.user_ids),
+    "order_history": lambda t, a: orders.order_history(t, a.user_ids),
+    "review_list": lambda t, a: reviews.review_list(t, a.product_ids),
     "rating_summary": lambda t, a: reviews.rating_summary(t),
-    "cart_lines": lambda t, a: cart.cart_lines(t),
-    "cart_totals": lambda t, a: cart.cart_totals(t),
+    "cart_lines": lambda t, a: cart.cart_lines(t, a.user_ids),
+    "cart_totals": lambda t, a: cart.cart_totals(t, a.user_ids),
 }
 
 JOBS = {  # name -> (feed schema, job(tables, feed, args))
@@ -46,6 +46,7 @@ JOBS = {  # name -> (feed schema, job(tables, feed, args))
     "load_products": (schemas.NESTED_PRODUCTS, lambda t, f, a: jobs.load_products_job(t, f, a.as_of)),
     "add_variants": (schemas.NEW_VARIANTS, lambda t, f, a: jobs.add_variants_job(t, f, a.as_of)),
     "update_variants": (schemas.VARIANT_CHANGES, lambda t, f, a: jobs.update_variants_job(t, f)),
+    "images": (schemas.IMAGE_CHANGES, lambda t, f, a: jobs.set_images_job(t, f)),
     "reviews": (schemas.REVIEW_REQUESTS, lambda t, f, a: jobs.review_intake_job(t, f, a.as_of)),
     "users": (schemas.USER_REQUESTS, lambda t, f, a: jobs.user_intake_job(t, f)),
 }
@@ -61,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("name", choices=sorted(QUERIES))
     q.add_argument("--shop", required=True)
     q.add_argument("--out", required=True)
+    q.add_argument("--user", type=int, action="append", help="only these users (cart, orders); repeatable")
+    q.add_argument("--product", type=int, action="append", help="only these products (reviews); repeatable")
     j = sub.add_parser("job")
     j.add_argument("name", choices=sorted(JOBS))
     j.add_argument("--shop", required=True)
@@ -90,6 +93,9 @@ def main(argv: list[str] | None = None) -> int:
         tables = {name: read_table(spark, a.tables, name) for name in schemas.TABLES}
         snapshots.publish(spark, a.shop, 0, replace=tables)
     elif a.cmd == "query":
+        for key in ("user", "product"):
+            ids = getattr(a, key)
+            setattr(a, f"{key}_ids", spark.createDataFrame([(i,) for i in ids], f"{key}_id bigint") if ids else None)
         write_json(QUERIES[a.name](snapshots.read_current(spark, a.shop), a), a.out)
     else:
         schema, job = JOBS[a.name]

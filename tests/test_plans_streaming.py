@@ -119,6 +119,12 @@ def test_command_line_init_query_and_job(spark):
     lines = [json.loads(x) for f in os.listdir(out + "/admin") if f.endswith(".json")
              for x in open(os.path.join(out, "admin", f))]
     assert len(lines) == 6 and {r["group_id"] for r in lines if r["variants"] is None} == {5}
+    assert main(["query", "cart_lines", "--shop", shop, "--out", out + "/cart", "--user", "2", "--user", "3"]) == 0
+    lines = [json.loads(x) for f in os.listdir(out + "/cart") if f.endswith(".json") for x in open(os.path.join(out, "cart", f))]
+    assert {r["user_id"] for r in lines} == {2, 3}
+    images = os.path.join(out, "images.json")
+    with open(images, "w") as f:
+        f.write(json.dumps({"request_id": 1, "variant_id": 101, "image": "new.jpg"}) + "\n")
     feed = os.path.join(out, "checkout.json")
     with open(feed, "w") as f:
         f.write(json.dumps({"request_id": 1, "user_id": 1, "shipping_address": "a", "payment_method": "c"}) + "\n")
@@ -126,6 +132,9 @@ def test_command_line_init_query_and_job(spark):
                  "--as-of", "2025-01-15 00:00:00"]) == 0
     cur = snapshots.read_current(spark, shop)
     assert cur["orders"].count() == 6 and cur["checkout_status"].first().status == "paid"
+    assert main(["job", "images", "--shop", shop, "--feed", images, "--batch", "2"]) == 0
+    variants = snapshots.read_current(spark, shop)["product_variants"]
+    assert variants.filter("variant_id = 101").first().representative_image_url == "new.jpg"
 
 
 def test_every_write_path_publishes_in_the_table_schemas(spark):
