@@ -17,15 +17,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, ready, shuffle_parts, store, whole_text
-from .windows import Hashes, anchors, merged, mix, repeated
+from .windows import Hashes, anchor_hashes, anchors, merged, mix, repeated
 
 LENGTH = 400
-#: Contexts compared at once; larger groups of one core are refined by further passes first.
-AT_ONCE = 4_000
+#: Contexts of one core that a task compares; larger groups are refined by further passes first. Small groups share
+#: a call of about ``TOGETHER`` contexts.
+AT_ONCE, TOGETHER = 50_000, 4_000
 ANCHORS = "doc_id long, text_key long, p long, core long, context long"
 CONTEXTS = "grp long, core long, context long, back int, lo int, hi int, bytes binary"
 RANGES = "core long, context long, since int, until int"
@@ -48,25 +49,26 @@ def all_anchors(texts: DataFrame, length: int, choices: int) -> DataFrame:
 
 
 def _cut_contexts(texts: DataFrame, wanted: DataFrame, length: int, choices: int) -> DataFrame:
-    """The bytes around ``wanted`` anchors (``doc_id, text_key, p, core, context``)."""
+    """The bytes around ``wanted`` anchors (``doc_id, text_key, p``), with their core and context hashes."""
     core, reach = length - choices + 1, choices - 1
     per_doc = store(wanted.groupBy(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"))
-                    .agg(F.collect_list(F.struct("p", "core", "context")).alias("ats")))
-    found = texts.join(bounded(per_doc, per_doc.count(), 300_000),
-                       F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).select("text", "ats")
+                    .agg(F.collect_list(F.col("p").cast("int")).alias("ps")))
+    places, = per_doc.agg(F.sum(F.size("ps"))).first()         # 4 bytes each
+    found = texts.join(bounded(per_doc, places or 0, 8_000_000),
+                       F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).select("text", "ps")
 
     def cut(batches):
         for b in batches:
-            for text, ats in zip(b.column("text"), b.column("ats")):
+            for text, ps in zip(b.column("text"), b.column("ps")):
                 data = text.as_py().encode()
-                ats = ats.as_py()
-                lefts = [min(a["p"], reach) for a in ats]
-                n = len(ats)
-                cores = pa.array([a["core"] for a in ats], pa.int64())
+                p = np.array(ps.as_py(), np.int64)
+                cores, contexts = anchor_hashes(np.frombuffer(data, np.uint8), p, core, reach)
+                left = np.minimum(p, reach)
+                n = len(p)
                 yield pa.RecordBatch.from_arrays(
-                    [cores, cores, pa.array([a["context"] for a in ats], pa.int64()), pa.array(lefts, pa.int32()),
-                     pa.array([0] * n, pa.int32()), pa.array([reach] * n, pa.int32()),
-                     pa.array([data[a["p"] - x:a["p"] + core + reach] for a, x in zip(ats, lefts)], pa.binary())],
+                    [_long(cores), _long(cores), _long(contexts), pa.array(left, pa.int32()), pa.array(np.zeros(n), pa.int32()),
+                     pa.array(np.full(n, reach), pa.int32()),
+                     pa.array([data[a - x:a + core + reach] for a, x in zip(p.tolist(), left.tolist())], pa.binary())],
                     ["grp", "core", "context", "back", "lo", "hi", "bytes"])
     return found.mapInArrow(cut, CONTEXTS)
 
@@ -116,7 +118,7 @@ def _compare(contexts: DataFrame, length: int, choices: int) -> DataFrame:
                                               ["core", "context", "since", "until"])
         for b in batches:
             for r in zip(*[b.column(k).to_pylist() for k in range(7)]):
-                if len(held) >= AT_ONCE and r[0] != last:
+                if len(held) >= TOGETHER and r[0] != last:
                     yield done(held)
                     held = []
                 held.append(r)
@@ -149,25 +151,36 @@ def _in_groups(contexts: DataFrame, length: int, choices: int, at_once: int) ->
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, at_once: int = AT_ONCE) -> DataFrame:
-    """``id_, key_, ranges``: for each row with repeated windows, byte ranges (may overlap, may pass the text's ends)."""
+    """``id_, key_, ranges``: for each row with repeated windows, ascending byte ranges (they may pass the text's ends)."""
     choices = length // 2
     texts = whole_text(docs).withColumn("text_key", F.xxhash64("text"))
     found = store(all_anchors(texts, length, choices))
-    kinds = found.groupBy("core", "context").agg(F.count("*").alias("times"))
-    kinds = store(kinds)
+    # one place of each context comes along; which one does not matter
+    kinds = store(found.groupBy("core", "context").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc_id", "text_key", "p")]))
     cores = kinds.groupBy("core").agg(F.sum("times").alias("total"), F.count("*").alias("contexts")).filter("total > 1")
-    kinds = store(kinds.join(cores, "core").select("core", "context", "times", "contexts"))
+    kinds = store(kinds.join(cores, "core").drop("total"))
     reach = choices - 1
     whole = kinds.filter("times > 1").select("core", "context", F.lit(-reach).alias("since"), F.lit(length).alias("until"))
-    differ = kinds.filter("contexts > 1").select("core", "context")
-    wanted = found.join(differ, ["core", "context"]).dropDuplicates(["core", "context"])
+    wanted = kinds.filter("contexts > 1").select("doc_id", "text_key", "p")
     contexts = store(_cut_contexts(texts, wanted, length, choices))
     partly = _in_groups(contexts, length, choices, at_once)
     cover = store(whole.unionByName(partly).groupBy("core", "context").agg(F.collect_set(F.struct("since", "until")).alias("cover")))
     hit = (found.join(cover, ["core", "context"])
            .select("doc_id", "text_key", F.explode("cover").alias("c"), "p")
            .select("doc_id", "text_key", F.struct((F.col("p") + F.col("c.since")).alias("a"), (F.col("p") + F.col("c.until")).alias("z")).alias("r")))
-    return hit.groupBy(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).agg(F.collect_set("r").alias("ranges"))
+    return (hit.groupBy(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"))
+            .agg(_union(F.array_sort(F.collect_set("r"))).alias("ranges")))
+
+
+def _union(ranges: Column) -> Column:
+    """Sorted ranges ``(a, z)`` as few that do not touch."""
+    none = F.array().cast("array<struct<a:bigint,z:bigint>>")
+
+    def step(acc, r):
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["z"], r["z"]).alias("z"))))
+        return F.when((F.size(acc) > 0) & (last["z"] >= r["a"]), joined).otherwise(F.concat(acc, F.array(r)))
+    return F.aggregate(ranges, none, step)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, at_once: int = AT_ONCE) -> DataFrame:
@@ -181,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, at_once: int = AT_ONCE
     ready(docs.sparkSession)
     texts = whole_text(docs).withColumn("text_key", F.xxhash64("text"))
     ranges = store(repeated_ranges(docs, length, at_once))
-    marked = (texts.join(bounded(ranges, ranges.count(), 300_000),
+    marked = (texts.join(bounded(ranges, ranges.count(), 200_000),
                          F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")), "left")
               .select("doc_id", "text", "ranges"))
 

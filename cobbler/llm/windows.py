@@ -7,6 +7,8 @@ import numpy as np
 GRAM = 24               # bytes whose hash decides which places are anchors
 #: A long text is taken in stretches of this many window starts.
 STRETCH = 1 << 20
+#: Window hashes, and contexts, compared at once.
+CELLS, ROWS = 1_000_000, 2_000
 
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -74,40 +76,55 @@ def anchors(data: np.ndarray, length: int, choices: int) -> tuple[np.ndarray, np
         h = Hashes(data[lo:hi], 0)
         at = np.arange(begin - lo, last + reach - lo)
         p = least_places(h.of(at, at + min(GRAM, core)), choices) + begin
-        left, right = np.maximum(p - reach, 0), np.minimum(p + core + reach, n)
-        f = Hashes(data[lo:hi], 1).of(left - lo, right - lo)
-        found.append((p, h.of(p - lo, p - lo + core), mix(f + (p - left).astype(np.uint64) * BASE[0] + (right - p).astype(np.uint64) * BASE[1])))
+        found.append((p, *anchor_hashes(data[lo:hi], p - lo, core, reach, h)))
     p, first = np.unique(np.concatenate([x[0] for x in found]), return_index=True)
     return p, np.concatenate([x[1] for x in found])[first], np.concatenate([x[2] for x in found])[first]
 
 
+def anchor_hashes(data: np.ndarray, p: np.ndarray, core: int, reach: int, h: Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(core, context) hashes of the anchors ``p`` of ``data``; the context's tells how far it reaches, too."""
+    left, right = np.maximum(p - reach, 0), np.minimum(p + core + reach, len(data))
+    f = Hashes(data, 1).of(left, right)
+    return (h or Hashes(data, 0)).of(p, p + core), mix(f + (p - left).astype(np.uint64) * BASE[0] + (right - p).astype(np.uint64) * BASE[1])
+
+
 def repeated(group: np.ndarray, contexts: list[bytes], left: np.ndarray, lo: np.ndarray, hi: np.ndarray,
              length: int, choices: int) -> np.ndarray:
     """Which windows of each context occur in another context of its group: a row per context, a column per
-    distance (0 to ``choices - 1``) of the window's start before the anchor; only distances ``lo`` to ``hi`` count."""
+    distance (0 to ``choices - 1``) of the window's start before the anchor; only distances ``lo`` to ``hi`` count.
+
+    Distances are taken a few at a time where there are many contexts, so that about ``CELLS`` hashes are held.
+    """
     m, most = len(contexts), length + choices - 1
-    data = np.zeros((m, most), np.uint8)
     sizes = np.array([len(c) for c in contexts])
-    for k, c in enumerate(contexts):
-        data[k, :len(c)] = np.frombuffer(c, np.uint8)
-    start = np.arange(most - length + 1)
-    before = left[:, None] - start[None, :]
-    valid = (start[None, :] + length <= sizes[:, None]) & (before >= lo[:, None]) & (before <= hi[:, None])
-    row, col = np.nonzero(valid)
-    salt = group[row].astype(np.uint64) * BASE[0] + before[row, col].astype(np.uint64) * BASE[1]
-    keys = []
-    for which in (0, 1):
-        h = Hashes(data, which)
-        hashed = mix((h.sums[:, length:] - h.sums[:, :most - length + 1]) * h.inverse[start])
-        keys.append(mix(hashed[row, col] + salt))
-    order = np.argsort(keys[0], kind="stable")
-    a, b = keys[0][order], keys[1][order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    hit = np.zeros(len(order), bool)
-    hit[order[1:]] |= same
-    hit[order[:-1]] |= same
     out = np.zeros((m, choices), bool)
-    out[row[hit], before[row[hit], col[hit]]] = True
+    step = max(1, min(choices, CELLS // max(1, m)))
+    for d in range(0, choices, step):
+        before = np.arange(d, min(d + step, choices))
+        start = left[:, None] - before[None, :]
+        valid = (start >= 0) & (start + length <= sizes[:, None]) & (before >= lo[:, None]) & (before <= hi[:, None])
+        row, col = np.nonzero(valid)
+        if not len(row):
+            continue
+        keys = [np.zeros(len(row), np.uint64) for _ in (0, 1)]
+        for a in range(0, m, ROWS):
+            some = slice(*np.searchsorted(row, [a, a + ROWS]))
+            data = np.zeros((min(ROWS, m - a), most), np.uint8)
+            for k, c in enumerate(contexts[a:a + ROWS]):
+                data[k, :len(c)] = np.frombuffer(c, np.uint8)
+            r, s = row[some] - a, start[row[some], col[some]]
+            for which in (0, 1):
+                h = Hashes(data, which)
+                keys[which][some] = mix((h.sums[r, s + length] - h.sums[r, s]) * h.inverse[s])
+        salt = group[row].astype(np.uint64) * BASE[0] + before[col].astype(np.uint64) * BASE[1]
+        first, second = mix(keys[0] + salt), mix(keys[1] + salt)
+        order = np.argsort(first, kind="stable")
+        first, second = first[order], second[order]
+        same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+        hit = np.zeros(len(order), bool)
+        hit[order[1:]] |= same
+        hit[order[:-1]] |= same
+        out[row[hit], before[col[hit]]] = True
     return out
 
 
