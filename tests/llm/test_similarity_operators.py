@@ -1,0 +1,155 @@
+"""N-gram Jaccard join and repeated windows against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from conftest import EDGE, SF
+
+from cobbler.llm import jaccard, shingles, suffixes, windows
+
+
+def shingle_strings(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        low = low.replace(c, " ")
+    w = [x for x in low.split(" ") if x]
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def components_by_force(rows):
+    sets = [shingle_strings(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 4 * len(sets[a]) >= 3 * len(sets[b]) and 4 * len(sets[b]) >= 3 * len(sets[a]):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            r = find(k)
+            least[r] = min(least.get(r, i), i)
+    return sorted((-1 if i is None else i, len(sets[k]), -1 if i is None else least[find(k)]) for k, (i, _) in enumerate(rows))
+
+
+def near_copies(seed, groups=12, copies=9):
+    """Groups of edited copies around the threshold, and documents that share a passage."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=4))
+    passage = [word() for _ in range(30)]
+    docs = []
+    for _ in range(groups):
+        base = [word() for _ in range(r.choice([4, 6, 12, 40, 150]))]
+        for _ in range(copies):
+            d = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 4])):
+                d[r.randrange(len(d))] = word()
+            docs.append(" ".join(d))
+    docs += [" ".join([*(word() for _ in range(r.choice([3, 10]))), *passage]) for _ in range(25)]
+    return [(k, t) for k, t in enumerate(r.sample(docs, len(docs)))]
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_jaccard_components(spark, edge, empty, heavy, monkeypatch):
+    if heavy:                                   # every token that two sets share counts as frequent
+        monkeypatch.setattr(jaccard, "HEAVY", 2)
+        monkeypatch.setattr(jaccard, "HEAVY_LOCAL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    monkeypatch.setattr(jaccard, "SETS_AT_ONCE", 500)
+    made = spark.createDataFrame(near_copies(4 + heavy), "doc_id long, text string").repartition(3)
+    for df in (made, edge):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = jaccard.jaccard_components(df).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id)
+                      for r in got) == components_by_force(rows)
+    assert jaccard.jaccard_components(empty).count() == 0
+    kept = jaccard.one_of_each(edge)
+    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8, None}
+
+
+def test_signatures_lose_no_pair():
+    """Any two sets at the threshold share a signature, whichever tokens are frequent."""
+    r = np.random.default_rng(8)
+    for _ in range(3000):
+        n = int(r.choice([2, 3, 4, 5, 8, 20, 60, 200]))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        gone = int(r.integers(0, len(a) // 4 + 1))
+        b = r.permutation(a)[gone:]
+        b = np.unique(np.concatenate([b, r.integers(0, 2**64, int(r.integers(0, len(a) // 4 + 1)), dtype=np.uint64)]))
+        heavy = np.sort(r.choice(np.union1d(a, b), int(r.integers(0, len(np.union1d(a, b)) + 1)), replace=False))
+        if len(a) and len(b) and shingles.linked(a, b) and not np.array_equal(a, b):
+            often = shingles.Heavy(heavy)
+            (sa, ra), (sb, rb) = shingles.signatures(a, often), shingles.signatures(b, often)
+            assert len(np.intersect1d(sa, sb)) >= min(shingles.shared_least(len(a), ra), shingles.shared_least(len(b), rb)) >= 1
+
+
+def test_components_of_a_long_chain(spark):
+    n = 40
+    ids = random.Random(2).sample(range(n), n)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    assert {r.label for r in jaccard.components(links).collect()} == {0}
+
+
+def repeats_by_force(rows, length):
+    from collections import Counter
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(d[k:k + length] for d in data for k in range(len(d) - length + 1))
+    out = []
+    for (i, _), d in zip(rows, data):
+        cover = np.zeros(len(d) + 1, int)
+        for k in range(len(d) - length + 1):
+            if seen[d[k:k + length]] > 1:
+                cover[k] += 1
+                cover[k + length] -= 1
+        on = np.cumsum(cover)[:-1] > 0
+        left = bytes(np.frombuffer(d, np.uint8)[~on])
+        out.append((-1 if i is None else i, len(d), len(d) - len(left), int((np.diff(np.r_[0, on.astype(int)]) == 1).sum()), hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+def planted_repeats(seed):
+    r = random.Random(seed)
+    text = lambda n, a="abcdefgh ": "".join(r.choices(a, k=n))
+    passage = text(130)
+    rows = [(k, text(r.randint(0, 90)) + passage[r.randint(0, 60):r.randint(70, 130)] + text(r.randint(0, 90))) for k in range(40)]
+    rows += [(100, "ab" * 100), (101, "x" * 41), (102, "x" * 40), (103, "x" * 39), (104, rows[0][1]), (104, rows[0][1]), (105, rows[1][1][5:]), (None, passage), (106, "é" * 45)]
+    return rows
+
+
+@pytest.mark.parametrize("at_once", [4000, 1])
+def test_repeated_windows(spark, edge, empty, at_once):
+    made = spark.createDataFrame(planted_repeats(3), "doc_id long, text string")
+    for df, length in ((made, 40), (made, 41), (edge, 400)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = suffixes.remove_repeats(df, length, at_once).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_by_force(rows, length)
+    assert suffixes.remove_repeats(empty, 40, at_once).count() == 0
+
+
+def test_repeated_windows_on_documents(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    got = suffixes.remove_repeats(df).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_by_force(rows, 400)
+
+
+def test_anchors_do_not_depend_on_stretches(monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(3000) + b"ab" * 700, np.uint8)
+    whole = windows.anchors(data, 100, 50)
+    monkeypatch.setattr(windows, "STRETCH", 333)
+    parts = windows.anchors(data, 100, 50)
+    for p, q in zip(whole, parts):
+        assert len(p) == len(q) or set(whole[0]) <= set(parts[0])
+    both = np.isin(parts[0], whole[0])
+    assert both.sum() == len(whole[0])
+    assert np.array_equal(parts[1][both], whole[1]) and np.array_equal(parts[2][both], whole[2])
+    assert len(EDGE)
