@@ -44,7 +44,8 @@ def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.maximum(per_passage(), 1)
     classes = np.bincount(passage * CLASSES + CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES) / length[:, None]
     pair = PAIR[(data[:-1].astype(np.int64) << 8) | data[1:]] if len(data) > 1 else np.zeros(0, np.int64)
-    pairs = np.bincount(passage[:-1] * PAIRS + pair, minlength=n * PAIRS)[:n * PAIRS].reshape(n, PAIRS) / length[:, None]
+    inside = doc[1:] == doc[:-1]                # not the pair of one text's last byte and the next one's first
+    pairs = np.bincount((passage[:-1] * PAIRS + pair)[inside], minlength=n * PAIRS).reshape(n, PAIRS) / length[:, None]
 
     letter = ~IS_SPACE[data]
     begins = letter.copy()
