@@ -12,6 +12,8 @@ from ..session import ship_package
 
 #: A side is broadcast only if a count of its rows stays within this bound (rows of a few dozen bytes).
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch: texts of some kilobytes, so a batch is a few megabytes.
+ARROW_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -52,5 +54,11 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def ready(spark: SparkSession) -> None:
-    """Executors' Python workers need this package for the Arrow steps."""
+    """Before Arrow steps: executors' Python workers need this package, and batches of whole texts are kept small.
+
+    The batch size is a session setting; it is lowered, never raised.
+    """
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))

@@ -15,7 +15,7 @@ from itertools import groupby
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Pre-tokens remembered per worker before the memo is emptied (a bound on memory, not on the work).
-MEMO = 300_000
+MEMO = 150_000
 #: Blocks in which the interpreter's character classes agree with the library's (tests/llm checks them);
 #: a text with any other character is split by the library itself.
 SURE = ((0x0, 0x1C7F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x3000, 0x303F),

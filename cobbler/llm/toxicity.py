@@ -29,7 +29,7 @@ FOLDS, HELD_OUT = 5, 0
 #: Least G-squared and log-ratio of an expression in the model; its largest number of rows.
 LEAST_G2, LEAST_RATIO, MODEL_ROWS = 15.0, 0.7, 200_000
 #: Partial counts a task holds before it passes them on; scored words a worker remembers.
-HELD, MEMO = 200_000, 300_000
+HELD, MEMO = 200_000, 200_000
 #: Scores are tabulated in bins of this width to find the threshold.
 STEP = 0.002
 

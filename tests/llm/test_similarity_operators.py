@@ -64,6 +64,7 @@ def test_jaccard_components(spark, edge, empty, heavy, monkeypatch):
         monkeypatch.setattr(jaccard, "HEAVY", 2)
         monkeypatch.setattr(jaccard, "HEAVY_LOCAL", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 700)
+    monkeypatch.setattr(jaccard, "SIGNED", 300)
     monkeypatch.setattr(jaccard, "SETS_AT_ONCE", 500)
     made = spark.createDataFrame(near_copies(4 + heavy), "doc_id long, text string").repartition(3)
     for df in (made, edge):
