@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import SF
+from .conftest import SF
 
 from cobbler.llm import quality, toxicity
 from cobbler.llm.passages import passage_features
@@ -90,8 +90,8 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
-    from test_similarity_operators import components_by_force
-    from test_text_operators import benchmark_by_force, lines_by_force
+    from .test_similarity_operators import components_by_force
+    from .test_text_operators import benchmark_by_force, lines_by_force
     docs, labels = tables(spark, SF)
     assert [n for n, _ in cp.STAGES] == ["quality", "line dedup", "n-gram jaccard", "decontamination", "packing"]
     steps = [docs]

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import EDGE, SF
+from .conftest import EDGE, SF
 
 from cobbler.llm import jaccard, shingles, suffixes, windows
 

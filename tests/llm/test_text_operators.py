@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import EDGE, SF
+from .conftest import EDGE, SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
