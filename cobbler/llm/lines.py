@@ -29,14 +29,14 @@ def line_words(line: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(line), F.lit(WORD), F.lit(0))
 
 
-def half_keys(w: Column, n: Column) -> Column:
-    """Hashes of the first and last half, for a partner of as many words, of one more and of one less."""
+def half_keys(w: Column, n: Column, min_words: int) -> Column:
+    """Hashes of the first and last half, for a partner of as many words, of one more and of one less (if that is enough)."""
     def both(h: Column) -> list[Column]:
         return [F.xxhash64(F.lit("first"), F.slice(w, 1, h)), F.xxhash64(F.lit("last"), F.slice(w, -h, h))]
-    even = n % 2 == 0
+    shorter = (n % 2 == 0) & (n > min_words)
     half = F.floor(n / 2).cast("int")
     keys = F.array(*both(half))
-    return F.when(even, F.concat(keys, F.array(*both(half - 1)))).otherwise(keys)
+    return F.when(shorter, F.concat(keys, F.array(*both(half - 1)))).otherwise(keys)
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -45,7 +45,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
              .select("doc_id", "text_key", "line_no", line_words(F.col("line")).alias("w"))
              .withColumn("n", F.size("w")).filter("n > 0"))
     return lines.select("doc_id", "text_key", "line_no", "n", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"),
-                        F.when(F.col("n") >= min_words, half_keys(F.col("w"), F.col("n"))).alias("halves"))
+                        F.when(F.col("n") >= min_words, half_keys(F.col("w"), F.col("n"), min_words)).alias("halves"))
 
 
 def _read_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,6 +123,8 @@ def within_one_word(w: Column, n: Column, v: Column, m: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text_key, line_nos``: the line numbers (from 0, ascending) that go, for rows that lose any."""
+    if min_words < 2:
+        raise ValueError("a line of one word has no halves: min_words must be 2 or more")
     occ = store(occurrences(docs, min_words))
     place = F.struct("doc_id", "text_key", "line_no")
     distinct = store(occ.groupBy(*LINE).agg(F.min(place).alias("first"), F.count("*").alias("times"),
