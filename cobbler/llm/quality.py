@@ -101,8 +101,10 @@ def scores(model: Attention, texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Attention:
     """Fit on the bounded sample; without labelled rows the untrained network scores everything 1/2."""
-    sample = (with_label(docs, labels, "quality").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    labelled = with_label(docs, labels, "quality").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    # ids are chosen without their texts; at most FIT_ROWS of them are broadcast
+    chosen = labelled.select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    sample = whole_text(docs).join(F.broadcast(chosen), "doc_id")
 
     def encode(batches):
         for b in batches:
