@@ -6,19 +6,21 @@ paid requests took is gone too, so no option falls below zero. A request is paid
 
 The job decides requests in rounds rather than one by one. With running sums per option and cart row, a request is
 
-* rejected for sure if a line is short even when only earlier *paid* requests count,
+* rejected for sure if a line is short even when only earlier *paid* requests count, and no undecided one can buy its cart row,
 * paid for sure if every line fits even when all earlier *undecided* requests are paid as well,
 * else left to the next round.
 
 The earliest undecided request is always decided, so every round makes progress, and with little contention
 one or two rounds decide all. Once at most ``SERIAL`` lines are undecided, one task serves their requests one by one,
-with the same outcome. What is undecided after ``ROUNDS`` rounds gets ``waiting``: nothing of it takes
-effect, it is returned in ``checkout_waiting``, and the next batch reads it first, so the order holds across
-batches. Outputs are new table versions that the caller publishes together (see ``cobbler.plans.snapshots``).
+with the same outcome. By default rounds go on until every request is decided. Only a caller that gives ``rounds`` stops
+early: what is undecided then gets ``waiting``, nothing of it takes effect, it is returned in ``checkout_waiting``, and the
+next batch reads it first, so the order holds across batches. Outputs are new table versions that the caller publishes together (see ``cobbler.plans.snapshots``).
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +33,6 @@ from ..plans.materialize import materialize
 from ..session import ship_package
 from .catalog import option_details
 
-ROUNDS = 8
 #: Requests are cut into this many stretches of the feed, so that a hot option's running sum is dealt over tasks.
 STRETCHES = 32
 #: Lines of undecided requests that one task may serve in order (a bound on that task).
@@ -108,7 +109,7 @@ def _one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["request_id", "_new"])
 
 
-def decide(lines: DataFrame, materialize_rounds: str = "checkpoint", rounds: int = ROUNDS, serial: int = SERIAL) -> DataFrame:
+def decide(lines: DataFrame, materialize_rounds: str = "checkpoint", rounds: int | None = None, serial: int = SERIAL) -> DataFrame:
     """Decide all requests of ``lines`` (request_id, cart_id, option_id, quantity, stock_quantity, ``known``).
 
     Returns the lines with ``state`` ('paid', 'insufficient_stock', 'empty', 'unknown_reference' or 'waiting'), ``gone``
@@ -124,15 +125,15 @@ def decide(lines: DataFrame, materialize_rounds: str = "checkpoint", rounds: int
 
     def seen(df: DataFrame) -> DataFrame:
         paid, open_ = F.col("state") == PAID, F.col("state").isNull() & F.col("known")
-        count = lambda c: F.when(c, 1).otherwise(0)
-        df = _before(df, "cart_id", {"_bought": count(F.coalesce(paid, F.lit(False))), "_claimed": count(open_)})
+        one = lambda c: F.when(c, 1).otherwise(0)
+        df = _before(df, "cart_id", {"_bought": one(F.coalesce(paid, F.lit(False))), "_claimed": one(open_)})
         return _before(df.withColumn("gone", F.col("_bought") > 0), "option_id", {
             "_taken": F.when(paid, F.col("quantity")).otherwise(0),
             "_asked": F.when(open_, F.col("quantity")).otherwise(0)})
 
-    for round_ in range(rounds + 1):
+    for round_ in count():
         undecided = state.filter("state IS NULL").count()
-        if not undecided or (round_ == rounds and undecided > serial):
+        if not undecided or (rounds is not None and round_ >= rounds and undecided > serial):
             break
         now = seen(state).filter("state IS NULL").withColumn("left", F.col("stock") - F.col("_taken"))
         if undecided <= serial:
@@ -141,8 +142,13 @@ def decide(lines: DataFrame, materialize_rounds: str = "checkpoint", rounds: int
         else:
             here = ~F.col("gone")
             sure = here & (F.col("_claimed") == 0)
+            # stock only falls along the feed: a row too large for the most that an undecided request finds is bought by none
+            now = materialize(now, materialize_rounds)
+            most = now.filter("known").groupBy("cart_id").agg(F.max("left").alias("_most"))
+            now = now.join(most, "cart_id", "left")
+            stays = sure | (here & (F.col("_most") < F.col("quantity")))
             verdict = (now.groupBy("request_id").agg(
-                F.max(here).alias("any"), F.max(sure & (F.col("left") < F.col("quantity"))).alias("short"),
+                F.max(here).alias("any"), F.max(F.coalesce(stays, sure) & (F.col("left") < F.col("quantity"))).alias("short"),
                 F.min(F.col("gone") | (sure & (F.col("left") - F.col("_asked") >= F.col("quantity")))).alias("fits"), F.first("known").alias("k"))
                 .select("request_id", F.when(~F.col("any"), "empty").when(F.col("short"), "insufficient_stock")
                         .when(F.col("fits"), F.when(F.col("k"), PAID).otherwise("unknown_reference")).alias("_new"))
@@ -155,7 +161,7 @@ def decide(lines: DataFrame, materialize_rounds: str = "checkpoint", rounds: int
 
 
 def serve(t: dict[str, DataFrame], requests: DataFrame, as_of, materialize_lines: str = "checkpoint",
-          rounds: int = ROUNDS, serial: int = SERIAL) -> tuple[DataFrame, DataFrame]:
+          rounds: int | None = None, serial: int = SERIAL) -> tuple[DataFrame, DataFrame]:
     """(priced lines as each request meets them, status per request).
 
     Statuses, in the reference's order: ``invalid``, ``empty``, ``insufficient_stock``, ``unknown_reference`` (the
@@ -231,7 +237,7 @@ def purge_cart(t: dict[str, DataFrame], paid: DataFrame) -> DataFrame:
 
 
 def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of,
-             materialize_lines: str = "checkpoint", rounds: int = ROUNDS, serial: int = SERIAL) -> dict[str, DataFrame]:
+             materialize_lines: str = "checkpoint", rounds: int | None = None, serial: int = SERIAL) -> dict[str, DataFrame]:
     """X1-X5 together: every output table of one checkout batch.
 
     Requests that wait from earlier batches (``t['checkout_waiting']``, if there) come first when their ids are lower;

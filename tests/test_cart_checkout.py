@@ -196,6 +196,32 @@ def test_checkout_in_order_equals_a_loop(spark, serial):
     assert min(stock_left.values()) >= 0
 
 
+def test_checkout_leaves_nothing_waiting_however_many_rounds(spark):
+    """A chain of one decision per round, longer than the 8 rounds after which requests used to wait, and too large for one task."""
+    options = [(o, 101, str(o), 1) for o in range(1, 13)]
+    t0 = dt.datetime(2025, 3, 1)
+    cart_rows = {10 * o + k: (1, o, 1) for o in range(1, 13) for k in (0, 1)}
+    t = make_shop(spark, product_options=options, cart=[(c, *v, t0, t0) for c, v in cart_rows.items()])
+    # each request wants an option's last piece, and the piece of the request before
+    requests = [(7000 + o, 1, "a", "card", [10 * o, 10 * (o - 1) + 1] if o > 1 else [10]) for o in range(1, 13)]
+    want, cart_left, stock_left = _serve_loop(cart_rows, {o[0]: o[3] for o in options}, {1, 2, 3}, requests)
+    feed = spark.createDataFrame(requests, schemas.CHECKOUT_REQUESTS)
+    out = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), serial=0)
+    assert {r.request_id: (r.status, r.line_count) for r in out["status"].collect()} == want
+    assert {s for s, _ in want.values()} == {"paid", "insufficient_stock"} and out["checkout_waiting"].count() == 0
+    assert {r.option_id: r.stock_quantity for r in out["product_options"].collect()} == stock_left
+    early = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), rounds=8, serial=0)
+    assert early["checkout_waiting"].count() > 0
+
+
+def test_a_cart_that_keeps_failing_is_decided_in_one_round(spark):
+    t0 = dt.datetime(2025, 3, 1)
+    t = make_shop(spark, product_options=[(1, 101, "1", 1), (2, 101, "2", 9)], cart=[(11, 1, 1, 2, t0, t0), (12, 1, 2, 1, t0, t0)])
+    feed = spark.createDataFrame([(7000 + k, 1, "a", "card", None) for k in range(12)], schemas.CHECKOUT_REQUESTS)
+    out = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), rounds=1, serial=0)
+    assert {r.status for r in out["status"].collect()} == {"insufficient_stock"}
+
+
 def test_checkout_in_five_batches_equals_one(spark):
     """Few rounds: requests that wait are served first by the next batch, and the totals are the same."""
     t, cart_rows, stock, requests = _contended(spark, 9, 60)
