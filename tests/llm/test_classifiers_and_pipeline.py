@@ -88,6 +88,26 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert toxicity.kneser_ney(counts.filter(F.col("toxic") < 0)) == ({}, {})
 
 
+def test_rare_expressions_count(spark, monkeypatch):
+    """Every stem and word is in the model and adds to a score, also one seen in a few toxic texts only."""
+    common = ["table", "chair", "window", "garden", "river", "street"]
+    texts = [(k, " ".join(common + [f"filler{'abcdefghij'[k % 10]}"])) for k in range(60)] + [(100 + k, " ".join(common) + " " + "awful " * 6) for k in range(12)]
+    texts += [(200 + k, " ".join(common) + f" zorgle awful {'uvw'[k]}") for k in range(3)]
+    texts += [(900, "table chair window zorgle"), (901, "table chair window garden"), (902, "table chair window zorgling")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i >= 100)) for i, _ in texts if i < 900], "doc_id long, quality int, toxic int")
+    counts = toxicity.word_counts(docs.join(labels, "doc_id").withColumnRenamed("toxic", "y"))
+    words = {r.word for r in counts.collect()}
+    stems, ratios = toxicity.kneser_ney(counts)
+    assert set(ratios) == words and set(stems) == {w[:toxicity.STEM] for w in words}
+    assert ratios["zorgle"] > 0 and all(ratios.values())
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert scores[900] >= scores[902] > scores[901]
+    monkeypatch.setattr(toxicity, "HEAD", 2)            # which words are looked up before the join changes nothing
+    again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert again.keys() == scores.keys() and all(abs(again[i] - x) < 1e-9 for i, x in scores.items())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
     from .test_similarity_operators import components_by_force
