@@ -24,17 +24,24 @@ HEX = r"[0-9a-f]{16,}"              # a whole run
 ASSIGN_LEAST = 12
 KINDS = ["assign", "access", "hex", "random"]
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: '=' is padding only where the token ends, so the value of name=value starts a token of its own.
+TOKEN = (r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+         r"|(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]{1,19}=+(?![A-Za-z0-9+/_=-])")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: Encoding -> (pattern of the whole token, alphabet). The first that matches is taken.
+#: Encoding -> (pattern of the whole token, alphabet). The first that matches is taken; the last takes what is left.
 ENCODINGS = {
     "hex": (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
     "HEX": (r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
     "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
     "base36": (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER),
+    "BASE36": (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UPPER),
+    "lower": (r"^[a-z]+$", LOWER),
+    "upper": (r"^[A-Z]+$", UPPER),
+    "letters": (r"^[A-Za-z]+$", UPPER + LOWER),
     "base62": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     "base64url": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    "mixed": (r"^[0-9A-Za-z+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 }
 #: False-discovery rate of rejections; bits a token must hold; bins of -log10 p and their number.
 RATE, LEAST_BITS, BINS, LAST_BIN = 0.05, 90.0, 100, 3000
@@ -85,7 +92,7 @@ def _two_sided(z: Column) -> Column:
 def battery(tokens: DataFrame) -> DataFrame:
     """``tokens`` (column ``tok``) with ``encoding``, ``n`` and ``bin`` (of -log10 of the combined p-value).
 
-    Tokens of no encoding, or of too few letters for their alphabet, are left out.
+    Every token has an encoding; those of too few letters for their alphabet are left out.
     """
     body = F.regexp_replace("tok", "=+$", "")
     cases = [F.when(F.col("body").rlike(p), F.lit(name)) for name, (p, _) in ENCODINGS.items()]

@@ -194,6 +194,20 @@ def test_the_battery_tells_random_codes_from_ordinary_ones(spark):
     assert out[0].spans == "random:4:44" or out[0].n_random == 0
 
 
+def test_every_long_token_is_tested(spark):
+    """Values after '=', upper-case keys with any digit, letters alone and mixed alphabets have an encoding too."""
+    def span(text, secret):
+        return f"random:{text.index(secret)}:{text.index(secret) + len(secret)}"
+    b62, padded = "qF8zT1xWm4Lr0KpVbN7sYdJ2cHgU5aEi", "qF8zT1xWm4Lr0KpVbN7sYdJ2cHgU5aEi=="
+    secret = {1: ("sessionid=" + b62, b62), 2: ("https://x.test/?sig=" + b62 + "&a=1", b62), 3: ("see " + padded + " here", padded),
+              6: ("k qF8zT1x+m4Lr0K_VbN7sYd/2cHgU5a-i", "qF8zT1x+m4Lr0K_VbN7sYd/2cHgU5a-i"), 7: ("k qmzxrvtbldwkhsncpgyfjaeu", "qmzxrvtbldwkhsncpgyfjaeu")}
+    out = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame([(i, t) for i, (t, _) in secret.items()], "doc_id long, text string")).collect()}
+    assert {i: r.spans for i, r in out.items()} == {i: span(*x) for i, x in secret.items()}
+    toks = ["Z8K1Q0W9M4B7X2P1L8R0T5Y9", "A" * 30, "a" * 30, "aB" * 15, "a+/_-" * 8, "1" * 40, "-" * 40, "QmZxRvTbLdWkHsNcPgYfJaEu"]
+    tested = secrets.battery(spark.createDataFrame([(x,) for x in toks], "tok string")).collect()
+    assert {r.tok: r.encoding for r in tested} == dict(zip(toks, ["BASE36", "upper", "lower", "letters", "mixed", "mixed", "mixed", "letters"]))
+
+
 def test_battery_against_plain_python(spark):
     import math
     rnd = random.Random(9)
