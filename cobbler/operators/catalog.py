@@ -58,7 +58,7 @@ def popular_variants(t: dict[str, DataFrame], n: int = fixed.POPULAR_LIST_SIZE)
     p = t["products"].select("product_id", "name", "base_price")
     top = (v.join(p, "product_id")
            .orderBy(F.desc_nulls_last("registration_date"), "variant_id").limit(n))
-    top = top
+    top = F.broadcast(top)        # n rows
     sizes = in_stock_sizes(t, top)
     w = Window.orderBy(F.desc_nulls_last("registration_date"), "variant_id")
     return (top.join(sizes, "variant_id", "left")
