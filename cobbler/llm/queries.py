@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity
+from . import audit, contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,9 +69,15 @@ def op10_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    """All orders of five filters over all documents, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_decontamination,
-    op7_suffix_dedup, op8_best_fit_packing, op9_quality, op10_line_dedup)}
+    op7_suffix_dedup, op8_best_fit_packing, op9_quality, op10_line_dedup,
+    op11_filter_audit)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -117,4 +123,32 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_filter_audit": f"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                          regexp_extract_all(coalesce(text, ''), '{WORDS10}') AS ws FROM documents),
+        firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+        lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+                FROM labels GROUP BY doc_id),
+        failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                          CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+                          || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+                          || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+                   FROM d JOIN firsts USING (t) LEFT JOIN lab USING (doc_id)),
+        counted AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders_ AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e
+                    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        placed AS (SELECT part, fails, n, good, toxic, o, coalesce(list_min(list_transform(string_split(fails, ''), lambda x: strpos(o, x))), 9) AS gone
+               FROM counted CROSS JOIN orders_ WHERE fails <> ''
+               UNION ALL SELECT part, fails, n, good, toxic, o, 9 FROM counted CROSS JOIN orders_ WHERE fails = ''),
+        steps AS (SELECT part, o, step, substr(o, step, 1) AS x, sum(n) FILTER (WHERE gone > step) AS kept, sum(n) FILTER (WHERE gone = step) AS removed,
+                         sum(n) FILTER (WHERE gone < step AND contains(fails, substr(o, step, 1))) AS redundant,
+                         sum(n) FILTER (WHERE fails = substr(o, step, 1)) AS unique_fails,
+                         sum(good) FILTER (WHERE gone = step) AS good_lost, sum(toxic) FILTER (WHERE gone = step) AS toxic_lost
+                  FROM (SELECT *, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM placed) GROUP BY ALL)
+        SELECT part, o AS filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+        FROM steps""",
 }
