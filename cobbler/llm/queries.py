@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import audit, contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity
+from . import audit, chat, contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,10 +74,26 @@ def op11_filter_audit(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: A conversation that speaks the template's own language.
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark, sf_dir):
+    """All conversations as logs, folded and formatted; the columns are read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(chat.log_of(rows.union(own)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return (done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learned(F.col("segments")).alias("learned"))
+            .select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                    F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                    F.char_length("formatted").cast("long").alias("formatted_chars")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_decontamination,
     op7_suffix_dedup, op8_best_fit_packing, op9_quality, op10_line_dedup,
-    op11_filter_audit)}
+    op11_filter_audit, op12_chat_format)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -151,4 +167,15 @@ SQL = {
                CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
                CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
         FROM steps""",
+    "op12_chat_format": rf"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')),
+        w AS (SELECT *, replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\h') AS body,
+                     replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '### ', '\h'), ':', '\c') AS head FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ' || head || ': ' || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+        FROM w GROUP BY conv_id""",
 }
