@@ -42,15 +42,15 @@ def log_of(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                 F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    slot = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    rows = rows.withColumn("slot", slot)
+    among = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))      # rows of one turn
+    rows = rows.withColumn("nth", among)
     streamed = F.col("role") == LEARNED
     pieces = F.when(streamed, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    event = lambda n, kind, text: F.struct(n.cast("long").alias("n"), F.lit(kind).alias("kind"), text.alias("text"))
+    event = lambda n, kind, text: F.struct(n.alias("n"), F.lit(kind).alias("kind"), text.alias("text"))
     events = F.concat(F.array(event(F.lit(0), MESSAGE, F.when(streamed, "").otherwise(F.col("text")))),
                       F.transform(pieces, lambda p, k: event(k + 1, DELTA, p)))
-    return (rows.select("conv_id", "slot", "role", F.explode(events).alias("e"))
-            .select("conv_id", (F.col("slot") * (1 << 31) + F.col("e.n")).alias("seq"), "slot", "e.kind", "role", "e.text"))
+    return (rows.select("conv_id", "turn", "nth", "role", F.explode(events).alias("e"))
+            .select("conv_id", F.struct("turn", "nth", "e.n").alias("seq"), F.struct("turn", "nth").alias("slot"), "e.kind", "role", "e.text"))
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -58,21 +58,20 @@ def fold(events: DataFrame) -> DataFrame:
 
     An event delivered twice (all fields equal) counts once. Events without ``seq`` or of an unknown kind are ignored, a
     null text adds nothing, and a message has the last role that any of its events named (null: empty). Null ids and
-    slots are values of their own, a null slot is before all others. ``seq`` must tell the events of a conversation
-    apart; of equal ones a reset comes last. Other columns are ignored; an empty log leaves nothing.
+    slots are values of their own, a null slot is before all others. ``seq`` and ``slot`` can be of any type that has an
+    order; ``seq`` must tell the events of a conversation apart (of equal ones, deltas come before resets). Other columns
+    are ignored; an empty log leaves nothing.
     """
     kind = F.col("kind")
-    rows = (events.select("conv_id", F.col("seq").cast("long").alias("seq"), "slot", "kind", "role", "text")
+    rows = (events.select("conv_id", "seq", "slot", "kind", "role", "text")
             .filter(F.col("seq").isNotNull() & kind.isin(MESSAGE, DELTA, EDIT, REGENERATE)))
     slots = rows.groupBy("conv_id", "slot").agg(
         F.collect_list(F.struct("seq", "kind", "role", "text")).alias("log"),      # one message's events
         F.max(F.when(kind != DELTA, F.col("seq"))).alias("reset"), F.max(F.when(kind.isin(EDIT, REGENERATE), F.col("seq"))).alias("cut"))
     earlier = Window.partitionBy("conv_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(-(2 ** 63)).cast("long")
-    slots = slots.select("conv_id", "slot", F.array_sort(F.array_distinct("log")).alias("log"), F.coalesce("reset", none).alias("reset"),
-                         F.coalesce(F.max("cut").over(earlier), none).alias("gone"))
-    # at the reset itself only the last kind in order counts: a delta of the same seq was before it
-    live = F.filter("log", lambda e: (e["seq"] > F.col("gone")) & ((e["seq"] > F.col("reset")) | ((e["seq"] == F.col("reset")) & (e["kind"] != DELTA))))
+    slots = slots.select("conv_id", "slot", F.array_sort(F.array_distinct("log")).alias("log"), "reset", F.max("cut").over(earlier).alias("gone"))
+    since_reset = lambda e: F.col("reset").isNull() | (e["seq"] > F.col("reset")) | ((e["seq"] == F.col("reset")) & (e["kind"] != DELTA))
+    live = F.filter("log", lambda e: (F.col("gone").isNull() | (e["seq"] > F.col("gone"))) & since_reset(e))
     named = F.filter("log", lambda e: e["role"].isNotNull())
     role = F.when(F.size(named) > 0, F.element_at(named, -1)["role"]).otherwise("")
     return (slots.select("conv_id", "slot", role.alias("role"), live.alias("live")).filter(F.size("live") > 0)
