@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import audit, chat, contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity
+from . import audit, chat, contamination, exact, jaccard, lines, packing, quality, secrets, suffixes, tokens, toxicity, vectors
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -90,16 +90,39 @@ def op12_chat_format(spark, sf_dir):
                     F.char_length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op13_vector_codes(spark, sf_dir):
+    """Product codes of all embeddings, with the codebooks fitted to all of them."""
+    codes, books = vectors.compress(table(spark, sf_dir, "embeddings"))
+    return codes.drop("label").withColumn("codebooks_sha256", F.lit(vectors.codebooks_sha256(books)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_ngram_jaccard, op6_decontamination,
     op7_suffix_dedup, op8_best_fit_packing, op9_quality, op10_line_dedup,
-    op11_filter_audit, op12_chat_format)}
+    op11_filter_audit, op12_chat_format, op13_vector_codes)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 WORDS6 = r"(?:[0-9a-z]|[^\x00-\x7F])+"
 WORDS10 = r"[^\x20\x09-\x0D]+"
 
+
+
+def _rounds(n: int) -> str:
+    """CTEs of ``n`` rounds and the last assignment; books0 are the first codebooks, a{n} the last codes."""
+    out = []
+    for k in range(n + 1):
+        out.append(f"""a{k} AS (SELECT vec_id, part, min((d, entry)) AS best FROM (
+            SELECT vec_id, part, entry, CAST(list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i]))) AS BIGINT) AS d
+            FROM pts JOIN books{k} USING (part)) GROUP BY vec_id, part)""")
+        if k < n:
+            out.append(f"""sums{k} AS (SELECT part, entry, i, sum(x) AS s, count(*) AS n FROM (
+            SELECT part, best[2] AS entry, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM pts JOIN a{k} USING (vec_id, part)) GROUP BY part, entry, i),
+        moved{k} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c FROM sums{k} GROUP BY part, entry),
+        books{k + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM books{k} b LEFT JOIN moved{k} m USING (part, entry))""")
+    return ",\n        ".join(out)
+
+
 SQL = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWER}) AS text_sha256, {LOWER} AS norm FROM documents),
@@ -178,4 +201,16 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('### ' || head || ': ' || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM w GROUP BY conv_id""",
+    "op13_vector_codes": f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                      FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        pts AS (SELECT vec_id, part, list_slice(v, part * len(v) // 16 + 1, (part + 1) * len(v) // 16) AS p FROM kept, range(16) AS t(part)),
+        books0 AS (SELECT part, entry, p AS c FROM pts JOIN (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+        {_rounds(2)},
+        codes AS (SELECT vec_id, string_agg(lower(printf('%02x', best[2])), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+                  FROM a2 GROUP BY vec_id),
+        digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM codes JOIN kept USING (vec_id), digest""",
 }

@@ -1,0 +1,124 @@
+"""Vector codes against plain integer k-means, and the metric trees against all distances."""
+
+import numpy as np
+import pytest
+
+from cobbler.llm import balls, vectors
+
+from .conftest import SF
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, parts=16, entries=64, rounds=2, scale=256):
+    """(vec_id, code, error, label_error) of every kept row, and the codebooks."""
+    kept = [(i, np.floor(np.array(v, np.float64) * scale).astype(np.int64), y) for i, v, y in rows
+            if v and all(x is not None and np.isfinite(x) for x in v)]
+    if not kept:
+        return [], []
+    x = np.array([k[1] for k in kept])
+    width = x.shape[1] // parts
+    first = sorted(kept, key=lambda k: (k[0] is None, k[0] or 0, k[1].tolist()))[:entries]
+    books = [np.array([k[1][p * width:(p + 1) * width] for k in first]) for p in range(parts)]
+
+    def nearest(p):
+        d = ((x[:, None, p * width:(p + 1) * width] - books[p][None]) ** 2).sum(axis=2)
+        return d.argmin(axis=1), d.min(axis=1)
+
+    for _ in range(rounds):
+        moved = []
+        for p in range(parts):
+            own, _ = nearest(p)
+            moved.append(np.array([x[own == e, p * width:(p + 1) * width].sum(axis=0) // (own == e).sum() if (own == e).any() else books[p][e]
+                                   for e in range(len(books[p]))]))
+        books = moved
+    final = [nearest(p) for p in range(parts)]
+    error = sum(d for _, d in final)
+    of_label = {}
+    for k, e in zip(kept, error):
+        of_label[k[2]] = of_label.get(k[2], 0) + int(e)
+    return [(k[0], "".join(f"{final[p][0][n]:02x}" for p in range(parts)), int(error[n]), of_label[k[2]]) for n, k in enumerate(kept)], books
+
+
+def same(spark, df, **how):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in df.select("vec_id", "embedding", "label").collect()]
+    want, want_books = plain(rows, **how)
+    got, books = vectors.compress(df, **how)
+    assert [b.tolist() for b in books] == [b.tolist() for b in want_books]
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select("vec_id", "code", "error", "label_error").collect()), key=order) == sorted(want, key=order)
+    return want
+
+
+def test_codes_equal_plain_k_means(spark):
+    assert same(spark, spark.read.parquet(f"{SF}/embeddings.parquet"))
+    assert same(spark, spark.read.parquet(f"{SF}/embeddings.parquet"), parts=8, entries=5, rounds=4, scale=40)
+
+
+def test_small_blocks_and_partitions(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 17)
+    same(spark, spark.read.parquet(f"{SF}/embeddings.parquet").repartition(5), rounds=1)
+
+
+def test_edge_rows(spark):
+    """Null and empty vectors, null and non-finite components, null ids and labels, repeated rows, ties, clashing names."""
+    rng = np.random.default_rng(4)
+    v = lambda *x: [float(k) for k in x] * 4
+    rows = [(1, None, 0), (2, [], 0), (3, [None] + v(1, 2, 3, 4)[1:], 1), (4, [float("nan")] + v(0, 0, 0, 0)[1:], 1),
+            (5, [float("-inf")] + v(0, 0, 0, 0)[1:], 1), (None, v(1, 2, 3, 4), None), (None, v(-1, -2, -3, -4), 2), (7, v(0, 0, 0, 0), None),
+            (7, v(0, 0, 0, 0), None), (7, v(0.001, 0, 0, -0.001), 3), (8, v(5, 5, 5, 5), 3)]
+    rows += [(100 + k, [float(x) for x in rng.integers(-2, 3, 16)], int(k % 3)) for k in range(300)]
+    rows += [(500 + k, v(9, 9, 9, 9), 9) for k in range(200)]       # copies
+    names = ["part", "entry", "label_", "x", "v", "last", "error", "n"]
+    df = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], SCHEMA + "".join(f", {c} int" for c in names))
+    want = same(spark, df, parts=4, entries=6)
+    assert len(want) == len(rows) - 5
+    same(spark, df.filter("vec_id = 7 OR vec_id IS NULL"), parts=4)         # fewer rows than entries
+    same(spark, df.filter("vec_id IS NULL"), parts=16)
+    got, books = vectors.compress(df.limit(0))
+    assert got.count() == 0 and books == [] and got.columns == ["vec_id", "label", "code", "error", "label_error"]
+    with pytest.raises(ValueError):
+        vectors.compress(df, parts=5)
+    with pytest.raises(ValueError):
+        vectors.compress(spark.createDataFrame([(1, v(1e30, 0, 0, 0), 1)], SCHEMA), parts=4)
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "equal", "line", "far"])
+def test_trees_own_every_point_once_and_exactly(kind, monkeypatch):
+    monkeypatch.setattr(balls, "LEAF", 8)
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 9, 300, 1500):
+        points = {"normal": rng.normal(0, 90, (n, 4)), "grid": rng.integers(-2, 3, (n, 4)), "equal": np.full((n, 4), 5),
+                  "line": np.outer(np.arange(n), [1, 0, 2, 0]), "far": rng.normal(0, 3, (n, 4)) + rng.choice([-(2 ** 25), 2 ** 25], (n, 1))}[kind]
+        points = np.floor(points).astype(np.int64)
+        tree = balls.Balls.unpack(balls.grow(points).pack(), 4)
+        assert sorted(tree.order.tolist()) == list(range(n))
+        ordered = points[tree.order]
+        for (a, z), c, r, s, kids in zip(tree.spans, tree.centres, tree.radii, tree.sums, tree.children):
+            assert (ordered[a:z].sum(axis=0) == s).all() and np.sqrt(((ordered[a:z] - c) ** 2).sum(axis=1)).max() <= r
+            if kids[0] >= 0:
+                assert tree.spans[kids[0], 0] == a and tree.spans[kids[0], 1] == tree.spans[kids[1], 0] and tree.spans[kids[1], 1] == z
+            else:
+                assert z - a <= 8 or (ordered[a:z] == ordered[a]).all()
+        entries = points[rng.integers(0, n, 12)] + rng.integers(-1, 2, (12, 4))
+        entries[5] = entries[2]                     # a tie: the lower one
+        want = ((ordered[:, None] - entries[None]) ** 2).sum(axis=2).argmin(axis=1)
+        got, seen, whole = np.full(n, -1), np.zeros(n, int), 0
+        for e, a, z, count, total in balls.owned(tree, ordered, entries):
+            got[a:z] = e
+            seen[a:z] += 1
+            if count is not None:
+                whole += count
+                assert count == z - a and (total == ordered[a:z].sum(axis=0)).all()
+        assert (seen == 1).all() and (got == want).all()
+        if kind == "far" and n == 1500:
+            assert whole > 0                        # two clusters far apart: balls are owned without their points
+
+
+def test_balls_are_owned_whole_where_entries_are_apart():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-1000, 1000, (20, 4))
+    points = (centres[rng.integers(0, 20, 4000)] + rng.integers(-9, 10, (4000, 4))).astype(np.int64)
+    tree = balls.grow(points)
+    whole = sum(count or 0 for _, _, _, count, _ in balls.owned(tree, points[tree.order], centres.astype(np.int64)))
+    assert whole > 3000
