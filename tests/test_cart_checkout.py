@@ -185,19 +185,19 @@ def _contended(spark, seed, n=120):
     return t, cart_rows, {o[0]: o[3] for o in options}, requests
 
 
-@pytest.mark.parametrize("serial", [0, 60, 100_000])
-def test_checkout_in_order_equals_a_loop(spark, serial):
+@pytest.mark.parametrize("large", [0, 60, 100_000])
+def test_checkout_in_order_equals_a_loop(spark, large):
     t, cart_rows, stock, requests = _contended(spark, 7)
     want, cart_left, stock_left = _serve_loop(cart_rows, stock, {1, 2, 3}, requests)
-    out = checkout.checkout(t, spark.createDataFrame(requests, schemas.CHECKOUT_REQUESTS), dt.datetime(2025, 1, 15), rounds=200, serial=serial)
+    out = checkout.checkout(t, spark.createDataFrame(requests, schemas.CHECKOUT_REQUESTS), dt.datetime(2025, 1, 15), large=large)
     assert {r.request_id: (r.status, r.line_count) for r in out["status"].collect()} == want
     assert {r.cart_id for r in out["cart"].collect()} == set(cart_left)
     assert {r.option_id: r.stock_quantity for r in out["product_options"].collect()} == stock_left
     assert min(stock_left.values()) >= 0
 
 
-def test_checkout_leaves_nothing_waiting_however_many_rounds(spark):
-    """A chain of one decision per round, longer than the 8 rounds after which requests used to wait, and too large for one task."""
+def test_a_chain_of_decisions_is_followed_to_its_end(spark):
+    """Each request hangs on the one before; with and without sure decisions first."""
     options = [(o, 101, str(o), 1) for o in range(1, 13)]
     t0 = dt.datetime(2025, 3, 1)
     cart_rows = {10 * o + k: (1, o, 1) for o in range(1, 13) for k in (0, 1)}
@@ -205,35 +205,77 @@ def test_checkout_leaves_nothing_waiting_however_many_rounds(spark):
     # each request wants an option's last piece, and the piece of the request before
     requests = [(7000 + o, 1, "a", "card", [10 * o, 10 * (o - 1) + 1] if o > 1 else [10]) for o in range(1, 13)]
     want, cart_left, stock_left = _serve_loop(cart_rows, {o[0]: o[3] for o in options}, {1, 2, 3}, requests)
+    assert {s for s, _ in want.values()} == {"paid", "insufficient_stock"}
     feed = spark.createDataFrame(requests, schemas.CHECKOUT_REQUESTS)
-    out = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), serial=0)
-    assert {r.request_id: (r.status, r.line_count) for r in out["status"].collect()} == want
-    assert {s for s, _ in want.values()} == {"paid", "insufficient_stock"} and out["checkout_waiting"].count() == 0
-    assert {r.option_id: r.stock_quantity for r in out["product_options"].collect()} == stock_left
-    early = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), rounds=8, serial=0)
-    assert early["checkout_waiting"].count() > 0
+    for large in (0, checkout.LARGE):
+        out = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), large=large)
+        assert {r.request_id: (r.status, r.line_count) for r in out["status"].collect()} == want
+        assert {r.option_id: r.stock_quantity for r in out["product_options"].collect()} == stock_left
 
 
-def test_a_cart_that_keeps_failing_is_decided_in_one_round(spark):
+def test_components_of_contention(spark, monkeypatch):
+    """Users meet at scarce options only; two components are served apart, a flash sale is decided by sure steps."""
     t0 = dt.datetime(2025, 3, 1)
-    t = make_shop(spark, product_options=[(1, 101, "1", 1), (2, 101, "2", 9)], cart=[(11, 1, 1, 2, t0, t0), (12, 1, 2, 1, t0, t0)])
-    feed = spark.createDataFrame([(7000 + k, 1, "a", "card", None) for k in range(12)], schemas.CHECKOUT_REQUESTS)
-    out = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), rounds=1, serial=0)
-    assert {r.status for r in out["status"].collect()} == {"insufficient_stock"}
+    options = [(1, 101, "1", 3), (2, 101, "2", 3), (3, 101, "3", 1000), (4, 101, "4", 5)]
+    cart_rows = {100 + k: (k, 1 if k < 5 else 2, 1) for k in range(1, 10)}                  # users 1-4 want option 1, 5-9 option 2
+    cart_rows |= {200 + k: (k, 3, 2) for k in range(1, 10)}                                 # and all of them plenty of option 3
+    cart_rows |= {1000 + k: (1000 + k, 4, 1) for k in range(60)}                            # 60 users, 5 pieces of option 4
+    users = [(k, f"u{k}@x", "n", "USER") for k in [*range(1, 10), *range(1000, 1060)]]
+    t = make_shop(spark, product_options=options, cart=[(c, *v, t0, t0) for c, v in cart_rows.items()], users=users)
+    requests = [(5000 + k, u, "a", "card", None) for k, u in enumerate([*range(9, 0, -1), *range(1000, 1060), *range(1, 10)])]
+    want, cart_left, stock_left = _serve_loop(cart_rows, {o[0]: o[3] for o in options}, {u[0] for u in users}, requests)
+    feed = spark.createDataFrame(requests, schemas.CHECKOUT_REQUESTS)
+    req = checkout.prepare_requests(feed)
+    lines = checkout.price_checkout_lines(t, req, dt.datetime(2025, 1, 15)).withColumnRenamed("stock_quantity", "stock").selectExpr("*", "true AS known")
+    state = checkout._contention(lines)
+    assert {r.option_id for r in state.filter("scarce").collect()} == {1, 2, 4}
+    found = checkout.components(state.filter("scarce").selectExpr("user_id AS node", "option_id AS `group`"))
+    assert sorted(r["count"] for r in found.groupBy("component").count().collect()) == [4, 5, 60]
+    for large in (10, checkout.LARGE):
+        out = checkout.checkout(t, feed, dt.datetime(2025, 1, 15), large=large)
+        assert {r.request_id: (r.status, r.line_count) for r in out["status"].collect()} == want
+        assert {r.cart_id for r in out["cart"].collect()} == set(cart_left)
+        assert {r.option_id: r.stock_quantity for r in out["product_options"].collect()} == stock_left
+
+
+def test_components_of_chains_stars_and_singles(spark):
+    from cobbler.plans.components import components
+    rnd = random.Random(2)
+    members = [(k, 10_000 + k) for k in range(40)] + [(k + 1, 10_000 + k) for k in range(40)]           # a chain of 41
+    members += [(100 + k, 1) for k in range(50)] + [(200, 2), (None, 2), (201, None)]
+    members += [(300 + rnd.randrange(80), 500 + rnd.randrange(60)) for _ in range(70)] + members[:5]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    whole = [m for m in members if None not in m]
+    for n, g in whole:
+        a, b = sorted((root(("n", n)), root(("g", g))), reverse=True)
+        parent[b] = a if a[0] == "n" else parent[b]
+        parent[a] = b if a[0] == "g" else a
+        if a[0] == b[0]:
+            parent[max(a, b)] = min(a, b)
+    groups = {}
+    for n, _ in whole:
+        groups.setdefault(root(("n", n)), set()).add(n)
+    want = {n: min(s) for s in groups.values() for n in s}
+    got = {r.node: r.component for r in components(spark.createDataFrame(members, "node long, `group` long")).collect()}
+    assert got == want
+    assert components(spark.createDataFrame([], "node long, `group` long")).count() == 0
 
 
 def test_checkout_in_five_batches_equals_one(spark):
-    """Few rounds: requests that wait are served first by the next batch, and the totals are the same."""
     t, cart_rows, stock, requests = _contended(spark, 9, 60)
     want, cart_left, stock_left = _serve_loop(cart_rows, stock, {1, 2, 3}, requests)
     state, statuses = dict(t), {}
-    batches = [requests[k:k + 12] for k in range(0, 60, 12)]
-    while batches or statuses.keys() != want.keys():
-        feed = spark.createDataFrame(batches.pop(0) if batches else [], schemas.CHECKOUT_REQUESTS)
-        out = checkout.checkout(state, feed, dt.datetime(2025, 1, 15), rounds=2, serial=0)
-        for k in ("cart", "product_options", "product_variants", "checkout_waiting"):
-            state[k] = spark.createDataFrame(out[k].collect(), out[k].schema)
-        statuses |= {r.request_id: (r.status, r.line_count) for r in out["status"].collect() if r.status != "waiting"}
+    for k in range(0, 60, 12):
+        feed = spark.createDataFrame(requests[k:k + 12], schemas.CHECKOUT_REQUESTS)
+        out = checkout.checkout(state, feed, dt.datetime(2025, 1, 15))
+        for name in ("cart", "product_options", "product_variants"):
+            state[name] = spark.createDataFrame(out[name].collect(), out[name].schema)
+        statuses |= {r.request_id: (r.status, r.line_count) for r in out["status"].collect()}
     assert statuses == want
     assert {r.option_id: r.stock_quantity for r in state["product_options"].collect()} == stock_left
 
