@@ -1,160 +1,86 @@
-"""The cart-row state machine (K3) as small per-row helpers for the partitioned scan.
+"""The cart-row state machine (K3) as column expressions over an ordered array of events.
 
-State of one cart row (one (user, option) key): ``(q, id, created, updated)``,
-``q = 0`` meaning "no row". Events: add / set / remove with quantity ``a`` and
-cart id ``cid``; ``stock`` is the option's stock (constant within a batch).
+State of one cart row (one (user, option) key): its quantity ``q`` (0: no row) and its id. Events are structs of ``ts_us``,
+``request_id``, ``op`` (add, set, remove), ``a`` (quantity) and ``cid`` (the id addressed, or proposed by an add); ``stock`` is
+the option's stock, constant within a batch. Times follow from which events were accepted.
 
-:func:`step` is the reference's per-request logic. :class:`Transfer` is the
-same logic applied to *every* possible incoming state at once, kept compact as
-pieces over the incoming quantity (a piece maps ``q`` to ``q + c`` or to a
-constant) for each class of incoming row id. It lets a key whose events span
-several partitions be resolved from one small summary per partition.
+:func:`fold` applies the events from a known state. :func:`transfer` gives their effect on every state that may come in,
+as pieces over the incoming quantity for each class of incoming id: an interval ``lo..hi`` that becomes a constant ``v``,
+or is shifted by ``v``. Only an add splits a piece (what fits is shifted, what does not stays), and no piece is
+kept beyond the largest quantity that can come in. So stretches of a long run of events can be summarised apart, and
+:func:`states_before` then passes one state through the summaries.
 """
 
 from __future__ import annotations
 
-State = tuple  # (q, id, created, updated)
-
-
-def step(st: State, op: str, a: int, cid: int, ts: int, stock: int) -> tuple[State, str]:
-    """Apply one change to one cart row; returns the new state and the request's status."""
-    q, rid, created, updated = st
-    if op == "add":
-        if q + a <= stock:
-            if q == 0:
-                rid, created = cid, ts
-            return (q + a, rid, created, ts), "accepted"
-        return st, "stock"
-    mine = q > 0 and rid == cid
-    if not mine:
-        return st, "not_found"
-    if op == "set":
-        if a > stock:
-            return st, "stock"
-        return (a, rid, created, ts), "accepted"
-    return (0, rid, None, updated), "accepted"        # remove
-
-
-# A piece: (lo, hi, qk, qv, idk, idv, ck, cv, uk, uv) over incoming q in [lo, hi] (hi None = no bound).
-# qk 's' -> q_in + qv, 'c' -> qv; idk/ck/uk 'k' -> keep incoming, 'c' -> the constant.
-_KEEP = (0, None, "s", 0, "k", None, "k", None, "k", None)
-
-
-def _cut(pieces, lo, hi):
-    """The parts of ``pieces`` whose incoming q lies in [lo, hi] and the parts outside it."""
-    inside, outside = [], []
-    for p in pieces:
-        plo, phi = p[0], p[1]
-        a, b = max(plo, lo), (phi if hi is None else (hi if phi is None else min(phi, hi)))
-        if b is None or a <= b:
-            inside.append((a, b) + p[2:])
-        if plo < lo:
-            outside.append((plo, lo - 1 if phi is None else min(phi, lo - 1)) + p[2:])
-        if hi is not None and (phi is None or phi > hi):
-            outside.append((max(plo, hi + 1), phi) + p[2:])
-    return inside, [p for p in outside if p[1] is None or p[0] <= p[1]]
-
-
-def _merge(pieces):
-    pieces = sorted(pieces, key=lambda p: p[0])
-    out = []
-    for p in pieces:
-        if out and out[-1][1] is not None and out[-1][1] + 1 == p[0] and out[-1][2:] == p[2:]:
-            out[-1] = (out[-1][0], p[1]) + p[2:]
-        else:
-            out.append(p)
-    return out
-
-
-def _apply_piecewise(pieces, id_eq, op, a, cid, ts, stock):
-    """One event applied to the pieces of one id class (``id_eq(cid)`` says whether the
-    row id the class stands for equals ``cid``)."""
-    out = []
-    for p in pieces:
-        lo, hi, qk, qv, idk, idv, ck, cv, uk, uv = p
-        same_id = (idv == cid) if idk == "c" else id_eq(cid)
-        if qk == "c":                      # the piece's current q is the constant qv
-            cur = [(lo, hi, qv)]
-        else:                              # current q = q_in + qv; split at the thresholds below
-            cur = None
-        if op == "add":
-            limit = stock - a              # accepted iff current q <= limit
-            if qk == "c":
-                if qv <= limit:
-                    new_id = ("c", cid) if qv == 0 else (idk, idv)
-                    new_c = ("c", ts) if qv == 0 else (ck, cv)
-                    out.append((lo, hi, "c", qv + a) + new_id + new_c + ("c", ts))
-                else:
-                    out.append(p)
-                continue
-            zero = -qv                     # incoming q where current q is 0
-            acc, rej = _cut([p], lo, limit - qv)
-            out.extend(rej)
-            z, nz = _cut(acc, zero, zero)
-            for x in z:
-                out.append((x[0], x[1], "c", a, "c", cid, "c", ts, "c", ts))
-            for x in nz:
-                out.append((x[0], x[1], "s", qv + a, idk, idv, ck, cv, "c", ts))
-            continue
-        if not same_id or (op == "set" and a > stock):
-            out.append(p)                  # not this row, or rejected for stock: unchanged
-            continue
-        if qk == "c":
-            if qv > 0:
-                if op == "set":
-                    out.append((lo, hi, "c", a, idk, idv, ck, cv, "c", ts))
-                else:
-                    out.append((lo, hi, "c", 0, idk, idv, "c", None, uk, uv))
-            else:
-                out.append(p)
-            continue
-        pos, zero_part = _cut([p], 1 - qv, None)
-        out.extend(zero_part)
-        for x in pos:
-            if op == "set":
-                out.append((x[0], x[1], "c", a, idk, idv, ck, cv, "c", ts))
-            else:
-                out.append((x[0], x[1], "c", 0, idk, idv, "c", None, uk, uv))
-    return _merge(out)
-
-
-class Transfer:
-    """The effect of an ordered run of one key's events on any incoming state."""
-
-    def __init__(self, ids: list[int]):
-        self.ids = list(ids)                                   # id classes; None = any other id
-        self.pieces = {k: [_KEEP] for k in self.ids + [None]}
-
-    def add(self, op, a, cid, ts, stock):
-        for k in self.pieces:
-            self.pieces[k] = _apply_piecewise(self.pieces[k], lambda c, k=k: k is not None and c == k,
-                                              op, a, cid, ts, stock)
-
-    def __call__(self, st: State) -> State:
-        q, rid, created, updated = st
-        k = rid if rid in self.pieces and rid is not None else None
-        for lo, hi, qk, qv, idk, idv, ck, cv, uk, uv in self.pieces[k]:
-            if lo <= q and (hi is None or q <= hi):
-                return (q + qv if qk == "s" else qv, rid if idk == "k" else idv,
-                        created if ck == "k" else cv, updated if uk == "k" else uv)
-        raise AssertionError("pieces must cover every incoming quantity")
-
-    def to_rows(self):
-        return [(k, *p) for k, ps in self.pieces.items() for p in ps]
-
-    @classmethod
-    def from_rows(cls, rows):
-        t = cls([])
-        t.pieces = {}
-        for k, *p in rows:
-            t.pieces.setdefault(k, []).append(tuple(p))
-        return t
-
-
-def summarize(ops, qty, cids, tss, stock) -> Transfer:
-    """Transfer function of one run of events (arrays in feed order)."""
-    ids = sorted({int(c) for o, c in zip(ops, cids) if o != "add" and c is not None})
-    t = Transfer(ids)
-    for o, a, c, ts in zip(ops, qty, cids, tss):
-        t.add(o, None if a is None else int(a), None if c is None else int(c), ts, stock)
-    return t
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ADD, SET, REMOVE = "add", "set", "remove"
+OUTCOME = "array<struct<request_id:bigint,status:string,ts_us:bigint,starts:boolean,updates:boolean>>"
+PIECE = "struct<cls:bigint,lo:bigint,hi:bigint,const:boolean,v:bigint,keeps:boolean,id:bigint>"
+ENTRY = "array<struct<pid:int,chunk:bigint,q:bigint,id:bigint>>"
+
+
+def _long(x) -> Column:
+    return (F.lit(x) if x is None or isinstance(x, int) else x).cast("bigint")
+
+
+def fold(events: Column, q: Column, row_id: Column, stock: Column) -> Column:
+    """``q``, ``id`` after the events and ``out``, the outcome of each: its status, and whether the row starts with it or is
+    updated by it."""
+    def step(acc, e):
+        q, op, mine = acc["q"], e["op"], (acc["q"] > 0) & F.coalesce(acc["id"] == e["cid"], F.lit(False))
+        ok = F.when(op == ADD, q + e["a"] <= stock).when(op == SET, mine & (e["a"] <= stock)).otherwise(mine)
+        status = F.when(ok, "accepted").when((op == ADD) | mine, "stock").otherwise("not_found")
+        starts = ok & (op == ADD) & (q == 0)
+        outcome = F.struct(e["request_id"].alias("request_id"), status.alias("status"), e["ts_us"].alias("ts_us"), starts.alias("starts"),
+                           (ok & (op != REMOVE)).alias("updates"))
+        return F.struct(F.when(~ok, q).when(op == ADD, q + e["a"]).when(op == SET, e["a"]).otherwise(_long(0)).alias("q"),
+                        F.when(starts, e["cid"]).otherwise(acc["id"]).alias("id"), F.concat(acc["out"], F.array(outcome)).alias("out"))
+    start = F.struct(_long(q).alias("q"), _long(row_id).alias("id"), F.array().cast(OUTCOME).alias("out"))
+    return F.aggregate(events, start, step)
+
+
+def id_classes(events: Column) -> Column:
+    """The ids that the events address: these are told apart, all others behave alike."""
+    return F.array_distinct(F.transform(F.filter(events, lambda e: (e["op"] != ADD) & e["cid"].isNotNull()), lambda e: e["cid"]))
+
+
+def transfer(events: Column, classes: Column, stock: Column, most: Column) -> Column:
+    """The pieces of a stretch of events; ``most`` is the largest quantity that may come in."""
+    def piece(cls, lo, hi, const, v, keeps, row_id):
+        return F.struct(_long(cls).alias("cls"), _long(lo).alias("lo"), _long(hi).alias("hi"), const.alias("const"), _long(v).alias("v"),
+                        keeps.alias("keeps"), _long(row_id).alias("id"))
+    # no row; then a row with each of the ids, or with another one
+    begin = F.concat(F.array(piece(None, 0, 0, F.lit(True), 0, F.lit(False), None)),
+                     F.transform(F.concat(classes, F.array(_long(None))), lambda c: piece(c, 1, most, F.lit(False), 0, F.lit(True), None)))
+
+    def split(p, e):
+        op, fits = e["op"], stock - e["a"]          # an add is accepted from at most ``fits``
+        mine = F.coalesce(F.when(p["keeps"], p["cls"]).otherwise(p["id"]) == e["cid"], F.lit(False)) & (~p["const"] | (p["v"] > 0))
+        added = (op == ADD) & (~p["const"] | (p["v"] <= fits))
+        put = mine & ((op == REMOVE) | ((op == SET) & (e["a"] <= stock)))
+        starts = added & p["const"] & (p["v"] == 0)
+        taken = piece(p["cls"], p["lo"], F.when(added & ~p["const"], F.least(p["hi"], fits - p["v"])).otherwise(p["hi"]), p["const"] | put,
+                      F.when(added, p["v"] + e["a"]).when(put, F.when(op == SET, e["a"]).otherwise(_long(0))).otherwise(p["v"]),
+                      p["keeps"] & ~starts, F.when(starts, e["cid"]).otherwise(p["id"]))
+        over = piece(p["cls"], F.when(added & ~p["const"], F.greatest(p["lo"], fits - p["v"] + 1)).otherwise(p["hi"] + 1), p["hi"],
+                     p["const"], p["v"], p["keeps"], p["id"])
+        return F.array(taken, over)
+    return F.aggregate(events, F.filter(begin, lambda p: p["lo"] <= p["hi"]).cast(f"array<{PIECE}>"),
+                       lambda acc, e: F.filter(F.flatten(F.transform(acc, lambda p: split(p, e))), lambda p: p["lo"] <= p["hi"]))
+
+
+def states_before(stretches: Column, q: Column, row_id: Column) -> Column:
+    """The state that each stretch meets, as structs of its ``pid``, ``chunk`` and the state; ``stretches`` (structs of ``pid``,
+    ``chunk``, ``classes``, ``pieces``) are in order."""
+    def through(acc, s):
+        cls = F.when((acc["q"] > 0) & F.array_contains(s["classes"], acc["id"]), acc["id"])
+        hit = F.filter(s["pieces"], lambda p: (p["lo"] <= acc["q"]) & (acc["q"] <= p["hi"]) & p["cls"].eqNullSafe(cls))
+        after = F.element_at(F.transform(hit, lambda p: F.struct(
+            F.when(p["const"], p["v"]).otherwise(acc["q"] + p["v"]).alias("q"), F.when(p["keeps"], acc["id"]).otherwise(p["id"]).alias("id"))), 1)
+        met = F.struct(s["pid"].alias("pid"), s["chunk"].alias("chunk"), acc["q"].alias("q"), acc["id"].alias("id"))
+        return F.struct(after["q"].alias("q"), after["id"].alias("id"), F.concat(acc["out"], F.array(met)).alias("out"))
+    start = F.struct(_long(q).alias("q"), _long(row_id).alias("id"), F.array().cast(ENTRY).alias("out"))
+    return F.aggregate(stretches, start, through)["out"]

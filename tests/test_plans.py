@@ -43,3 +43,16 @@ def test_item_stream_not_broadcast_statically(spark):
     initial = p.split("== Initial Plan ==")[-1] if "Initial Plan" in p else p
     for chunk in initial.split("BroadcastExchange")[1:]:
         assert "Window [row_number()" not in chunk.split("+- Exchange")[0]
+
+
+def test_cart_fold_runs_without_python(spark):
+    import datetime as dt
+
+    from cobbler.operators import cart
+    from cobbler.sources import schemas
+    from conftest import make_shop
+    feed = spark.createDataFrame([(1, dt.datetime(2025, 4, 1), 1, "add", 1, None, 1)], schemas.CART_CHANGES)
+    out = cart.apply_cart_changes(make_shop(spark), feed, materialize_fold="none")
+    for df in out.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
