@@ -129,9 +129,19 @@ def q_rating_summary(spark, sf_dir):
     return reviews.rating_summary(_shop(spark, sf_dir).tables())
 
 
-def q_review_intake(spark, sf_dir):
+def _review_intake(spark, sf_dir):
     shop = _shop(spark, sf_dir)
-    return reviews.intake_reviews(shop.tables(), shop.review_requests, oq.INTAKE_AS_OF)["status"]
+    t = shop.tables()
+    return t, reviews.intake_reviews(t, shop.review_requests, oq.INTAKE_AS_OF)
+
+
+def q_review_intake(spark, sf_dir):
+    return _review_intake(spark, sf_dir)[1]["status"]
+
+
+def q_reviews_after_intake(spark, sf_dir):
+    t, out = _review_intake(spark, sf_dir)
+    return t["reviews"].unionByName(out["reviews"])
 
 
 # ---------------- cart and checkout ----------------
@@ -195,10 +205,16 @@ def q_cart_after_checkout(spark, sf_dir):
 
 def q_options_after_update(spark, sf_dir):
     shop = _shop(spark, sf_dir)
-    o = loads.update_variants(shop.tables(), shop.option_changes)["product_options"]
+    o = loads.update_variants(shop.tables(), shop.option_changes, shop.discount_changes)["product_options"]
     return o.withColumn("option_id", F.when(~F.col("is_new"), F.col("option_id")))
 
 
+def q_variants_after_update(spark, sf_dir):
+    shop = _shop(spark, sf_dir)
+    v = loads.update_variants(shop.tables(), shop.option_changes, shop.discount_changes)["product_variants"]
+    return v.select("variant_id", "discount_rate")
+
+
 def _load_products(spark, sf_dir):
     shop = _shop(spark, sf_dir)
     return loads.load_products(shop.nested_products, oq.LOAD_AS_OF)
@@ -254,7 +270,9 @@ def q_user_intake(spark, sf_dir):
 
 
 def q_users_after_intake(spark, sf_dir):
-    return _user_intake(spark, sf_dir)["users"]
+    shop = _shop(spark, sf_dir)
+    t = shop.tables()
+    return t["users"].unionByName(loads.intake_users(t, shop.user_requests)["users"])
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -283,6 +301,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_list": q_review_list,
         "rating_summary": q_rating_summary,
         "review_intake": q_review_intake,
+        "reviews_after_intake": q_reviews_after_intake,
         "cart_lines": q_cart_lines,
         "cart_totals": q_cart_totals,
         "cart_change_status": q_cart_change_status,
@@ -295,6 +314,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sold_after": q_sold_after,
         "cart_after_checkout": q_cart_after_checkout,
         "options_after_update": q_options_after_update,
+        "variants_after_update": q_variants_after_update,
         "load_status": q_load_status,
         "loaded_variants": q_loaded_variants,
         "loaded_options": q_loaded_options,

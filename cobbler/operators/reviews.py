@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_datetime, blank_to_null, half_up_tenths, ts_literal
 from ..functions.fixed import RATING_MAX, RATING_MIN
 from ..plans.lookups import flag_known, keys_named
+from ..plans.materialize import materialize
 
 REVIEW_FIELDS = ["review_id", "product_id", "user_id", "rating", "title", "content", "created_at"]
 
@@ -49,13 +50,14 @@ def _seq(df: DataFrame) -> F.Column:
     return F.struct("ts", "request_id") if "ts" in df.columns else F.struct("request_id")
 
 
-def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[str, DataFrame]:
+def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of, how: str = "table") -> dict[str, DataFrame]:
     """Validate a feed of review requests; returns ``status`` per request and new ``reviews`` rows.
 
     Statuses, in the reference's order: ``invalid`` (product or rating missing/0),
     ``bad_rating`` (outside 1..5), ``not_found`` (unknown product), ``duplicate``,
     then the insert: ``unknown_reference`` when the user or the order item does not
-    exist (the table's foreign keys reject it), else ``accepted``. With an order item:
+    exist (the table's foreign keys reject it), ``key_conflict`` when the request's id is a stored
+    review's, else ``accepted``. With an order item:
     duplicate if the item has a stored review or an accepted request for it earlier in
     the feed. Without: duplicate if the (user, product) pair has a stored review of any
     kind, or an accepted review of the pair earlier in the feed (an item review earlier
@@ -68,6 +70,8 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
     req = flag_known(req, t["products"], "product_id", "_known")
     req = flag_known(req, t["users"], "user_id", "_user_ok")
     req = flag_known(req, t["order_items"], "order_item_id", "_item_ok")
+    stored_ids = keys_named(t["reviews"], req.select(F.col("request_id").alias("review_id")), "review_id")
+    req = req.join(stored_ids.select(F.col("review_id").alias("request_id"), F.lit(True).alias("_stored")), "request_id", "left")
     has_item = F.col("order_item_id").isNotNull() & (F.col("order_item_id") != 0)
     base_status = (F.when(F.col("product_id").isNull() | (F.col("product_id") == 0)
                           | F.col("rating").isNull() | (F.col("rating") == 0), "invalid")
@@ -75,9 +79,12 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
                    .when(F.col("_known").isNull(), "not_found"))
     fk_ok = ((F.col("user_id").isNull() | F.col("_user_ok").isNotNull())
              & (~F.col("_item") | F.col("_item_ok").isNotNull()))
-    req = req.withColumn("_base", base_status).withColumn("_item", has_item).withColumn("_fk", fk_ok)
+    # the checks against stored tables feed every branch below: made once
+    req = materialize(req.withColumn("_base", base_status).withColumn("_item", has_item).withColumn("_fk", fk_ok)
+                      .drop("_known", "_user_ok", "_item_ok"), how)
     valid = req.filter(F.col("_base").isNull())
-    cand = valid.filter("_fk")                       # requests whose insert would succeed
+    cand = valid.filter(F.col("_fk") & F.col("_stored").isNull())       # requests whose insert would succeed
+    refused = F.when(F.col("_fk"), "key_conflict").otherwise("unknown_reference")
 
     # stored reviews that matter: those of the items and (user, product) pairs the feed names
     stored_items = keys_named(t["reviews"], valid.filter("_item"), "order_item_id")
@@ -93,7 +100,7 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
              .withColumn("_st", F.when(F.col("_stored_item").isNotNull(), "duplicate")
                          .when(F.col("_acc_seq") < F.col("_seq"), "duplicate")
                          .when(F.col("_acc_seq") == F.col("_seq"), "accepted")
-                         .otherwise("unknown_reference")))
+                         .otherwise(refused)))
     # General reviews: per (user, product), the first insertable general request is accepted unless
     # the pair has a stored review or an accepted item review of the pair comes before it.
     pair = ["user_id", "product_id"]
@@ -109,14 +116,14 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of) -> dict[
            .join(gen_acc, pair, "left")
            .withColumn("_first_acc", F.least("_item_seq", "_gen_acc"))
            .withColumn("_st", F.when(F.col("user_id").isNull(),
-                                     F.when(F.col("_fk"), "accepted").otherwise("unknown_reference"))
+                                     F.when(F.col("_fk") & F.col("_stored").isNull(), "accepted").otherwise(refused))
                        .when(F.col("_stored_pair").isNotNull(), "duplicate")
                        .when(F.col("_first_acc") < F.col("_seq"), "duplicate")
                        .when(F.col("_gen_acc") == F.col("_seq"), "accepted")
-                       .otherwise("unknown_reference")))
+                       .otherwise(refused)))
     decided = items.select("request_id", "_st").unionByName(gen.select("request_id", "_st"))
-    status = (req.join(decided, "request_id", "left")
-              .select("request_id", F.coalesce("_base", "_st").alias("status")))
+    status = materialize(req.join(decided, "request_id", "left")
+                         .select("request_id", F.coalesce("_base", "_st").alias("status")), how)
     new_rows = (req.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
                 .select(F.col("request_id").alias("review_id"), "user_id", "product_id",
                         F.when(F.col("_item"), F.col("order_item_id")).alias("order_item_id"),

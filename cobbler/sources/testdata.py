@@ -310,14 +310,37 @@ class GeneratedShop:
                      F.lit(".jpg")).alias("image"),
             F.struct("l_shipdate", "l_orderkey").alias("seq"))
 
+    @cached_property
+    def discount_changes(self) -> DataFrame:
+        """A new discount per returned line item; the latest (ship date, order) wins, 0 is a discount of nothing."""
+        li = self.raw("lineitem").filter(F.col("l_returnflag") == "R")
+        return li.select(
+            self._variant_id().alias("variant_id"), F.round(F.col("l_discount") * 100).cast("int").alias("discount_rate"),
+            F.struct("l_shipdate", "l_orderkey", "l_extendedprice", "l_quantity", "l_discount").alias("seq"))
+
     @cached_property
     def review_requests(self) -> DataFrame:
+        """General reviews from signups; an item review of every order item by who ordered it (some twice, some of an
+        item that is not there), with titles and contents that may be blank."""
         ev = self.raw("events").filter(F.col("event_type") == "signup")
-        return ev.select(
-            F.col("event_id").alias("request_id"), "ts", "user_id", _k().alias("product_id"),
+        general = ev.select(
+            F.col("event_id").alias("request_id"), F.col("ts"), "user_id", _k().alias("product_id"),
             F.lit(None).cast("bigint").alias("order_item_id"),
             (1 + F.col("event_id") % 6).cast("int").alias("rating"),
-            F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content"))
+            F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("Review "), F.col("event_id").cast("string"))).alias("title"),
+            F.when(F.col("event_id") % 5 == 0, "").otherwise("as said").alias("content"))
+        it = self.order_items.join(self.orders.select("order_id", "user_id"), "order_id", "left")
+        n = F.col("order_item_id") % ITEM_KEY_SCALE
+        first = it.select(
+            (F.lit(2 * REQUEST_KEY_BASE) + F.col("order_item_id")).alias("request_id"), F.col("created_at").alias("ts"), "user_id",
+            F.col("_partkey").alias("product_id"),
+            F.when(n == 5, F.col("order_item_id") + ITEM_KEY_SCALE // 2).otherwise(F.col("order_item_id")).alias("order_item_id"),
+            (1 + F.col("order_item_id") % 6).cast("int").alias("rating"),
+            F.concat(F.lit("Item "), F.col("order_item_id").cast("string")).alias("title"),
+            F.when(F.col("order_item_id") % 5 != 0, "as bought").alias("content"))
+        second = first.filter(F.col("order_item_id") % ITEM_KEY_SCALE == 1).withColumns({
+            "request_id": F.col("request_id") + REQUEST_KEY_BASE, "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
+        return general.unionByName(first).unionByName(second)
 
     @cached_property
     def user_requests(self) -> DataFrame:

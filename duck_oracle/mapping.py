@@ -93,10 +93,26 @@ CTES = {
                CAST(220 + 10 * l_linenumber + CASE WHEN l_linestatus = 'O' THEN 5 ELSE 0 END AS VARCHAR) AS size,
                CAST(l_quantity AS INTEGER) AS stock, l_shipdate, l_orderkey, l_extendedprice, l_quantity
         FROM lineitem WHERE l_returnflag = 'N'""",
+    "s_item_requests": """
+        SELECT 2000000000000 + i.order_item_id AS request_id, i.created_at AS ts, o.user_id, i.l_partkey AS product_id,
+               i.order_item_id + CASE WHEN i.order_item_id % 1000 = 5 THEN 500 ELSE 0 END AS order_item_id,
+               CAST(1 + i.order_item_id % 6 AS INTEGER) AS rating, 'Item ' || CAST(i.order_item_id AS VARCHAR) AS title,
+               CASE WHEN i.order_item_id % 5 <> 0 THEN 'as bought' END AS content
+        FROM s_items i LEFT JOIN s_orders o USING (order_id)""",
     "s_review_requests": f"""
         SELECT event_id AS request_id, ts, user_id, {K} AS product_id,
-               CAST(NULL AS BIGINT) AS order_item_id, CAST(1 + event_id % 6 AS INTEGER) AS rating
-        FROM events WHERE event_type = 'signup'""",
+               CAST(NULL AS BIGINT) AS order_item_id, CAST(1 + event_id % 6 AS INTEGER) AS rating,
+               CASE WHEN event_id % 7 <> 0 THEN 'Review ' || CAST(event_id AS VARCHAR) END AS title,
+               CASE WHEN event_id % 5 = 0 THEN '' ELSE 'as said' END AS content
+        FROM events WHERE event_type = 'signup'
+        UNION ALL SELECT * FROM s_item_requests
+        UNION ALL
+        SELECT request_id + 1000000000000, ts + INTERVAL 1 DAY, user_id, product_id, order_item_id, rating, title, content
+        FROM s_item_requests WHERE order_item_id % 1000 = 1""",
+    "s_discount_changes": """
+        SELECT l_partkey * 1000000 + l_suppkey AS variant_id, CAST(round(l_discount * 100) AS INTEGER) AS discount_rate,
+               l_shipdate, l_orderkey, l_extendedprice, l_quantity, l_discount
+        FROM lineitem WHERE l_returnflag = 'R'""",
     "s_users": """
         SELECT c_custkey AS user_id, 'customer' || CAST(c_custkey AS VARCHAR) || '@shop.test' AS email,
                c_name AS name, 'USER' AS role

@@ -183,11 +183,8 @@ SQL["rating_summary"] = build(
 
 _LATER = "(a_ts < s.ts OR (a_ts = s.ts AND a_req < s.request_id))"
 
-SQL["review_intake"] = build(
-    """SELECT s.request_id, coalesce(s.base, d.st) AS status
-       FROM st s LEFT JOIN (SELECT request_id, st FROM items UNION ALL SELECT request_id, st FROM gen) d
-            ON s.request_id = d.request_id""",
-    {"st": """SELECT r.request_id, r.ts, r.user_id, r.product_id, r.order_item_id,
+_REVIEW_INTAKE = {
+     "st": """SELECT r.request_id, r.ts, r.user_id, r.product_id, r.order_item_id,
                      CASE WHEN r.product_id IS NULL OR r.product_id = 0 OR r.rating IS NULL OR r.rating = 0
                                THEN 'invalid'
                           WHEN r.rating < 1 OR r.rating > 5 THEN 'bad_rating'
@@ -231,7 +228,20 @@ SQL["review_intake"] = build(
                             WHEN a.a_req = s.request_id THEN 'accepted'
                             ELSE 'unknown_reference' END AS st
                 FROM st s LEFT JOIN gen_acc a ON s.user_id = a.user_id AND s.product_id = a.product_id
-                WHERE s.base IS NULL AND NOT s.is_item"""})
+                WHERE s.base IS NULL AND NOT s.is_item"""}
+
+_REVIEW_STATUS = """SELECT s.request_id, coalesce(s.base, d.st) AS status
+       FROM st s LEFT JOIN (SELECT request_id, st FROM items UNION ALL SELECT request_id, st FROM gen) d
+            ON s.request_id = d.request_id"""
+
+SQL["review_intake"] = build(_REVIEW_STATUS, _REVIEW_INTAKE)
+
+SQL["reviews_after_intake"] = build(
+    f"""SELECT review_id, user_id, product_id, order_item_id, rating, title, content, created_at FROM s_reviews
+        UNION ALL
+        SELECT r.request_id, r.user_id, r.product_id, nullif(r.order_item_id, 0), r.rating, nullif(r.title, ''), nullif(r.content, ''),
+               DATE '{INTAKE_AS_OF[:10]}'
+        FROM s_review_requests r JOIN ({_REVIEW_STATUS}) x USING (request_id) WHERE x.status = 'accepted'""", _REVIEW_INTAKE)
 
 # ---------------- cart ----------------
 
@@ -418,6 +428,13 @@ SQL["options_after_update"] = build(
        WHERE NOT EXISTS (SELECT 1 FROM s_options o
                          WHERE o.variant_id = l.variant_id AND lower(o.size) = lower(l.size))""", _LAST_CHANGE)
 
+SQL["variants_after_update"] = build(
+    """SELECT v.variant_id, CASE WHEN d.variant_id IS NOT NULL THEN d.discount_rate ELSE v.discount_rate END AS discount_rate
+       FROM s_variants v LEFT JOIN (
+            SELECT variant_id, discount_rate FROM (
+                SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY l_shipdate DESC, l_orderkey DESC, l_extendedprice DESC,
+                                             l_quantity DESC, l_discount DESC) AS rn FROM s_discount_changes) WHERE rn = 1) d USING (variant_id)""")
+
 _USER_INTAKE = {
     "ui": """SELECT r.*,
                     (r.email IS NULL OR r.email = '' OR r.name IS NULL OR r.name = '') AS invalid,
@@ -432,7 +449,9 @@ _USER_INTAKE = {
 
 SQL["user_intake"] = build("SELECT request_id, status FROM ui_status", _USER_INTAKE)
 SQL["users_after_intake"] = build(
-    """SELECT request_id AS user_id, email, name, CASE WHEN role = 'admin' THEN 'ADMIN' ELSE 'USER' END AS role
+    """SELECT user_id, email, name, role FROM s_users
+       UNION ALL
+       SELECT request_id AS user_id, email, name, CASE WHEN role = 'admin' THEN 'ADMIN' ELSE 'USER' END AS role
        FROM ui_status WHERE status = 'accepted'""", _USER_INTAKE)
 
 LOAD_AS_OF = "2024-03-01 12:00:00"
