@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from cobbler.operators import cart, catalog, checkout, loads, orders, reviews, sales  # noqa: E402
+from cobbler.plans import jobs, snapshots  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
-from cobbler.session import apply_sql_conf  # noqa: E402
+from cobbler.session import apply_sql_conf, ensure_checkpoint_dir  # noqa: E402
 from cobbler.sources.testdata import GeneratedShop  # noqa: E402
 from duck_oracle import queries as oq  # noqa: E402
 
@@ -52,9 +54,31 @@ def q_daily_variant_sales(spark, sf_dir):
 
 def q_sales_summary(spark, sf_dir):
     t = _shop(spark, sf_dir).tables()
-    s = sales.sales_summary(t, oq.SALES_START, oq.SALES_END)
-    return _to_double(s, "total_revenue").withColumn(
-        "daily_history", joined("daily_history", ["date", "qty", "revenue"]))
+    return _summary_text(sales.sales_summary(t, oq.SALES_START, oq.SALES_END))
+
+
+def _summary_text(s: DataFrame) -> DataFrame:
+    return _to_double(s, "total_revenue").withColumn("daily_history", joined("daily_history", ["date", "qty", "revenue"]))
+
+
+def q_sales_summary_published(spark, sf_dir):
+    """S2 over a published shop: items lie in folders by month, those outside the range are not read."""
+    t = _shop(spark, sf_dir).tables()
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobbler-shops/{uuid.uuid4().hex}"
+    tables = jobs.first_batch({n: t[n] for n in ("orders", "order_items", "product_options", "product_variants", "products")})
+    tables.pop("sales_rollup")
+    snapshots.publish(spark, root, 0, replace=tables)
+    return _summary_text(sales.sales_summary(snapshots.read_current(spark, root), oq.SALES_START, oq.SALES_END))
+
+
+def q_sales_summary_after_checkout(spark, sf_dir):
+    """S2 from the stored rollup, to which the checkout of all requests has added its part."""
+    shop = _shop(spark, sf_dir)
+    t = shop.tables()
+    out = checkout.checkout(t, shop.checkout_requests, oq.CHECKOUT_AS_OF)
+    parts = sales.rollup(t["orders"], t["order_items"]).unionByName(sales.rollup(out["orders"], out["order_items"]))
+    kept = {n: t[n] for n in ("product_options", "product_variants", "products")} | {"sales_rollup": sales.merge_rollup(parts)}
+    return _summary_text(sales.sales_summary(kept, oq.SALES_START, oq.SALES_END))
 
 
 # ---------------- catalog ----------------
@@ -287,6 +311,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return optional | {
         "daily_variant_sales": q_daily_variant_sales,
         "sales_summary": q_sales_summary,
+        "sales_summary_published": q_sales_summary_published,
+        "sales_summary_after_checkout": q_sales_summary_after_checkout,
         "product_page": q_product_page,
         "in_stock_sizes": q_in_stock_sizes,
         "popular_variants": q_popular_variants,

@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         pass
     if a.cmd == "init":
         tables = {name: read_table(spark, a.tables, name) for name in schemas.TABLES}
-        snapshots.publish(spark, a.shop, 0, replace=tables)
+        snapshots.publish(spark, a.shop, 0, replace=jobs.first_batch(tables))
     elif a.cmd == "query":
         for key in ("user", "product"):
             ids = getattr(a, key)

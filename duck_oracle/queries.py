@@ -32,15 +32,16 @@ SQL["daily_variant_sales"] = build(
        FROM daily d JOIN names n ON d.variant_id = n.variant_id""",
     {"daily": _DAILY, "names": _NAMES})
 
-SQL["sales_summary"] = build(
-    """SELECT t.variant_id, n.name, n.image, t.total_qty, t.total_revenue, t.daily_history
+_SUMMARY = """SELECT t.variant_id, n.name, n.image, t.total_qty, t.total_revenue, t.daily_history
        FROM (SELECT variant_id, CAST(sum(daily_qty) AS BIGINT) AS total_qty,
                     CAST(sum(daily_revenue) AS DOUBLE) AS total_revenue,
                     string_agg(sales_date || ':' || CAST(daily_qty AS VARCHAR) || ':'
                                || CAST(daily_revenue AS VARCHAR), ';' ORDER BY sales_date) AS daily_history
              FROM daily GROUP BY variant_id) t
-       JOIN names n ON t.variant_id = n.variant_id""",
-    {"daily": _DAILY, "names": _NAMES})
+       JOIN names n ON t.variant_id = n.variant_id"""
+
+SQL["sales_summary"] = build(_SUMMARY, {"daily": _DAILY, "names": _NAMES})
+SQL["sales_summary_published"] = SQL["sales_summary"]
 
 # ---------------- catalog ----------------
 
@@ -407,6 +408,15 @@ SQL["cart_after_checkout"] = build(
 SQL["checkout_items"] = build(
     """SELECT request_id AS order_id, option_id, quantity, CAST(unit_price AS DOUBLE) AS price FROM paid""", _CHECKOUT, recursive=True)
 
+SQL["sales_summary_after_checkout"] = build(_SUMMARY, _CHECKOUT | {"names": _NAMES, "sold_items": f"""
+        SELECT i.option_id, i.quantity, i.price, o.created_at FROM s_items i JOIN s_orders o USING (order_id)
+        WHERE upper(o.status) IN ('PAID', 'SHIPPED', 'DELIVERED')
+        UNION ALL SELECT option_id, quantity, CAST(unit_price AS DECIMAL(12,2)), TIMESTAMP '{CHECKOUT_AS_OF}' FROM paid""", "daily": f"""
+        SELECT o.variant_id, strftime(i.created_at, '%Y-%m-%d') AS sales_date, sum(i.quantity) AS daily_qty, sum(i.quantity * i.price) AS daily_revenue
+        FROM sold_items i JOIN s_options o USING (option_id)
+        WHERE i.created_at >= TIMESTAMP '{SALES_START}' AND i.created_at < TIMESTAMP '{SALES_END_NEXT}'
+        GROUP BY o.variant_id, strftime(i.created_at, '%Y-%m-%d')"""}, recursive=True)
+
 # ---------------- loads ----------------
 
 _LAST_CHANGE = {
