@@ -21,6 +21,8 @@ from cobbler.operators import cart, catalog, checkout, loads, orders, reviews, s
 from cobbler.plans import jobs, snapshots  # noqa: E402
 from cobbler.plans.render import joined  # noqa: E402
 from cobbler.session import apply_sql_conf, ensure_checkpoint_dir  # noqa: E402
+from cobbler.sources import schemas  # noqa: E402
+from cobbler.sources.tables import parse_bodies  # noqa: E402
 from cobbler.sources.testdata import GeneratedShop  # noqa: E402
 from duck_oracle import queries as oq  # noqa: E402
 
@@ -174,6 +176,20 @@ def q_cart_lines(spark, sf_dir):
     return _to_double(cart.cart_lines(_shop(spark, sf_dir).tables()), "base_price")
 
 
+def q_cart_lines_after_batches(spark, sf_dir):
+    """K1 of a published shop after its catalog batches: new variants, stock and discount changes, images. The batches
+    rewrite the files they touch and keep the table of option details that the cart joins."""
+    shop = _shop(spark, sf_dir)
+    t = shop.tables()
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cobbler-shops/{uuid.uuid4().hex}"
+    first = {n: t[n] for n in ("product_options", "product_variants", "products", "cart")}
+    snapshots.publish(spark, root, 0, replace=first | {"option_details": catalog.option_details(first)})
+    snapshots.run_batch(spark, root, 1, lambda now: jobs.add_variants_job(now, shop.new_variants, oq.LOAD_AS_OF))
+    snapshots.run_batch(spark, root, 2, lambda now: jobs.update_variants_job(now, shop.variant_changes))
+    snapshots.run_batch(spark, root, 3, lambda now: jobs.set_images_job(now, shop.image_changes))
+    return _to_double(cart.cart_lines(snapshots.read_current(spark, root)), "base_price")
+
+
 def q_cart_totals(spark, sf_dir):
     return cart.cart_totals(_shop(spark, sf_dir).tables())
 
@@ -191,6 +207,14 @@ def q_cart_after_changes(spark, sf_dir):
     return _cart_changes(spark, sf_dir)["cart"]
 
 
+def q_cart_change_bodies(spark, sf_dir):
+    """The cart feed from JSON bodies: what is a request, by kind, and what is set apart, by reason."""
+    good, bad = parse_bodies(_shop(spark, sf_dir).cart_change_bodies, schemas.CART_CHANGES)
+    some = lambda df, kind: df.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("n"), F.sum(F.coalesce("request_id", F.lit(0))).cast("bigint").alias("ids"))
+    return some(good, F.col("op")).unionByName(some(bad, F.col("reason")))
+
+
 def _checkout(spark, sf_dir):
     shop = _shop(spark, sf_dir)
     return checkout.checkout(shop.tables(), shop.checkout_requests, oq.CHECKOUT_AS_OF)
@@ -329,9 +353,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_intake": q_review_intake,
         "reviews_after_intake": q_reviews_after_intake,
         "cart_lines": q_cart_lines,
+        "cart_lines_after_batches": q_cart_lines_after_batches,
         "cart_totals": q_cart_totals,
         "cart_change_status": q_cart_change_status,
         "cart_after_changes": q_cart_after_changes,
+        "cart_change_bodies": q_cart_change_bodies,
         "checkout_lines": q_checkout_lines,
         "checkout_status": q_checkout_status,
         "checkout_orders": q_checkout_orders,

@@ -19,7 +19,7 @@ from .operators import cart, catalog, orders, reviews, sales
 from .plans import jobs, snapshots
 from .session import CLUSTER_CONF, build_session
 from .sources import schemas
-from .sources.tables import read_requests, read_table, write_json
+from .sources.tables import read_bodies, read_table, write_json
 
 QUERIES = {
     "product_page": lambda t, a: catalog.product_page(t),
@@ -99,8 +99,8 @@ def main(argv: list[str] | None = None) -> int:
         write_json(QUERIES[a.name](snapshots.read_current(spark, a.shop), a), a.out)
     else:
         schema, job = JOBS[a.name]
-        feed = read_requests(spark, a.feed, schema)
-        snapshots.run_batch(spark, a.shop, a.batch, lambda t: job(t, feed, a))
+        feed = read_bodies(spark, a.feed)
+        snapshots.run_batch(spark, a.shop, a.batch, lambda t: jobs.quarantined(job, schema, a.name)(t, feed, a))
     return 0
 
 

@@ -25,7 +25,10 @@ def option_details(t: dict[str, DataFrame]) -> DataFrame:
     lines): the catalog tables are joined among themselves once, so the large
     line stream crosses the catalog with a single join on option_id instead of
     one shuffle per dimension. Catalyst prunes the columns a caller does not use.
+    A shop that keeps this table (``option_details``, maintained by its batches) is read from there.
     """
+    if "option_details" in t:
+        return t["option_details"]
     o = t["product_options"].select("option_id", "variant_id", "size", "stock_quantity")
     v = t["product_variants"].select("variant_id", "product_id", "color_name",
                                      F.col("representative_image_url").alias("image"), "discount_rate",

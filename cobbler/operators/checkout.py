@@ -280,18 +280,25 @@ def paid_lines(lines: DataFrame, status: DataFrame) -> DataFrame:
     return lines.join(status.filter(F.col("status") == PAID).select("request_id"), "request_id", "left_semi")
 
 
-def stock_and_sold_deltas(t: dict[str, DataFrame], paid: DataFrame) -> dict[str, DataFrame]:
-    """New options (stock minus quantity bought) and new variants (sold_count plus quantity; a null sold_count stays null)."""
+def stock_after(options: DataFrame, paid: DataFrame) -> DataFrame:
+    """``options`` with stock minus the quantity bought."""
     by_opt = paid.groupBy("option_id").agg(F.sum("quantity").alias("_bought"))
-    opts = (t["product_options"].join(by_opt, "option_id", "left")
-            .withColumn("stock_quantity", (F.col("stock_quantity") - F.coalesce("_bought", F.lit(0)))
-                        .cast("int"))
-            .drop("_bought"))
+    return (options.join(by_opt, "option_id", "left")
+            .withColumn("stock_quantity", (F.col("stock_quantity") - F.coalesce("_bought", F.lit(0))).cast("int"))
+            .select(*options.columns))
+
+
+def sold_after(variants: DataFrame, paid: DataFrame) -> DataFrame:
+    """``variants`` with sold_count plus the quantity bought; a null sold_count stays null."""
     by_var = paid.groupBy("variant_id").agg(F.sum("quantity").alias("_sold"))
-    vars_ = (t["product_variants"].join(by_var, "variant_id", "left")
-             .withColumn("sold_count", F.col("sold_count") + F.coalesce("_sold", F.lit(0)))
-             .drop("_sold"))
-    return {"product_options": opts, "product_variants": vars_}
+    return (variants.join(by_var, "variant_id", "left")
+            .withColumn("sold_count", F.col("sold_count") + F.coalesce("_sold", F.lit(0)))
+            .select(*variants.columns))
+
+
+def stock_and_sold_deltas(t: dict[str, DataFrame], paid: DataFrame) -> dict[str, DataFrame]:
+    """The new options and the new variants."""
+    return {"product_options": stock_after(t["product_options"], paid), "product_variants": sold_after(t["product_variants"], paid)}
 
 
 def purge_cart(t: dict[str, DataFrame], paid: DataFrame) -> DataFrame:
@@ -308,7 +315,7 @@ def checkout(t: dict[str, DataFrame], requests: DataFrame, as_of, how: str = "ta
     """
     lines, status = serve(t, requests, as_of, how, large)
     paid = paid_lines(lines, status)
-    out = {"lines": lines, "status": status.drop("shipping_address", "payment_method")}
+    out = {"lines": lines, "paid": paid, "status": status.drop("shipping_address", "payment_method")}
     out.update(build_orders(lines, status, as_of))
     out.update(stock_and_sold_deltas(t, paid))
     out["cart"] = purge_cart(t, paid)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from .tables import BODY
 
 # Fixed values of the mapping (FIXTURES.md §3).
 VARIANT_KEY_SCALE = 1000000      # variant_id = l_partkey * 1000000 + l_suppkey
@@ -244,6 +245,15 @@ class GeneratedShop:
             F.when(F.col("event_type") != "error", (1 + F.col("event_id") % 3).cast("int"))
              .alias("quantity"))
 
+    @cached_property
+    def cart_change_bodies(self) -> DataFrame:
+        """The cart changes as JSON bodies, some of them cut off, with a word for a quantity, without an id, or blank."""
+        n = F.col("request_id")
+        body = F.to_json(F.struct("request_id", "ts", "user_id", "op", "option_id", "cart_id", "quantity"))
+        return self.cart_changes.select(
+            F.when(n % 97 == 0, F.substr(body, F.lit(1), F.length(body) - 1)).when(n % 89 == 0, F.regexp_replace(body, '}$', ',"quantity":"two"}'))
+            .when(n % 83 == 0, F.regexp_replace(body, '"request_id"', '"request"')).when(n % 79 == 0, "  ").otherwise(body).alias(BODY))
+
     @cached_property
     def checkout_requests(self) -> DataFrame:
         """One request per purchase event, so users come several times: their whole cart, or the rows of
@@ -267,6 +277,19 @@ class GeneratedShop:
             # FIXTURES' order (ship date, order, price); quantity last so full ties cannot differ
             F.struct("l_shipdate", "l_orderkey", "l_extendedprice", "l_quantity").alias("seq"))
 
+    @cached_property
+    def variant_changes(self) -> DataFrame:
+        """Variant-change requests, one per 'N' line item, in the order of the option changes: a stock, and for open lines
+        (a new half size) the discount of the line too."""
+        li = self.raw("lineitem").filter(F.col("l_returnflag") == "N")
+        open_ = F.col("l_linestatus") == "O"
+        size = (220 + 10 * F.col("l_linenumber") + F.when(open_, 5).otherwise(0)).cast("string")
+        # request ids rise with ship date, order, quantity and discount
+        quantity, discount = F.col("l_quantity").cast("bigint"), F.round(F.col("l_discount") * 100).cast("int")
+        seq = ((F.unix_date(F.to_date("l_shipdate")).cast("bigint") * 1_000_000_000 + F.col("l_orderkey")) * 100 + quantity) * 100 + discount
+        return li.select(seq.alias("request_id"), self._variant_id().alias("variant_id"), discount.alias("discount_rate"),
+                         open_.alias("discount_given"), F.array(F.struct(size.alias("size"), quantity.cast("int").alias("stock"))).alias("options"))
+
     @cached_property
     def nested_products(self) -> DataFrame:
         """Every part as a nested product feed: its variants (by variant_id), each with its options."""

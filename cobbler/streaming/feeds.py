@@ -8,6 +8,9 @@ a restarted query finds its own published micro-batches by that name and skips
 them, whatever other feeds or jobs published in between, so each micro-batch takes
 effect exactly once.
 
+JSON bodies are read as text, and those that are no request of the feed's schema are set apart in the shop's
+``malformed_requests`` (:func:`cobbler.plans.jobs.quarantined`) instead of failing the feed or turning into nulls.
+
 Order: micro-batches apply in arrival order, as the reference's handlers apply
 requests as they come; within one micro-batch the job's own feed order holds
 (``(ts, request_id)``). A late request is therefore applied after those already
@@ -23,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.jobs import MERGE, quarantined
 from ..plans.snapshots import ConcurrentPublish, compact, run_batch
+from ..sources.tables import BODY
 
 Job = Callable[[dict[str, DataFrame], DataFrame], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
 
@@ -44,7 +49,7 @@ def apply_micro_batch(spark: SparkSession, root: str, job: Job, batch: DataFrame
                 raise
     if number % COMPACT_EVERY == COMPACT_EVERY - 1:
         try:
-            compact(spark, root, COMPACT_EVERY)
+            compact(spark, root, COMPACT_EVERY, MERGE)
         except ConcurrentPublish:           # left to the next time
             pass
 
@@ -58,10 +63,15 @@ def start_feed(spark: SparkSession, root: str, source_dir: str, schema: T.Struct
     another for every feed of a shop, and the same across restarts. ``available_now``
     drains what is there and stops; otherwise the query triggers every 30 seconds.
     """
-    reader = spark.readStream.schema(schema).format(fmt)
+    if fmt == "json":
+        reader, job = spark.readStream.format("text"), quarantined(job, schema, feed)
+    else:
+        reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_dir)
+    if fmt == "json":
+        stream = stream.withColumnRenamed("value", BODY)
     writer = (stream.writeStream
               .foreachBatch(lambda df, number: apply_micro_batch(spark, root, job, df, feed, number))
               .option("checkpointLocation", checkpoint_location))

@@ -325,6 +325,14 @@ SQL["cart_after_changes"] = build(
        SELECT cart_id, user_id, option_id, quantity, created_at, updated_at FROM s_cart c
        WHERE NOT EXISTS (SELECT 1 FROM seq WHERE ku = c.user_id AND ko = c.option_id)""", _FOLD, recursive=True)
 
+# what is wrong with a body, and the id that can still be read of it
+SQL["cart_change_bodies"] = build(
+    """SELECT CASE WHEN request_id % 97 = 0 OR request_id % 89 = 0 THEN 'malformed' WHEN request_id % 83 = 0 THEN 'missing request_id'
+                   WHEN request_id % 79 = 0 THEN 'empty' ELSE op END AS kind, count(*) AS n,
+              CAST(sum(CASE WHEN request_id % 97 = 0 THEN 0 WHEN request_id % 89 = 0 THEN request_id
+                            WHEN request_id % 83 = 0 OR request_id % 79 = 0 THEN 0 ELSE request_id END) AS BIGINT) AS ids
+       FROM s_cart_changes GROUP BY 1""")
+
 # ---------------- checkout ----------------
 
 CHECKOUT_AS_OF = "1996-08-30 00:00:00"   # midnight of a one-day sale: P4 discounts apply
@@ -521,3 +529,29 @@ SQL["variants_after_images"] = build(
                                           ORDER BY l_shipdate DESC, l_orderkey DESC) AS rn
                 FROM lineitem WHERE l_returnflag = 'A') WHERE rn = 1) l
             ON v.variant_id = l.variant_id""")
+
+SQL["cart_lines_after_batches"] = build(
+    """SELECT c.cart_id, c.user_id, c.quantity, c.created_at, p.product_id, p.name AS product_name,
+              CAST(p.base_price AS DOUBLE) AS base_price, v.variant_id, v.color_name,
+              CASE WHEN i.variant_id IS NOT NULL THEN i.image ELSE v.image END AS image,
+              coalesce(d.discount_rate, v.discount_rate) AS discount_rate, o.option_id, o.size, coalesce(k.stock, o.stock_quantity) AS stock_quantity
+       FROM s_cart c JOIN s_options o ON c.option_id = o.option_id
+            JOIN s_variants v ON o.variant_id = v.variant_id JOIN s_products p ON v.product_id = p.product_id
+            LEFT JOIN discounts d ON d.variant_id = v.variant_id LEFT JOIN images i ON i.variant_id = v.variant_id
+            LEFT JOIN stocks k ON k.variant_id = v.variant_id AND k.size = o.size""",
+    {"requests": """
+        SELECT ((CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 1000000000 + l_orderkey) * 100
+                + CAST(l_quantity AS BIGINT)) * 100 + CAST(round(l_discount * 100) AS INTEGER) AS request_id,
+               l_partkey * 1000000 + l_suppkey AS variant_id, CAST(round(l_discount * 100) AS INTEGER) AS discount_rate, l_linestatus = 'O' AS given,
+               CAST(220 + 10 * l_linenumber + CASE WHEN l_linestatus = 'O' THEN 5 ELSE 0 END AS VARCHAR) AS size, CAST(l_quantity AS INTEGER) AS stock
+        FROM lineitem WHERE l_returnflag = 'N'""",
+     "stocks": "SELECT variant_id, size, arg_max(stock, request_id) AS stock FROM requests GROUP BY variant_id, size",
+     "discounts": "SELECT variant_id, arg_max(discount_rate, request_id) AS discount_rate FROM requests WHERE given GROUP BY variant_id",
+     "images": """
+            SELECT variant_id, image FROM (
+                SELECT l_partkey * 1000000 + l_suppkey AS variant_id,
+                       '/images/' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-'
+                           || CAST(l_orderkey AS VARCHAR) || '.jpg' AS image,
+                       row_number() OVER (PARTITION BY l_partkey, l_suppkey
+                                          ORDER BY l_shipdate DESC, l_orderkey DESC) AS rn
+                FROM lineitem WHERE l_returnflag = 'A') WHERE rn = 1"""})
