@@ -5,6 +5,12 @@ only build on its right), so a large table would be shuffled whole for every
 batch. Instead the table is first reduced to the keys the requests name — a
 semi join whose small side (the requests' distinct keys) AQE broadcasts when
 measured small — and the requests are joined to that reduced result.
+
+The semi join still shuffles the stored side before its size is known. With the session setting ``spark.cobbler.screenLookups``
+(on in ``session.CLUSTER_CONF``) the stored scan is screened first: two byte tables, in which the cells of the wanted
+keys' hashes are set, go into the plan as literals (a Bloom filter of two hashes), so that what is shuffled is
+little more than what the semi join keeps. Collated keys (emails) are not screened, and a feed of more than ``SCREENED_KEYS``
+keys, which would fill the tables, neither.
 """
 
 from __future__ import annotations
@@ -13,10 +19,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+SCREEN = "spark.cobbler.screenLookups"
+#: Cells of each table, and keys above which they would pass too much: at most one row in 64 of the others passes.
+CELLS, SCREENED_KEYS = 1 << 20, 1 << 17
+
+
+def screened(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose ``key`` may be among ``wanted``'s: all that are, few others."""
+    hashes = wanted.select(F.xxhash64(key).alias("h")).distinct().limit(SCREENED_KEYS + 1).collect()
+    if len(hashes) > SCREENED_KEYS:
+        return table
+    low, high = bytearray(CELLS), bytearray(CELLS)
+    for r in hashes:
+        low[r.h % CELLS] = 1
+        high[(r.h >> 32) % CELLS] = 1
+    h = F.xxhash64(key)
+    passes = lambda cells, at: F.substring(F.lit(bytes(cells)), F.pmod(at, F.lit(CELLS)).cast("int") + 1, 1) == F.lit(b"\x01")
+    return table.filter(passes(low, h) & passes(high, F.shiftright(h, 32)))
+
+
 def keys_named(table: DataFrame, requests: DataFrame, key: str, cols: list[str] | None = None) -> DataFrame:
     """Rows of ``table`` (``key`` plus ``cols``) whose ``key`` some request names."""
     wanted = requests.select(key).where(F.col(key).isNotNull()).distinct()
-    return table.select(key, *(cols or [])).join(wanted, key, "left_semi")
+    table = table.select(key, *(cols or []))
+    kind = table.schema[key].dataType
+    plain = getattr(kind, "collation", "UTF8_BINARY") == "UTF8_BINARY"      # hashes see bytes, collated keys compare otherwise
+    if plain and table.sparkSession.conf.get(SCREEN, "false") == "true":
+        wanted = wanted.withColumn(key, F.col(key).cast(kind))
+        table = screened(table, wanted, key)
+    return table.join(wanted, key, "left_semi")
 
 
 def flag_known(requests: DataFrame, table: DataFrame, key: str, flag: str) -> DataFrame:

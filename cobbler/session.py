@@ -40,6 +40,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    # existence checks screen the stored tables at their scan (plans/lookups.py)
+    "spark.cobbler.screenLookups": "true",
 }
 
 

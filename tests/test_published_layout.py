@@ -149,3 +149,27 @@ def test_bad_bodies_are_set_apart(spark):
     t = snapshots.read_current(spark, root)
     assert t["malformed_requests"].count() == len(bodies) - 1 and {r.status for r in t["malformed_requests"].collect()} == {"malformed"}
     assert t["cart_change_status"].count() == 1
+
+
+def test_lookups_screen_the_stored_side_at_its_scan(spark):
+    from cobbler.functions.columns import ci_key
+    from cobbler.plans import lookups
+    path = _root() + "/users"
+    spark.range(200_000).selectExpr("id AS user_id", "concat('U', id, '@x') AS email").write.parquet(path)
+    stored = spark.read.parquet(path)
+    feed = spark.createDataFrame([(k * 1000 + 7,) for k in range(300)] + [(None,), (10**9,)], "user_id int")
+    plain = {r.user_id for r in lookups.keys_named(stored, feed, "user_id").collect()}
+    wanted = feed.selectExpr("cast(user_id as long) user_id").dropna().distinct()
+    left = lookups.screened(stored, wanted, "user_id")
+    assert len(plain) == 200 and 200 <= left.count() <= 260
+    spark.conf.set(lookups.SCREEN, "true")
+    try:
+        found = lookups.keys_named(stored, feed, "user_id", ["email"])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        join = next(i for i, line in enumerate(plan.splitlines()) if "Join LeftSemi" in line)
+        assert any("Filter" in line and "xxhash64" in line for line in plan.splitlines()[join + 1:])       # below the join, at the scan
+        assert {r.user_id for r in found.collect()} == plain
+        mails = spark.createDataFrame([("u5@X",), ("none",)], "email string").select(ci_key("email").alias("k"))
+        assert [r.k for r in lookups.keys_named(stored.select(ci_key("email").alias("k")), mails, "k").collect()] == ["U5@x"]
+    finally:
+        spark.conf.unset(lookups.SCREEN)
