@@ -93,16 +93,22 @@ def test_intake_reviews_every_branch(spark):
         (18, ts(2025, 1, 18), 77, 1, 5001, 5, None, None),     # duplicate wins over the failed insert
         (19, ts(2025, 1, 19), 77, 2, 5004, 5, None, None),     # unknown user: insert fails ...
         (20, ts(2025, 1, 20), 2, 2, 5004, 5, None, None),      # ... so it blocks nobody: accepted
+        (-97, ts(2025, 1, 21), 3, 4, None, 5, None, None),     # key_conflict: the id is stored review 3's ...
+        (21, ts(2025, 1, 22), 3, 4, None, 5, None, None),      # ... so it stores nothing and blocks nobody
+        (-96, ts(2025, 1, 23), 9, 6, 5005, 5, None, None),     # key_conflict for an item review too
+        (-95, ts(2025, 1, 24), 9, 1, 5001, 5, None, None),     # duplicate comes first
     ]
+    rows = [(100 + r[0], *r[1:]) for r in rows]                # stored reviews have the ids 1 to 7
     req = spark.createDataFrame(rows, "request_id bigint, ts timestamp, user_id bigint, product_id bigint, "
                                       "order_item_id bigint, rating int, title string, content string")
     out = reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))
-    st = {r.request_id: r.status for r in out["status"].collect()}
-    assert st == {1: "invalid", 2: "invalid", 3: "bad_rating", 4: "not_found", 5: "duplicate", 6: "accepted",
+    st = {r.request_id - 100: r.status for r in out["status"].collect()}
+    assert st == {-97: "key_conflict", -96: "key_conflict", -95: "duplicate", 21: "accepted",
+                  1: "invalid", 2: "invalid", 3: "bad_rating", 4: "not_found", 5: "duplicate", 6: "accepted",
                   7: "duplicate", 8: "duplicate", 9: "accepted", 10: "duplicate", 11: "duplicate",
                   12: "accepted", 13: "accepted", 14: "accepted", 15: "accepted", 16: "unknown_reference",
                   17: "unknown_reference", 18: "duplicate", 19: "unknown_reference", 20: "accepted"}
-    new = {r.review_id: r for r in out["reviews"].collect()}
+    new = {r.review_id - 100: r for r in out["reviews"].collect()}
     assert new[6].title is None and new[6].content == "fine" and new[6].created_at == dt.date(2025, 2, 1)
     assert new[9].order_item_id == 5002 and new[12].order_item_id is None
 
@@ -155,7 +161,7 @@ def test_intake_reviews_against_plain_loop(spark):
 
 def test_review_schema_matches_table(spark):
     t = make_shop(spark)
-    req = spark.createDataFrame([(1, 1, 4, None, 5, "t", "c")], schemas.REVIEW_REQUESTS)
+    req = spark.createDataFrame([(101, 1, 4, None, 5, "t", "c")], schemas.REVIEW_REQUESTS)
     new = reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))["reviews"]
     assert new.columns == [f.name for f in schemas.REVIEWS.fields]
-    assert new.select(F.col("review_id")).first()[0] == 1
+    assert new.select(F.col("review_id")).first()[0] == 101
