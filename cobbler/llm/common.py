@@ -32,11 +32,19 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def store(df: DataFrame) -> DataFrame:
+#: Rows of a file of a stored table whose size has a known bound.
+FILE_ROWS = 200_000
+
+
+def store(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as a table in the cluster's shared checkpoint folder and read it back.
 
-    Cuts the lineage: a lost executor costs its own tasks, later stages read files.
+    Cuts the lineage: a lost executor costs its own tasks, later stages read files. Where ``rows``, a bound of the number
+    of rows, is known, there are no more files than it needs: a small result of a shuffle with many partitions
+    would else be as many files.
     """
+    if rows is not None:
+        df = df.coalesce(parts_for(rows, FILE_ROWS))
     return materialize(df, "table")
 
 
@@ -45,6 +53,14 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until ``df`` has no column of that name (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

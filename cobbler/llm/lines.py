@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, store, whole_text
+from .common import ascii_lower, bounded, fresh, store, whole_text
 
 MIN_WORDS = 8
 #: Sums of word hashes are kept below 2**61, so that adding two cannot overflow.
@@ -40,10 +40,14 @@ def half_keys(w: Column, n: Column, min_words: int) -> Column:
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per line that has words: its place, the hashes that name it and its half keys."""
-    lines = (whole_text(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """One row per line: its place, its number of words, the hashes that name it and its half keys.
+
+    Lines without words are filtered from the stored rows: a filter here would be pushed below the words and
+    make them twice.
+    """
+    lines = (whole_text(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
              .select("doc_id", "text_key", "line_no", line_words(F.col("line")).alias("w"))
-             .withColumn("n", F.size("w")).filter("n > 0"))
+             .withColumn("n", F.size("w")))
     return lines.select("doc_id", "text_key", "line_no", "n", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"),
                         F.when(F.col("n") >= min_words, half_keys(F.col("w"), F.col("n"), min_words)).alias("halves"))
 
@@ -52,7 +56,7 @@ def _read_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The words of ``wanted`` distinct lines, read at their first place."""
     per_doc = store(wanted.select("first.doc_id", "first.text_key", F.struct("first.line_no", "a", "b", "n", "first").alias("at"))
                     .groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("ats"))
-                    .withColumnsRenamed({"doc_id": "id_", "text_key": "key_"}))
+                    .withColumnsRenamed({"doc_id": "id_", "text_key": "key_"}), wanted.count())
     texts = whole_text(docs).withColumn("text_key", F.xxhash64("text"))
     return (texts.join(bounded(per_doc, per_doc.count(), 200_000),
                        F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")))
@@ -125,15 +129,17 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text_key, line_nos``: the line numbers (from 0, ascending) that go, for rows that lose any."""
     if min_words < 2:
         raise ValueError("a line of one word has no halves: min_words must be 2 or more")
-    occ = store(occurrences(docs, min_words))
+    occ = store(occurrences(docs, min_words)).filter("n > 0")
     place = F.struct("doc_id", "text_key", "line_no")
     distinct = store(occ.groupBy(*LINE).agg(F.min(place).alias("first"), F.count("*").alias("times"),
-                                            F.first("n").alias("n"), F.first("halves").alias("halves")))
+                                            F.first("n").alias("n"), F.first("halves").alias("halves")), occ.count())
+    several = distinct.count()
     halves = distinct.filter("halves IS NOT NULL").select("a", "b", F.explode("halves").alias("half"))
     shared = (halves.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo != hi").select("half"))
     likely = halves.join(shared, "half").select("a", "b").distinct()
-    lines = store(_read_lines(docs, distinct.join(likely, LINE).select("a", "b", "n", "first")))
-    matches = store(earliest_matches(lines, min_words))
+    wanted = store(distinct.join(likely, LINE).select("a", "b", "n", "first"), several)
+    lines = store(_read_lines(docs, wanted))           # each row becomes as many as it has words: many files
+    matches = store(earliest_matches(lines, min_words), lines.count())
     ruled = (distinct.select("a", "b", "first", "times").join(matches, LINE, "left")
              .filter("times > 1 OR near_first IS NOT NULL")
              .select("a", "b", F.least("first", "near_first").alias("stays")))
@@ -149,17 +155,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and text, so rows that repeat both share one result; null ids are earliest. Other columns, whatever
     their names, pass through. An empty table gives an empty result.
     """
-    gone = store(dropped_lines(docs, min_words).withColumnsRenamed(
-        {"doc_id": "__id", "text_key": "__key", "line_nos": "__gone"}))
+    id_, key, gone_, lines_ = (fresh(c, docs) for c in ("__id", "__key", "__gone", "__lines"))
+    gone = store(dropped_lines(docs, min_words).withColumnsRenamed({"doc_id": id_, "text_key": key, "line_nos": gone_}), docs.count())
     marked = docs.join(bounded(gone, gone.count(), 200_000),
-                       docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
-                       & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key")), "left")
+                       docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
+                       & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(key)), "left")
     lines = F.split("text", "\n")
-    stretches = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda k: F.slice(
-        F.col("__lines"), F.coalesce(F.get("__gone", k - 1), F.lit(-1)) + 2,
-        F.coalesce(F.get("__gone", k), F.size("__lines")) - F.coalesce(F.get("__gone", k - 1), F.lit(-1)) - 1))
-    rebuilt = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
-    return (marked.withColumn("__lines", F.when(F.col("text").isNotNull(), lines))
-            .withColumn("__n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-            .withColumn("__n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-            .withColumn("text", rebuilt).drop("__lines", "__gone", "__id", "__key"))
+    stretches = F.transform(F.sequence(F.lit(0), F.size(gone_)), lambda k: F.slice(
+        F.col(lines_), F.coalesce(F.get(gone_, k - 1), F.lit(-1)) + 2,
+        F.coalesce(F.get(gone_, k), F.size(lines_)) - F.coalesce(F.get(gone_, k - 1), F.lit(-1)) - 1))
+    rebuilt = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
+    return (marked.withColumn(lines_, F.when(F.col("text").isNotNull(), lines))
+            .withColumn("__n_lines", F.coalesce(F.size(lines_), F.lit(0)).cast("long"))
+            .withColumn("__n_dropped", F.coalesce(F.size(gone_), F.lit(0)).cast("long"))
+            .withColumn("text", rebuilt).drop(lines_, gone_, id_, key))
