@@ -19,9 +19,9 @@ from .labelled import fold, with_label
 from .passages import DIM, passage_features
 
 FOLDS, HELD_OUT = 4, 2
-#: The fit reads at most this many labelled rows (those of the smallest hash of id) and this many of each one's
-#: passages, evenly spaced; scoring has no such bounds.
-FIT_ROWS, FIT_PASSAGES = 6000, 32
+#: The fit reads at most this many labelled rows (those of the smallest hash of id), with all their passages; scoring
+#: has no such bound.
+FIT_ROWS = 6000
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.01, 1e-4
 ACCEPT = 0.7
@@ -111,11 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Attention:
             ys, rows = [], []
             for text, y in zip(b.column("text"), b.column("y")):
                 x, _ = passage_features([text.as_py()])
-                x = x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))]
                 ys.append(y.as_py())
                 rows.append(x.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.binary())], ["y", "bag"])
-    rows = sample.select("text", "y").mapInArrow(encode, "y int, bag binary").collect()      # at most FIT_ROWS small bags
+    rows = sample.select("text", "y").mapInArrow(encode, "y int, bag binary").collect()      # at most FIT_ROWS bags, a few hundred bytes for each passage
     if not rows:
         model = Attention(np.zeros(DIM), np.ones(DIM))
         model.p["c"][:] = 0
