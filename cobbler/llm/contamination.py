@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, store, whole_text
+from .common import ascii_lower, bounded, fresh, store, whole_text
 
 WINDOW = 10
 #: Cells of each screening table per benchmark window, and the bounds of a table's size.
@@ -107,8 +107,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark window."""
+    id_, key = fresh("__id", docs), fresh("__key", docs)
     found = store(contamination(docs, benchmark, window).filter("contaminated")
-                  .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+                  .select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct(), docs.count())
     return docs.join(bounded(found, found.count()),
-                     docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key")), "left_anti")
+                     docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
+                     & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(key)), "left_anti")
