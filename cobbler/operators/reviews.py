@@ -66,22 +66,25 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of, how: str
     take ``review_id = request_id`` and ``created_at = as_of``'s date.
     """
     as_of = as_datetime(as_of)
-    req = requests.withColumn("_seq", _seq(requests))
+    # checks move keys only; titles and contents join the accepted requests
+    has_item = F.col("order_item_id").isNotNull() & (F.col("order_item_id") != 0)
+    wrong = (F.when(F.col("product_id").isNull() | (F.col("product_id") == 0)
+                    | F.col("rating").isNull() | (F.col("rating") == 0), "invalid")
+             .when((F.col("rating") < RATING_MIN) | (F.col("rating") > RATING_MAX), "bad_rating"))
+    ts = [c for c in ("ts",) if c in requests.columns]
+    req = requests.select("request_id", *ts, "user_id", "product_id", "order_item_id", wrong.alias("_wrong"))
     req = flag_known(req, t["products"], "product_id", "_known")
     req = flag_known(req, t["users"], "user_id", "_user_ok")
     req = flag_known(req, t["order_items"], "order_item_id", "_item_ok")
     stored_ids = keys_named(t["reviews"], req.select(F.col("request_id").alias("review_id")), "review_id")
     req = req.join(stored_ids.select(F.col("review_id").alias("request_id"), F.lit(True).alias("_stored")), "request_id", "left")
-    has_item = F.col("order_item_id").isNotNull() & (F.col("order_item_id") != 0)
-    base_status = (F.when(F.col("product_id").isNull() | (F.col("product_id") == 0)
-                          | F.col("rating").isNull() | (F.col("rating") == 0), "invalid")
-                   .when((F.col("rating") < RATING_MIN) | (F.col("rating") > RATING_MAX), "bad_rating")
-                   .when(F.col("_known").isNull(), "not_found"))
+    base_status = F.coalesce("_wrong", F.when(F.col("_known").isNull(), "not_found"))
     fk_ok = ((F.col("user_id").isNull() | F.col("_user_ok").isNotNull())
              & (~F.col("_item") | F.col("_item_ok").isNotNull()))
     # the checks against stored tables feed every branch below: made once
     req = materialize(req.withColumn("_base", base_status).withColumn("_item", has_item).withColumn("_fk", fk_ok)
-                      .drop("_known", "_user_ok", "_item_ok"), how)
+                      .drop("_known", "_user_ok", "_item_ok", "_wrong"), how)
+    req = req.withColumn("_seq", _seq(req))
     valid = req.filter(F.col("_base").isNull())
     cand = valid.filter(F.col("_fk") & F.col("_stored").isNull())       # requests whose insert would succeed
     refused = F.when(F.col("_fk"), "key_conflict").otherwise("unknown_reference")
@@ -124,9 +127,9 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of, how: str
     decided = items.select("request_id", "_st").unionByName(gen.select("request_id", "_st"))
     status = materialize(req.join(decided, "request_id", "left")
                          .select("request_id", F.coalesce("_base", "_st").alias("status")), how)
-    new_rows = (req.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
+    new_rows = (requests.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
                 .select(F.col("request_id").alias("review_id"), "user_id", "product_id",
-                        F.when(F.col("_item"), F.col("order_item_id")).alias("order_item_id"),
+                        F.when(has_item, F.col("order_item_id")).alias("order_item_id"),
                         "rating", blank_to_null("title").alias("title"),
                         blank_to_null("content").alias("content"),
                         F.to_date(ts_literal(as_of)).alias("created_at")))
