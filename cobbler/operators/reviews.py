@@ -8,7 +8,9 @@ hot product or user does not pile its rows into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, blank_to_null, half_up_tenths, ts_literal
@@ -127,7 +129,15 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of, how: str
     decided = items.select("request_id", "_st").unionByName(gen.select("request_id", "_st"))
     status = materialize(req.join(decided, "request_id", "left")
                          .select("request_id", F.coalesce("_base", "_st").alias("status")), how)
-    new_rows = (requests.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
+    # The texts of what was accepted. A request comes as often as the checks made it: more than once if a key that it names
+    # is stored several times, which depends on its keys only.
+    keys = ["user_id", "product_id", "order_item_id"]
+    made = (req.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
+            .groupBy("request_id").agg(F.collect_list(F.struct(*keys)).alias("_made")))     # rows of one request id
+    alike = F.count(F.lit(1)).over(Window.partitionBy("request_id", *keys))
+    times = F.size(F.filter("_made", lambda m: reduce(Column.__and__, [m[k].eqNullSafe(F.col(k)) for k in keys])))
+    new_rows = (requests.repartition("request_id").withColumn("_alike", alike).join(made, "request_id")
+                .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), (times / F.col("_alike")).cast("int"))))
                 .select(F.col("request_id").alias("review_id"), "user_id", "product_id",
                         F.when(has_item, F.col("order_item_id")).alias("order_item_id"),
                         "rating", blank_to_null("title").alias("title"),

@@ -96,3 +96,13 @@ def test_requests_of_an_item_come_from_one_join(shop):
     got = {r.request_id for r in req.collect()}
     items = [r.order_item_id for r in shop.order_items.collect()]
     assert {2 * 10 ** 12 + i for i in items} | {3 * 10 ** 12 + i for i in items if i % 1000 == 1} <= got
+
+
+def test_keys_stored_twice_give_new_reviews_twice(spark):
+    t = make_shop(spark)
+    t["users"] = t["users"].unionByName(t["users"].filter("user_id = 1"))
+    new = lambda n, user: (n, dt.datetime(2025, 1, 1), user, 5, None, 4, f"{n}", "x")
+    req = spark.createDataFrame([new(100, 1), new(101, 2), new(102, None)],
+                                "request_id long, ts timestamp, user_id long, product_id long, order_item_id long, rating int, title string, content string")
+    got = reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))["reviews"].collect()
+    assert sorted((r.review_id, r.title) for r in got) == [(100, "100"), (100, "100"), (101, "101"), (102, "102")]
