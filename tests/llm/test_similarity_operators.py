@@ -77,6 +77,22 @@ def test_jaccard_components(spark, edge, empty, heavy, monkeypatch):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8, None}
 
 
+def test_signatures_travel_packed_by_bucket(spark, monkeypatch):
+    """One row per bucket and block is shuffled, not one per signature; buckets and blocks do not change the result."""
+    rows = near_copies(6, groups=5)
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, real = [], jaccard.store
+    monkeypatch.setattr(jaccard, "store", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or real(df, *a))
+    for bucket, signed in ((60, 90), (10 ** 9, 10 ** 9)):
+        monkeypatch.setattr(jaccard, "BUCKET", bucket)
+        monkeypatch.setattr(jaccard, "SIGNED", signed)
+        monkeypatch.setattr(jaccard, "DONE_ROWS", 7)
+        got = jaccard.jaccard_components(made).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_force(rows)
+    signing = [p for p in plans if "mapinarrow" in p.lower() and "classes" in p.lower() and "hashpartitioning(bucket" in p]
+    assert signing and not any("hashpartitioning(sig" in p for p in signing)
+
+
 def test_signatures_lose_no_pair():
     """Any two sets at the threshold share a signature, whichever tokens are frequent."""
     r = np.random.default_rng(8)
