@@ -367,3 +367,26 @@ def test_cart_feed_with_null_time_null_user_and_a_gone_option(spark):
     assert {r.request_id: r.status for r in out["status"].collect()} == {
         1: "accepted", 2: "invalid", 3: "not_found", 4: "accepted", 5: "invalid", 6: "accepted"}
     assert {r.cart_id: r.quantity for r in out["cart"].collect()} == {11: 5, 12: 1}
+
+
+def test_components_equal_a_union_find(spark):
+    """The rows of the test of chains, stars and singles, against a union-find in which a root never points below itself."""
+    from cobbler.plans.components import components
+    rnd = random.Random(2)
+    members = [(k, 10_000 + k) for k in range(40)] + [(k + 1, 10_000 + k) for k in range(40)]
+    members += [(100 + k, 1) for k in range(50)] + [(200, 2), (None, 2), (201, None)]
+    members += [(300 + rnd.randrange(80), 500 + rnd.randrange(60)) for _ in range(70)] + members[:5]
+    parent, met = {}, {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+    for n, g in members:
+        if n is not None:
+            a, b = root(n), root(met.setdefault(g, n) if g is not None else n)
+            parent[max(a, b)] = min(a, b)
+    whole = {n for n, g in members if n is not None and g is not None}
+    got = {r.node: r.component for r in components(spark.createDataFrame(members, "node long, `group` long")).collect()}
+    assert got == {n: root(n) for n in whole}
+    assert len(set(got.values())) > 3 and got[40] == 0 and got[200] == 200

@@ -173,3 +173,17 @@ def test_lookups_screen_the_stored_side_at_its_scan(spark):
         assert [r.k for r in lookups.keys_named(stored.select(ci_key("email").alias("k")), mails, "k").collect()] == ["U5@x"]
     finally:
         spark.conf.unset(lookups.SCREEN)
+
+
+def test_option_details_are_listed_by_file_where_a_shop_keeps_them(spark, uncoalesced):
+    from cobbler.operators import catalog
+    root, t = _root(), _wide_shop(spark)
+    snapshots.publish(spark, root, 0, replace=t | {"option_details": catalog.option_details(t)})
+    rows = [r for r in snapshots.manifest(spark, root) if r.table == "option_details"]
+    assert len(rows) >= 3 and all(r.lo is not None and r.lo <= r.hi for r in rows)
+    before = set(snapshots.current_paths(spark, root)[1]["option_details"])
+    changes = spark.createDataFrame([(1, 199, 30, True, [("251", 77)])], schemas.VARIANT_CHANGES)
+    snapshots.run_batch(spark, root, 1, lambda now: jobs.update_variants_job(now, changes))
+    after = set(snapshots.current_paths(spark, root)[1]["option_details"])
+    assert 0 < len(before & after) < len(before)
+    assert "option_details" not in snapshots.SLICED         # a shop without the table has no files of it
