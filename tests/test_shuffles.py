@@ -106,3 +106,55 @@ def test_keys_stored_twice_give_new_reviews_twice(spark):
                                 "request_id long, ts timestamp, user_id long, product_id long, order_item_id long, rating int, title string, content string")
     got = reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))["reviews"].collect()
     assert sorted((r.review_id, r.title) for r in got) == [(100, "100"), (100, "100"), (101, "101"), (102, "102")]
+
+
+def _final(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_items_are_numbered_in_one_shuffle_whatever_is_asked_of_them(shop):
+    t = shop.tables()
+    lines = orders.order_lines(t)
+    # items, their ids and the items of reviews
+    assert "ReusedExchange" in _final(lines)
+    # what is made of a line's columns is made after the shuffle
+    scans = {x.split("ReadSchema: ")[1] for x in lines._jdf.queryExecution().explainString(
+        lines.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "ReadSchema: struct<l_orderkey" in x}
+    assert len(scans) == 1
+    plan = t["order_items"].select("order_item_id", "option_id", "price")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(l_orderkey"):]
+    assert "1000000" not in below and "decimal(12,2)" not in below
+
+
+def test_lines_with_catalog_columns_move_no_more_or_once(shop):
+    t = shop.tables()
+    plan = orders.order_lines(t)._jdf.queryExecution().executedPlan().toString()
+    depth = lambda text: [x.index("Exchange") for x in plan.splitlines() if f"Exchange hashpartitioning({text}" in x]
+    assert min(depth("option_id")) < min(depth("order_id"))
+    final = _final(orders.order_history(t))
+    assert final.count("Exchange rangepartitioning(") == 1 and "Exchange rangepartitioning(created_at" in final
+
+
+@pytest.mark.parametrize("order", ["intended", "observed", None])
+def test_history_of_odd_rows_is_each_header_with_its_lines(spark, order):
+    apply_sql_conf(spark)
+    t = make_shop(spark)
+    same, other = dt.datetime(2025, 1, 1), dt.datetime(2024, 1, 1)
+    head = lambda o, user, at: (o, user, 5, "there", "card", "paid", at)
+    heads = [head(1, 1, same), head(2, 1, same), head(2, 1, same), head(2, 3, other), head(3, None, None), head(None, 1, same), head(4, 1, same)]
+    t["orders"] = spark.createDataFrame([(*h[:2], float(h[2]), *h[3:]) for h in heads], "order_id long, user_id long, total_amount double, "
+                                        "shipping_address string, payment_method string, status string, created_at timestamp")
+    items = [(10, 1, 1), (11, 1, 7), (11, 2, 1), (None, 2, 1), (12, 2, 999), (13, 3, 3), (14, None, 1), (15, 9, 1)]
+    t["order_items"] = spark.createDataFrame([(*i, 1, 2.0, same) for i in items], "order_item_id long, order_id long, option_id long, quantity int, price double, created_at timestamp")
+    t["reviews"] = spark.createDataFrame([(1, 1, 11), (2, 1, 11), (3, 1, None), (4, 1, 99)], "review_id long, product_id long, order_item_id long")
+    kept = [i for i in items if i[2] != 999]
+    want = [(h[0], h[1], h[6], sorted(((i[0], i[2], i[0] == 11) for i in kept if i[1] == h[0]), key=lambda x: (x[0] is not None, x[0])))
+            for h in heads if h[0] is not None and any(i[1] == h[0] for i in kept)]
+    got = [(r.order_id, r.user_id, r.created_at, [(i.order_item_id, i.option_id, i.is_review_written) for i in r["items"]])
+           for r in orders.order_history(t, order=order).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    if order == "intended":
+        assert [(g[2], g[0]) for g in got] == sorted(((g[2], g[0]) for g in got), key=lambda x: (x[0] is None, -(x[0] or same).timestamp(), -x[1]))
+    lines = [(r.order_id, r.user_id, r.order_item_id, r.option_id, r.is_review_written) for r in orders.order_lines(t).collect()]
+    assert sorted(map(str, lines)) == sorted(str((w[0], w[1], *i)) for w in want for i in w[3])
