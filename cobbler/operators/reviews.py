@@ -2,8 +2,8 @@
 
 Intake applies the reference's checks to a whole feed of review requests at once.
 Feed order is ``(ts, request_id)`` when the feed has ``ts``, else ``request_id``.
-Duplicate detection uses only min-aggregates per key (partial aggregation), so a
-hot product or user does not pile its rows into one task.
+Duplicate detection per user and product uses only min-aggregates (partial aggregation), so a
+hot product or user does not pile its rows into one task. The requests that name one order item meet in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_datetime, blank_to_null, half_up_tenths, ts_literal
 from ..functions.fixed import RATING_MAX, RATING_MIN
-from ..plans.lookups import flag_known, keys_named
+from ..plans.lookups import count_known, few, keys_named
 from ..plans.materialize import materialize
 
 REVIEW_FIELDS = ["review_id", "product_id", "user_id", "rating", "title", "content", "created_at"]
@@ -75,69 +75,87 @@ def intake_reviews(t: dict[str, DataFrame], requests: DataFrame, as_of, how: str
              .when((F.col("rating") < RATING_MIN) | (F.col("rating") > RATING_MAX), "bad_rating"))
     ts = [c for c in ("ts",) if c in requests.columns]
     req = requests.select("request_id", *ts, "user_id", "product_id", "order_item_id", wrong.alias("_wrong"))
-    req = flag_known(req, t["products"], "product_id", "_known")
-    req = flag_known(req, t["users"], "user_id", "_user_ok")
-    req = flag_known(req, t["order_items"], "order_item_id", "_item_ok")
-    stored_ids = keys_named(t["reviews"], req.select(F.col("request_id").alias("review_id")), "review_id")
-    req = req.join(stored_ids.select(F.col("review_id").alias("request_id"), F.lit(True).alias("_stored")), "request_id", "left")
-    base_status = F.coalesce("_wrong", F.when(F.col("_known").isNull(), "not_found"))
-    fk_ok = ((F.col("user_id").isNull() | F.col("_user_ok").isNotNull())
-             & (~F.col("_item") | F.col("_item_ok").isNotNull()))
-    # the checks against stored tables feed every branch below: made once
-    req = materialize(req.withColumn("_base", base_status).withColumn("_item", has_item).withColumn("_fk", fk_ok)
-                      .drop("_known", "_user_ok", "_item_ok", "_wrong"), how)
-    req = req.withColumn("_seq", _seq(req))
-    valid = req.filter(F.col("_base").isNull())
-    cand = valid.filter(F.col("_fk") & F.col("_stored").isNull())       # requests whose insert would succeed
+    again = few(req.groupBy("request_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+                .select("request_id", F.lit(True).alias("_again")), how)
+    req = count_known(req, t["products"], "product_id", "_products", 1, how)
+    req = count_known(req, t["users"], "user_id", "_users", 1, how)
+    req = count_known(req, t["reviews"].select(F.col("review_id").alias("request_id")), "request_id", "_stored", 0, how)
+    req = req.join(again, "request_id", "left")
+    item, general = req.filter(has_item), req.filter(~F.coalesce(has_item, F.lit(False)))
+
+    # Item reviews: the requests of an item meet once. Per item, the first insertable request is accepted unless the item has
+    # a review; stored reviews that matter are those of the items that the feed names.
+    n_items = keys_named(t["order_items"], item, "order_item_id").groupBy("order_item_id").agg(F.count(F.lit(1)).alias("_items"))
+    taken = keys_named(t["reviews"], item, "order_item_id").distinct().withColumn("_taken", F.lit(True))
+    item = item.join(n_items, "order_item_id", "left").join(taken, "order_item_id", "left")
+    # a zero is no item, though a stored item may have it
+    zero = few(t["order_items"].filter("order_item_id = 0").groupBy("order_item_id").agg(F.count(F.lit(1)).alias("_items")), how)
+    general = general.join(zero, "order_item_id", "left").withColumn("_taken", F.lit(None).cast("boolean"))
+
+    def checked(rows: DataFrame, item_ok: Column) -> DataFrame:
+        """``_base`` (the status of what is not valid), ``_fk``, ``_free`` (its insert would succeed), ``_seq`` and how many
+        rows the checks make of a request: more than one if a key that it names is stored several times."""
+        times = reduce(Column.__mul__, [F.greatest(F.coalesce(n, F.lit(0)), F.lit(1)) for n in ("_products", "_users", "_items", "_stored")])
+        base = F.coalesce("_wrong", F.when(F.col("_products") == 0, "not_found"))
+        fk = (F.col("user_id").isNull() | (F.col("_users") > 0)) & item_ok
+        return (rows.withColumn("_base", base).withColumn("_fk", fk).withColumn("_times", times).withColumn("_seq", _seq(rows))
+                .withColumn("_free", F.col("_base").isNull() & F.col("_fk") & (F.col("_stored") == 0)))
     refused = F.when(F.col("_fk"), "key_conflict").otherwise("unknown_reference")
+    item = checked(item, F.coalesce(F.col("_items"), F.lit(0)) > 0).withColumn(
+        "_acc_seq", F.min(F.when(F.col("_free"), F.col("_seq"))).over(Window.partitionBy("order_item_id")))
+    item = item.withColumn("_st", F.when(F.col("_base").isNull(), F.when(F.col("_taken").isNotNull(), "duplicate")
+                                         .when(F.col("_acc_seq") < F.col("_seq"), "duplicate")
+                                         .when(F.col("_acc_seq") == F.col("_seq"), "accepted")
+                                         .otherwise(refused)))
+    general = checked(general, F.lit(True)).withColumn("_st", F.lit(None).cast("string"))
+    # the checks feed every branch below: made once
+    kept = ["request_id", *ts, "user_id", "product_id", "order_item_id", "_again", "_times", "_base", "_fk", "_free", "_st"]
+    rows = materialize(item.select(*kept).unionByName(general.select(*kept)), how)
+    rows = rows.withColumn("_seq", _seq(rows))
+    item, general = rows.filter(has_item), rows.filter(~F.coalesce(has_item, F.lit(False)))
+    valid = general.filter(F.col("_base").isNull())
 
-    # stored reviews that matter: those of the items and (user, product) pairs the feed names
-    stored_items = keys_named(t["reviews"], valid.filter("_item"), "order_item_id")
-    stored_pairs = (t["reviews"].select("user_id", "product_id")
-                    .join(valid.select("user_id", "product_id").where(F.col("user_id").isNotNull()).distinct(),
-                          ["user_id", "product_id"], "left_semi"))
-    # Item reviews: per item, the first insertable request is accepted unless the item has a review.
-    item_taken = stored_items.distinct().withColumn("_stored_item", F.lit(True))
-    item_acc = (cand.filter("_item").groupBy("order_item_id").agg(F.min("_seq").alias("_acc_seq"))
-                .join(item_taken, "order_item_id", "left_anti"))
-    items = (valid.filter("_item").join(item_taken, "order_item_id", "left")
-             .join(item_acc, "order_item_id", "left")
-             .withColumn("_st", F.when(F.col("_stored_item").isNotNull(), "duplicate")
-                         .when(F.col("_acc_seq") < F.col("_seq"), "duplicate")
-                         .when(F.col("_acc_seq") == F.col("_seq"), "accepted")
-                         .otherwise(refused)))
     # General reviews: per (user, product), the first insertable general request is accepted unless
     # the pair has a stored review or an accepted item review of the pair comes before it.
     pair = ["user_id", "product_id"]
-    pair_taken = stored_pairs.distinct().withColumn("_stored_pair", F.lit(True))
-    item_pairs = (items.filter(F.col("_st") == "accepted").filter(F.col("user_id").isNotNull())
+    pair_taken = (t["reviews"].select(*pair).join(valid.select(*pair).where(F.col("user_id").isNotNull()).distinct(), pair, "left_semi")
+                  .distinct().withColumn("_stored_pair", F.lit(True)))
+    item_pairs = (item.filter(F.col("_st") == "accepted").filter(F.col("user_id").isNotNull())
                   .groupBy(*pair).agg(F.min("_seq").alias("_item_seq")))
-    gen_first = (cand.filter(~F.col("_item")).filter(F.col("user_id").isNotNull()).groupBy(*pair)
+    gen_first = (valid.filter("_free").filter(F.col("user_id").isNotNull()).groupBy(*pair)
                  .agg(F.min("_seq").alias("_gen_first")))
     gen_acc = (gen_first.join(pair_taken, pair, "left_anti").join(item_pairs, pair, "left")
                .filter(F.col("_item_seq").isNull() | (F.col("_item_seq") > F.col("_gen_first")))
                .select(*pair, F.col("_gen_first").alias("_gen_acc")))
-    gen = (valid.filter(~F.col("_item")).join(pair_taken, pair, "left").join(item_pairs, pair, "left")
+    gen = (valid.drop("_st").join(pair_taken, pair, "left").join(item_pairs, pair, "left")
            .join(gen_acc, pair, "left")
            .withColumn("_first_acc", F.least("_item_seq", "_gen_acc"))
-           .withColumn("_st", F.when(F.col("user_id").isNull(),
-                                     F.when(F.col("_fk") & F.col("_stored").isNull(), "accepted").otherwise(refused))
+           .withColumn("_st", F.when(F.col("user_id").isNull(), F.when(F.col("_free"), "accepted").otherwise(refused))
                        .when(F.col("_stored_pair").isNotNull(), "duplicate")
                        .when(F.col("_first_acc") < F.col("_seq"), "duplicate")
                        .when(F.col("_gen_acc") == F.col("_seq"), "accepted")
                        .otherwise(refused)))
-    decided = items.select("request_id", "_st").unionByName(gen.select("request_id", "_st"))
-    status = materialize(req.join(decided, "request_id", "left")
-                         .select("request_id", F.coalesce("_base", "_st").alias("status")), how)
-    # The texts of what was accepted. A request comes as often as the checks made it: more than once if a key that it names
-    # is stored several times, which depends on its keys only.
+    cols = ["request_id", "_again", "_times", "_base", "_st"]
+    decided = materialize(item.select(*cols).unionByName(general.filter(F.col("_base").isNotNull()).select(*cols))
+                          .unionByName(gen.select(*cols)), how)
+    # A row of the checks has the outcome of every valid row of its request id; an id that comes once has its own only.
+    copies = lambda n: F.explode(F.array_repeat(F.lit(1), n.cast("int"))).alias("_copy")
+    own = F.col("_base").isNull() & F.col("request_id").isNotNull()
+    once = (decided.filter(F.col("_again").isNull())
+            .select("request_id", F.coalesce("_base", F.when(own, F.col("_st"))).alias("status"),
+                    copies(F.when(own, F.col("_times") * F.col("_times")).otherwise(F.col("_times")))).drop("_copy"))
+    several = decided.filter(F.col("_again").isNotNull()).select("*", copies(F.col("_times")))
+    several = (several.select("request_id", "_base").join(several.filter(F.col("_base").isNull()).select("request_id", "_st"), "request_id", "left")
+               .select("request_id", F.coalesce("_base", "_st").alias("status")))
+    status = materialize(once.unionByName(several), how)
+    # The texts of what was accepted; a request comes as often as the checks made it, which depends on its keys only.
     keys = ["user_id", "product_id", "order_item_id"]
-    made = (req.join(status.filter(F.col("status") == "accepted"), "request_id", "left_semi")
-            .groupBy("request_id").agg(F.collect_list(F.struct(*keys)).alias("_made")))     # rows of one request id
-    alike = F.count(F.lit(1)).over(Window.partitionBy("request_id", *keys))
-    times = F.size(F.filter("_made", lambda m: reduce(Column.__and__, [m[k].eqNullSafe(F.col(k)) for k in keys])))
-    new_rows = (requests.repartition("request_id").withColumn("_alike", alike).join(made, "request_id")
-                .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), (times / F.col("_alike")).cast("int"))))
+    often = (rows.filter("_times > 1").select("request_id", *keys, "_times").distinct()
+             .groupBy("request_id").agg(F.collect_list(F.struct(*keys, "_times")).alias("_often")))
+    mine = F.filter("_often", lambda m: reduce(Column.__and__, [m[k].eqNullSafe(F.col(k)) for k in keys]))
+    new_rows = (requests.join(status.filter(F.col("status") == "accepted").select("request_id").distinct(), "request_id", "left_semi")
+                .join(few(often, how), "request_id", "left")
+                .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.try_element_at(mine, F.lit(1))["_times"], F.lit(1)).cast("int"))))
                 .select(F.col("request_id").alias("review_id"), "user_id", "product_id",
                         F.when(has_item, F.col("order_item_id")).alias("order_item_id"),
                         "rating", blank_to_null("title").alias("title"),

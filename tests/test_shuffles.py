@@ -158,3 +158,68 @@ def test_history_of_odd_rows_is_each_header_with_its_lines(spark, order):
         assert [(g[2], g[0]) for g in got] == sorted(((g[2], g[0]) for g in got), key=lambda x: (x[0] is None, -(x[0] or same).timestamp(), -x[1]))
     lines = [(r.order_id, r.user_id, r.order_item_id, r.option_id, r.is_review_written) for r in orders.order_lines(t).collect()]
     assert sorted(map(str, lines)) == sorted(str((w[0], w[1], *i)) for w in want for i in w[3])
+
+
+REQUESTS = "request_id long, ts timestamp, user_id long, product_id long, order_item_id long, rating int, title string, content string"
+
+
+def test_requests_move_for_their_items_only(spark, monkeypatch):
+    apply_sql_conf(spark)
+    t = make_shop(spark)
+    req = spark.createDataFrame([(100 + k, dt.datetime(2025, 1, 1), 1 + k % 2, 3, k % 3 or None, 5, "a", "b") for k in range(9)], REQUESTS)
+    made, real = [], reviews.materialize
+    monkeypatch.setattr(reviews, "materialize", lambda df, how: made.append(df) or real(df, how))
+    reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))
+    plan = next(df for df in made if "_fk" in df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(order_item_id" in plan
+    assert not any(f"Exchange hashpartitioning({k}" in plan for k in ("user_id", "product_id", "request_id"))
+
+
+def test_repeated_and_missing_keys_of_a_feed_by_hand(spark):
+    apply_sql_conf(spark)
+    t = make_shop(spark)
+    day = dt.datetime(2025, 1, 1)
+    t["users"] = spark.createDataFrame([(1,), (2,), (2,), (3,)], "user_id long")
+    t["products"] = spark.createDataFrame([(1,), (3,), (3,), (4,)], "product_id long")
+    t["order_items"] = spark.createDataFrame([(10,), (11,), (11,), (0,), (0,), (12,), (None,)], "order_item_id long")
+    t["reviews"] = spark.createDataFrame([(900, 1, 1, None), (901, None, 4, 12), (905, 3, 4, None)],
+                                         "review_id long, user_id long, product_id long, order_item_id long")
+    feed = [(100, 1, 1, 10, 5), (101, 2, 4, 10, 5), (102, 2, 4, 11, 5), (103, 2, 4, None, 5), (104, 1, 1, None, 5), (105, 7, 1, None, 5), (106, None, 3, None, 5),
+            (107, 3, 3, 0, 5), (108, 3, 9, None, 5), (109, 3, None, None, 5), (110, 3, 1, None, 9), (900, 3, 1, None, 5), (111, 3, 1, None, 5), (112, 3, 1, 12, 5),
+            (113, 3, 1, 77, 5), (114, 1, 3, None, 5), (114, 2, 1, None, 5), (114, 3, 9, None, 5), (None, 1, 4, None, 5), (115, None, 1, 11, 4)]
+    req = spark.createDataFrame([(r, day, u, p, i, n, f"{r}", "x") for r, u, p, i, n in feed], REQUESTS)
+    many = lambda name, key, k: sum(r[key] == k for r in t[name].collect()) if k is not None else 0
+    rows = []
+    for r, u, p, i, n in feed:
+        times = max(1, many("products", "product_id", p)) * max(1, many("users", "user_id", u)) * max(1, many("order_items", "order_item_id", i)) * max(1, many("reviews", "review_id", r))
+        base = "invalid" if not p or not n else "bad_rating" if not 1 <= n <= 5 else "not_found" if not many("products", "product_id", p) else None
+        fk = (u is None or many("users", "user_id", u) > 0) and (not i or many("order_items", "order_item_id", i) > 0)
+        rows.append([r, u, p, i, times, base, fk, many("reviews", "review_id", r) > 0, None])
+    seq = lambda x: -1 if x[0] is None else x[0]
+    valid = [x for x in rows if x[5] is None]
+    stored = t["reviews"].collect()
+    free = lambda x: x[6] and not x[7]
+    for x in valid:
+        if x[3]:
+            first = min((seq(y) for y in valid if y[3] == x[3] and free(y)), default=None)
+            x[8] = ("duplicate" if any(s.order_item_id == x[3] for s in stored) or (first is not None and first < seq(x)) else
+                    "accepted" if first == seq(x) else "key_conflict" if x[6] else "unknown_reference")
+    for x in valid:
+        if not x[3]:
+            same = lambda y: x[1] is not None and y[1:3] == x[1:3]
+            item = min((seq(y) for y in valid if y[3] and same(y) and y[8] == "accepted"), default=None)
+            gen = min((seq(y) for y in valid if not y[3] and same(y) and free(y)), default=None)
+            taken = any((s.user_id, s.product_id) == (x[1], x[2]) for s in stored)
+            gen = gen if gen is not None and not taken and (item is None or item > gen) else None
+            first = min((v for v in (item, gen) if v is not None), default=None)
+            x[8] = ("accepted" if x[1] is None and free(x) else "duplicate" if x[1] is not None and (taken or (first is not None and first < seq(x))) else
+                    "accepted" if gen is not None and gen == seq(x) else "key_conflict" if x[6] else "unknown_reference")
+    made = [x for x in rows for _ in range(x[4])]
+    want = []
+    for x in made:
+        own = [y[8] for y in made if y[5] is None and y[0] is not None and y[0] == x[0]] or [None]
+        want += [(x[0], x[5] or s) for s in own]
+    out = reviews.intake_reviews(t, req, dt.datetime(2025, 2, 1))
+    assert sorted(map(str, ((r.request_id, r.status) for r in out["status"].collect()))) == sorted(map(str, want))
+    ok = {r for r, s in want if s == "accepted"}
+    assert sorted(r.review_id for r in out["reviews"].collect()) == sorted(x[0] for x in made if x[0] in ok)
