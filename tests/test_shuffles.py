@@ -6,7 +6,8 @@ import pytest
 from conftest import make_shop
 from pyspark.sql import functions as F
 
-from cobbler.operators import cart, orders, reviews
+from cobbler.operators import cart, catalog, orders, reviews
+from cobbler.plans import jobs, snapshots
 from cobbler.session import apply_sql_conf
 from cobbler.sources.testdata import GeneratedShop
 
@@ -223,3 +224,33 @@ def test_repeated_and_missing_keys_of_a_feed_by_hand(spark):
     assert sorted(map(str, ((r.request_id, r.status) for r in out["status"].collect()))) == sorted(map(str, want))
     ok = {r for r, s in want if s == "accepted"}
     assert sorted(r.review_id for r in out["reviews"].collect()) == sorted(x[0] for x in made if x[0] in ok)
+
+
+def test_stored_details_are_not_shuffled_for_few_options(spark):
+    apply_sql_conf(spark)
+    t = make_shop(spark)
+    t["option_details"] = catalog.option_details(t)
+    t["cart"] = t["cart"].unionByName(t["cart"].filter("cart_id = 11").withColumns({"cart_id": F.lit(99).cast("long"), "option_id": F.lit(None).cast("long")}))
+    lines = cart.cart_lines(t, sort=False)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    plain = cart.cart_lines({k: v for k, v in t.items() if k != "option_details"}, sort=False)
+    assert _rows(lines) == _rows(plain) and lines.count() == 5
+
+
+def test_details_of_a_batch_are_read_from_what_it_wrote(spark, tmp_path):
+    apply_sql_conf(spark)
+    t = make_shop(spark)
+    first = {n: t[n] for n in ("product_options", "product_variants", "products")}
+    root = str(tmp_path / "shop")
+    snapshots.publish(spark, root, 0, replace=first | {"option_details": catalog.option_details(first)})
+    images = spark.createDataFrame([(101, "new.jpg", 1), (301, "other.jpg", 1), (999, "none.jpg", 1)], "variant_id long, image string, request_id long")
+    read, real = [], catalog.option_details
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jobs.catalog, "option_details", lambda now: read.append(now["product_variants"].inputFiles()) or real(now))
+        snapshots.run_batch(spark, root, 1, lambda now: jobs.set_images_job(now, images))
+    assert len(read) == 1 and any("batch=1-" in f for f in read[0])
+    now = snapshots.read_current(spark, root)
+    kept = now.pop("option_details")
+    assert _rows(kept) == _rows(real(now).select(*kept.columns))
+    assert {r.image for r in kept.filter("variant_id IN (101, 301)").collect()} == {"new.jpg", "other.jpg"}
